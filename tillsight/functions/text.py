@@ -44,19 +44,18 @@ def or_empty(text: Column) -> Column:
 def normalize_phone(raw: Column) -> Column:
     """Last ten digits of a phone, NULL when there are fewer than ten."""
     digits = F.regexp_replace(raw.cast("string"), "[^0-9]", "")
-    return F.when(F.length(digits) >= 10, F.right(digits, F.lit(10)))
+    return non_empty(F.regexp_extract(digits, "[0-9]{10}$", 0))
 
 
 def clean_product_code(raw: Column) -> Column:
     """Style code without the size suffix (after '-') and prefix (before '/')."""
-    base = F.substring_index(strip(or_empty(raw)), "-", 1)
+    base = F.substring_index(or_empty(raw), "-", 1)
     return strip(F.substring_index(base, "/", -1))
 
 
 def category_suffix(code: Column) -> Column:
-    """The last two characters of a code, upper case; NULL for shorter codes."""
-    shown = strip(F.upper(code))
-    return F.when(F.length(shown) >= 2, F.right(shown, F.lit(2)))
+    """The last two characters, upper case, of a code without outer blanks."""
+    return F.substring(F.upper(code), -2, 2)
 
 
 def parse_number(text: Column) -> Column:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules, text
+from ..functions import rules
 from ..functions.times import instant
 from ..params import ONLINE, WALKIN, Thresholds
 
@@ -15,59 +15,40 @@ from ..params import ONLINE, WALKIN, Thresholds
 # large share of all lines, and its sum must not overflow.
 MONEY = "decimal(28,2)"
 
-TICKET = "ticket"
-NAME = "name"
-CITY = "city"
+# Kinds of facts a purchase line gives about its phone.
+TICKET, LABEL, CATEGORY, PRODUCT, STORE, SELLER, PAYMENT, LEAD = range(8)
 
-# Output column of each favourite, by fact kind.
+# Value of each favourite, and its output column. Only online lines name a seller.
 FAVORITES = {
-    "category": "favorite_category",
-    "product": "favorite_product",
-    "store": "favorite_store",
-    "seller": "favorite_seller",
-    "payment": "favorite_payment",
-    "lead": "top_lead_source",
+    CATEGORY: ("category", "favorite_category"),
+    PRODUCT: ("nullif(product_code, '')", "favorite_product"),
+    STORE: ("store_code", "favorite_store"),
+    SELLER: (f"CASE WHEN sales_channel = '{ONLINE}' THEN nullif(seller, '') END", "favorite_seller"),
+    PAYMENT: ("nullif(payment_method, '')", "favorite_payment"),
+    LEAD: ("nullif(lead_source, '')", "top_lead_source"),
 }
 
 
-def _fact(kind: str, value: Column, extra: Column | None = None, measured: bool = False) -> Column:
-    def only(column: Column, kind_type: str) -> Column:
-        return column if measured else F.lit(None).cast(kind_type)
-
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        value.alias("value"),
-        (F.lit(None).cast("string") if extra is None else extra).alias("extra"),
-        only(F.col("line_total"), "decimal(12,2)").alias("amount"),
-        only(F.col("sales_channel"), "string").alias("channel"),
-        only(F.col("purchase_date"), "date").alias("day"),
-    )
-
-
-def _favorite_facts() -> list[Column]:
-    seller = text.non_empty(F.col("seller"))
-    online = F.col("sales_channel") == ONLINE
+def _favorite_facts() -> list[str]:
+    """(kind, value, extra, amount, channel, day) rows of a line, as expressions."""
+    agents = {SELLER: "agent_name"}
     return [
-        _fact("category", F.col("category")),
-        _fact("product", text.non_empty(F.col("product_code"))),
-        _fact("store", F.col("store_code")),
-        _fact("seller", F.when(online, seller), F.when(online, F.col("agent_name"))),
-        _fact("payment", text.non_empty(F.col("payment_method"))),
-        _fact("lead", text.non_empty(F.col("lead_source"))),
+        f"{kind}Y, {value}, {agents.get(kind, 'NULL')}, NULL, NULL, NULL"
+        for kind, (value, _) in FAVORITES.items()
     ]
 
 
-def _base_facts(ticket_per_store: bool) -> list[Column]:
-    store = F.col("store_code") if ticket_per_store else None
+def _base_facts(ticket_per_store: bool) -> list[str]:
+    """The ticket carries the measures of the line; the label is name and city."""
+    store = "store_code" if ticket_per_store else "NULL"
     return [
-        _fact(TICKET, F.col("ticket_id"), store, measured=True),
-        _fact(NAME, F.col("raw_customer_name")),
-        _fact(CITY, F.col("raw_city")),
+        f"{TICKET}Y, ticket_id, {store}, line_total, sales_channel, purchase_date",
+        f"{LABEL}Y, raw_customer_name, raw_city, NULL, NULL, NULL",
     ]
 
 
-def _count_facts(purchases: DataFrame, facts: list[Column]) -> DataFrame:
-    """One row per phone, kind and value, from a single pass over the purchases.
+def _count_facts(purchases: DataFrame, facts: list[str]) -> DataFrame:
+    """Number of lines and amounts per phone, kind and value, from one pass.
 
     Each line is unfolded into narrow (kind, value) rows which are combined
     before the shuffle. The grouping is by value, not by phone, so the lines of
@@ -76,57 +57,53 @@ def _count_facts(purchases: DataFrame, facts: list[Column]) -> DataFrame:
     channels because a mixed ticket counts in both.
     """
     unfolded = (
-        purchases.filter(F.col("phone").isNotNull() & (F.col("phone") != ""))
-        .select("phone", F.explode(F.array(*facts)).alias("fact"))
-        .select("phone", "fact.*")
-        .filter(F.col("value").isNotNull() | (F.col("kind") == TICKET))
-    )
-    online, walkin = F.col("channel") == ONLINE, F.col("channel") == WALKIN
-    return unfolded.groupBy("phone", "kind", "value", "extra").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.sum("amount").alias("amount"),
-        F.sum(F.when(online, F.col("amount"))).alias("online_amount"),
-        F.sum(F.when(walkin, F.col("amount"))).alias("walkin_amount"),
-        F.max(online).alias("has_online"),
-        F.max(walkin).alias("has_walkin"),
-        F.min("day").alias("first_day"),
-        F.max("day").alias("last_day"),
+        purchases.filter("phone <> ''")
+        .selectExpr(
+            "phone",
+            f"stack({len(facts)}, {', '.join(facts)}) AS (kind, value, extra, amount, channel, day)",
+        )
+        .filter(f"kind IN ({TICKET}, {LABEL}) OR value IS NOT NULL")
     )
+    measures = f"""
+        count(1) AS lines,
+        sum(amount) AS amount,
+        sum(CASE WHEN channel = '{ONLINE}' THEN amount END) AS online_amount,
+        sum(CASE WHEN channel = '{WALKIN}' THEN amount END) AS walkin_amount,
+        max(channel = '{ONLINE}') AS has_online,
+        max(channel = '{WALKIN}') AS has_walkin,
+        min(day) AS first_day,
+        max(day) AS last_day"""
+    return unfolded.groupBy("phone", "kind", "value", "extra").agg(*_expressions(measures))
 
 
-def _favorite_columns() -> list[Column]:
-    """Most frequent value per phone; the lowest value wins a tie."""
-
-    def top(kind: str) -> Column:
-        ranked = F.struct((-F.col("lines")).alias("rank"), "value", "extra")
-        return F.min(F.when(F.col("kind") == kind, ranked))
+def _expressions(columns: str) -> list[Column]:
+    """Columns from SQL text, one per line."""
+    return [F.expr(line.strip().rstrip(",")) for line in columns.strip().splitlines()]
 
-    columns = [top(kind)["value"].alias(name) for kind, name in FAVORITES.items()]
-    return [*columns, top("seller")["extra"].alias("favorite_agent")]
 
+def _favorite_columns() -> list[Column]:
+    """Most frequent value of each kind per phone; the lowest value wins a tie."""
 
-def _base_columns() -> list[Column]:
-    ticket = F.col("kind") == TICKET
-    counted = ticket & F.col("value").isNotNull()
+    def top(kind: int) -> str:
+        return f"min(CASE WHEN kind = {kind} THEN struct(-lines AS rank, value, extra) END)"
 
-    def money(name: str) -> Column:
-        return F.coalesce(F.sum(name), F.lit(0)).cast(MONEY)
+    columns = [f"{top(kind)}.value AS {name}" for kind, (_, name) in FAVORITES.items()]
+    return _expressions("\n".join([*columns, f"{top(SELLER)}.extra AS favorite_agent"]))
 
-    def text_of(kind: str) -> Column:
-        return F.max(F.when(F.col("kind") == kind, F.col("value")))
 
-    return [
-        text_of(NAME).alias("name"),
-        text_of(CITY).alias("city"),
-        F.count_if(counted).alias("total_orders"),
-        F.sum("amount").cast(MONEY).alias("total_lifetime"),
-        F.count_if(counted & F.col("has_online")).alias("total_online_orders"),
-        money("online_amount").alias("total_online"),
-        F.count_if(counted & F.col("has_walkin")).alias("total_walkin_orders"),
-        money("walkin_amount").alias("total_walkin"),
-        F.min("first_day").alias("first_purchase_date"),
-        F.max("last_day").alias("last_purchase_date"),
-    ]
+def _base_columns() -> list[Column]:
+    counted = f"kind = {TICKET} AND value IS NOT NULL"
+    return _expressions(f"""
+        max(CASE WHEN kind = {LABEL} THEN value END) AS name
+        max(CASE WHEN kind = {LABEL} THEN extra END) AS city
+        count_if({counted}) AS total_orders
+        CAST(sum(amount) AS {MONEY}) AS total_lifetime
+        count_if({counted} AND has_online) AS total_online_orders
+        CAST(coalesce(sum(online_amount), 0) AS {MONEY}) AS total_online
+        count_if({counted} AND has_walkin) AS total_walkin_orders
+        CAST(coalesce(sum(walkin_amount), 0) AS {MONEY}) AS total_walkin
+        min(first_day) AS first_purchase_date
+        max(last_day) AS last_purchase_date""")
 
 
 def _derived(base: DataFrame, as_of: dt.date, limits: Thresholds) -> DataFrame:
@@ -157,7 +134,7 @@ def favorites(purchases: DataFrame) -> DataFrame:
 def customer_360(
     purchases: DataFrame, as_of: dt.date, limits: Thresholds, ticket_per_store: bool = False
 ) -> DataFrame:
-    """Totals, favourites, tier and lapsed flag: one scan, two shuffles.
+    """Totals, favourites, tier and lapsed flag from one scan of the purchases.
 
     Orders are distinct ticket numbers; ``ticket_per_store`` tells apart equal
     numbers of different stores.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from ..params import Lookups, Thresholds
 from ..schemas import PURCHASES, column_names
 from .keep import keep_first, not_in
 
-PURCHASE_KEY = ("store_code", "ticket_id", "product_code", "phone")
+# The ticket comes first: sorts compare the first column most cheaply, and it is
+# the most selective one.
+PURCHASE_KEY = ("ticket_id", "product_code", "phone", "store_code")
 
 PHONE_INVALID = "phone_invalid"
 NUMBER_OUT_OF_RANGE = "number_out_of_range"
@@ -52,10 +55,10 @@ def _number(lines: DataFrame, name: str) -> Column:
 
 
 def clean_lines(lines: DataFrame, lookups: Lookups, limits: Thresholds) -> DataFrame:
-    """Every scanned line in table form, with the reason why it must be rejected.
+    """Every scanned line in table form; see ``accepted`` and ``rejected``.
 
-    The line total is computed from the unrounded quantity and price. A value
-    that does not fit its column gives a reason instead of failing the job.
+    The line total is computed from the unrounded quantity and price. A phone or
+    number that does not fit its column is NULL instead of failing the job.
     """
     spark = lines.sparkSession
     qty, unit = _number(lines, "qty"), _number(lines, "unit_price")
@@ -88,25 +91,27 @@ def clean_lines(lines: DataFrame, lookups: Lookups, limits: Thresholds) -> DataF
     known = keyed.join(lookups.seller_frame(spark), "seller_key", "left").join(
         lookups.category_frame(spark), "suffix", "left"
     )
-    numbers_ok = F.col("qty").isNotNull() & F.col("unit_price").isNotNull() & F.col("line_total").isNotNull()
-    return known.withColumns(
-        {
-            "sales_channel": rules.sales_channel(
-                F.col("channel_rule"), F.col("purchase_date"), limits.seller_cutoff
-            ),
-            "reject_reason": F.when(F.col("phone").isNull(), F.lit(PHONE_INVALID)).when(
-                ~numbers_ok, F.lit(NUMBER_OUT_OF_RANGE)
-            ),
-        }
-    ).drop("seller_key", "suffix", "channel_rule")
+    channel = rules.sales_channel(F.col("channel_rule"), F.col("purchase_date"), limits.seller_cutoff)
+    return known.withColumn("sales_channel", channel).drop("seller_key", "suffix", "channel_rule")
+
+
+NUMBERS = ("qty", "unit_price", "line_total")
 
 
 def accepted(lines: DataFrame) -> DataFrame:
-    return lines.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    """Lines with a phone and numbers that fit; each test can reach its own scan."""
+    for name in ("phone", *NUMBERS):
+        lines = lines.filter(F.col(name).isNotNull())
+    return lines
 
 
 def rejected(lines: DataFrame) -> DataFrame:
-    return lines.filter(F.col("reject_reason").isNotNull())
+    """The other lines, with the reason."""
+    bad_number = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in NUMBERS])
+    reason = F.when(F.col("phone").isNull(), F.lit(PHONE_INVALID)).when(
+        bad_number, F.lit(NUMBER_OUT_OF_RANGE)
+    )
+    return lines.withColumn("reject_reason", reason).filter(F.col("reject_reason").isNotNull())
 
 
 def dedup_purchases(lines: DataFrame, key: Sequence[str] = PURCHASE_KEY) -> DataFrame:
