@@ -106,7 +106,7 @@ def _base_columns() -> list[Column]:
         max(last_day) AS last_purchase_date""")
 
 
-def _derived(base: DataFrame, as_of: dt.date, limits: Thresholds) -> DataFrame:
+def with_derived(base: DataFrame, as_of: dt.date, limits: Thresholds) -> DataFrame:
     days = rules.days_since(as_of, F.col("last_purchase_date"))
     return base.withColumns(
         {
@@ -123,7 +123,7 @@ def customer_base(
 ) -> DataFrame:
     """Totals, dates, tier and lapsed flag per phone, without favourites."""
     facts = _count_facts(purchases, _base_facts(ticket_per_store))
-    return _derived(facts.groupBy("phone").agg(*_base_columns()), as_of, limits)
+    return with_derived(facts.groupBy("phone").agg(*_base_columns()), as_of, limits)
 
 
 def favorites(purchases: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def customer_360(
     numbers of different stores.
     """
     facts = _count_facts(purchases, _base_facts(ticket_per_store) + _favorite_facts())
-    return _derived(facts.groupBy("phone").agg(*_base_columns(), *_favorite_columns()), as_of, limits)
+    return with_derived(facts.groupBy("phone").agg(*_base_columns(), *_favorite_columns()), as_of, limits)
 
 
 def customer_names(purchases: DataFrame) -> DataFrame:

@@ -20,6 +20,9 @@ from .operators import activity, contacts, customers, enrich, merge, messages, p
 from .params import clamp, window_days
 from .session import configure, scratch_path
 from .sources import csvfiles, pos, snapshots, star
+from .streaming import activity as activity_stream
+from .streaming import messages as message_stream
+from .streaming import sales as sales_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +31,7 @@ PAGE_SIZE = clamp(500, 100, 8_000, 5_000)
 LIST_SIZE = clamp(200, 50, 5_000, 1_000)
 RETENTION_DAYS = 15
 CURSOR = (dt.datetime(2024, 1, 29, 12), "m9")
-STYLE = "5sm"
+STYLE = "18sm"
 MARKS = {"TS0001": 1000, "TS0002": 2000}
 STORED_BEFORE = dt.datetime(2024, 1, 10)
 
@@ -456,3 +459,70 @@ def upload_sessions(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def upload_sessions_all(spark: SparkSession, folder: str) -> DataFrame:
     return uploads.upload_sessions(star.import_log(spark, folder), limit=None)
+
+
+# Streams: the feed lands in three uploads; after each one the stream is started
+# again from its checkpoint and runs until nothing is left.
+
+
+def _land(upload: DataFrame, landing: str) -> None:
+    upload.write.mode("append").parquet(landing)
+
+
+def _stream(spark: SparkSession, landing: str, schema: T.StructType) -> DataFrame:
+    return spark.readStream.schema(schema).parquet(landing)
+
+
+@query
+def stream_messages(spark: SparkSession, folder: str) -> DataFrame:
+    feed = star.raw_messages(spark, folder)
+    root = scratch_path(spark, "messages")
+    arrival = F.col("arrival")
+    bounds = feed.agg(F.max("arrival").alias("last")).first()["last"] or 0
+    third = bounds // 3
+    for part in (arrival <= third, (arrival > third) & (arrival <= 2 * third), arrival > 2 * third):
+        _land(feed.filter(part), f"{root}/landing")
+        source = _stream(spark, f"{root}/landing", feed.schema)
+        message_stream.start_ingest(source, root, f"{root}/checkpoint").awaitTermination()
+    return message_stream.stored_messages(spark, root)
+
+
+def _sales_feed(spark: SparkSession, folder: str) -> sales_stream.SalesFeed:
+    """Run the sales stream over three uploads, by store day, and return its tables."""
+    lines = star.pos_lines(spark, folder)
+    root = scratch_path(spark, "sales")
+    feed = sales_stream.SalesFeed(root, star.LOOKUPS, star.LIMITS, star.SALES_AS_OF)
+    day = F.col("purchase_date")
+    first, second = F.lit(dt.date(1997, 1, 1)), F.lit(dt.date(1999, 6, 1))
+    for part in (day < first, (day >= first) & (day < second), (day >= second) | day.isNull()):
+        _land(lines.filter(part), f"{root}/landing")
+        source = _stream(spark, f"{root}/landing", lines.schema)
+        sales_stream.start_ingest(source, feed, f"{root}/checkpoint").awaitTermination()
+    return feed
+
+
+@query
+def stream_purchases(spark: SparkSession, folder: str) -> DataFrame:
+    return sales_stream.stored_purchases(spark, _sales_feed(spark, folder))
+
+
+@query
+def stream_customers(spark: SparkSession, folder: str) -> DataFrame:
+    return sales_stream.current_customers(spark, _sales_feed(spark, folder))
+
+
+@query
+def stream_sync_state(spark: SparkSession, folder: str) -> DataFrame:
+    return sales_stream.sync_state(spark, _sales_feed(spark, folder))
+
+
+@query
+def stream_activity_daily(spark: SparkSession, folder: str) -> DataFrame:
+    events = _activity(spark, folder)
+    root = scratch_path(spark, "activity")
+    upload = F.pmod(F.xxhash64("agent", "event", "ts", "detail"), F.lit(3))
+    for part in range(3):
+        _land(events.filter(upload == part), f"{root}/landing")
+        source = _stream(spark, f"{root}/landing", events.schema)
+        activity_stream.start_daily(source, f"{root}/daily", f"{root}/checkpoint", "60 days").awaitTermination()
+    return activity_stream.current_days(spark, f"{root}/daily")
