@@ -18,9 +18,9 @@ PURCHASES = (
 
 CUSTOMERS = (
     "phone string, name string, city string, state string, is_priority_city boolean, "
-    "city_priority_score int, total_orders bigint, total_lifetime decimal(14,2), "
-    "total_online_orders bigint, total_online decimal(14,2), "
-    "total_walkin_orders bigint, total_walkin decimal(14,2), "
+    "city_priority_score int, total_orders bigint, total_lifetime decimal(28,2), "
+    "total_online_orders bigint, total_online decimal(28,2), "
+    "total_walkin_orders bigint, total_walkin decimal(28,2), "
     "first_purchase_date date, last_purchase_date date, days_since_last_purchase int, "
     "favorite_category string, favorite_product string, favorite_store string, "
     "favorite_seller string, favorite_agent string, favorite_payment string, "
@@ -57,4 +57,4 @@ KNOWN_CONTACTS = "contact_id string, first_seen timestamp"
 
 def column_names(schema: str) -> list[str]:
     """Column names of a DDL string, in order."""
-    return [part.strip().split(" ")[0] for part in schema.replace("(12,2)", "").replace("(14,2)", "").split(",")]
+    return [part.split()[0] for part in schema.split(", ")]

@@ -35,3 +35,10 @@ def other_batches(spark: SparkSession, root: str, schema: str, batch_id: int) ->
 
 def up_to(spark: SparkSession, root: str, schema: str, batch_id: int) -> DataFrame:
     return read(spark, root, schema).filter(F.col("batch_id") <= batch_id)
+
+
+def latest_before(spark: SparkSession, root: str, schema: str, batch_id: int) -> DataFrame:
+    """Rows of the newest earlier batch, for tables that each batch writes in full."""
+    earlier = other_batches(spark, root, schema, batch_id)
+    newest = earlier.agg(F.max("batch_id").alias("batch_id"))
+    return earlier.join(F.broadcast(newest), "batch_id").drop("batch_id")
