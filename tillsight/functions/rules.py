@@ -24,14 +24,16 @@ from ..params import (
 def store_filter(store_rules: Sequence[tuple[str, str]]) -> Column:
     """Lines to take from each store; stores without a rule give nothing.
 
-    One plain predicate, so the scan can evaluate it (Parquet or JDBC).
+    The store list is implied by the rules, but stated on its own it reaches the
+    scan (row groups, partitions or the WHERE clause of a database).
     """
     tests = {
         NAME_REQUIRED: F.trim(F.col("customer_name")) != "",
         TICKET_ONLY: F.upper(F.trim(F.col("movement"))) == "TK",
     }
     per_store = [(F.col("store_code") == store) & tests[rule] for store, rule in store_rules]
-    return reduce(lambda a, b: a | b, per_store, F.lit(False))
+    tracked = F.col("store_code").isin([store for store, _ in store_rules])
+    return tracked & reduce(lambda a, b: a | b, per_store, F.lit(False))
 
 
 def phone_present(phone: Column) -> Column:

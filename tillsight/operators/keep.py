@@ -27,3 +27,16 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 def not_in(batch: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of the batch whose key is absent from the table."""
     return batch.join(table.select(*keys), list(keys), "left_anti")
+
+
+def near(table: DataFrame, batch: DataFrame, column: str) -> DataFrame:
+    """Rows of the table between the smallest and largest key of the batch.
+
+    Keys outside cannot match, so this loses nothing. The two bounds (one row)
+    go through the driver and reach the scan, which skips the files and row
+    groups of older keys instead of reading the whole history.
+    """
+    bounds = batch.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    if bounds["low"] is None:
+        return table.filter(F.lit(False))
+    return table.filter(F.col(column).between(bounds["low"], bounds["high"]))

@@ -37,7 +37,7 @@ def after_marks(lines: DataFrame, marks: Mapping[str, int | None]) -> DataFrame:
     wanted = F.lit(False)
     for store, mark in marks.items():
         wanted = wanted | ((F.col("store_code") == store) & (ticket > F.lit(int(mark or 0))))
-    return lines.filter(wanted)
+    return lines.filter(F.col("store_code").isin(list(marks)) & wanted)
 
 
 def high_water_marks(lines: DataFrame) -> DataFrame:

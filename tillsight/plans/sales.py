@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import customers, enrich, merge, purchases
+from ..operators.keep import near
 from ..schemas import CUSTOMERS, PURCHASES, SYNC_STATE
 from ..streaming import tables
 from ..streaming.sales import REJECTS, SalesFeed, sync_runs
@@ -49,7 +50,8 @@ def sync(lines: DataFrame, feed: SalesFeed, run_id: int, reset: bool = False) ->
         start = dict.fromkeys(start, 0)
     scanned = purchases.after_marks(purchases.scan_pos(lines, feed.lookups.store_rules), start)
     cleaned = purchases.clean_lines(scanned, feed.lookups, feed.limits)
-    stored = tables.other_batches(spark, feed.path("purchases"), PURCHASES, run_id)
+    history = tables.other_batches(spark, feed.path("purchases"), PURCHASES, run_id)
+    stored = near(history, scanned, "ticket_id")
     new = purchases.new_purchases(purchases.accepted(cleaned), stored)
     tables.write_batch(new, feed.path("purchases"), run_id)
     bad = purchases.rejected(cleaned).select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import instant
 from ..operators import contacts, messages
+from ..operators.keep import near
 from ..schemas import IMPORT_LOG, KNOWN_CONTACTS, MESSAGES
 from ..sources import csvfiles, snapshots
 from ..streaming import tables
@@ -44,7 +45,8 @@ def ingest_messages(
     tables.create(spark, f"{root}/messages", MESSAGES)
     tables.create(spark, f"{root}/import_log", IMPORT_LOG)
     arrived = messages.normalize_messages(csvfiles.read_messages(spark, path))
-    stored = tables.other_batches(spark, f"{root}/messages", MESSAGES, run_id)
+    history = tables.other_batches(spark, f"{root}/messages", MESSAGES, run_id)
+    stored = near(history, arrived, "message_id")
     tables.write_batch(messages.new_messages(arrived, stored), f"{root}/messages", run_id)
     counters = messages.upload_counters(arrived, stored)
     row = _log_row(

@@ -72,9 +72,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def lookup_frame(spark: SparkSession, schema: pa.Schema, rows: Sequence[tuple]) -> DataFrame:
     """A lookup table from parameter rows.
 
-    It becomes a local relation with exact statistics, so Catalyst compares its
-    true size with ``spark.sql.autoBroadcastJoinThreshold``: small tables are
-    broadcast, larger ones are shuffled. No broadcast hint is given anywhere.
+    It becomes a local relation whose row count Catalyst knows, so it compares
+    the size with ``spark.sql.autoBroadcastJoinThreshold``: small tables are
+    broadcast, larger ones are shuffled. No hint is given.
     """
     columns = list(zip(*rows)) if rows else [[] for _ in schema]
     arrays = [pa.array(list(values), type=field.type) for values, field in zip(columns, schema)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import messages as ops
+from ..operators.keep import near
 from ..schemas import MESSAGES
 from . import tables
 
@@ -28,7 +29,8 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuer
     def append(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         arrived = ops.normalize_messages(batch)
-        stored = tables.other_batches(session, f"{root}/messages", MESSAGES, batch_id)
+        history = tables.other_batches(session, f"{root}/messages", MESSAGES, batch_id)
+        stored = near(history, arrived, "message_id")
         tables.write_batch(ops.new_messages(arrived, stored), f"{root}/messages", batch_id)
         tables.write_batch(ops.upload_counters(arrived, stored), f"{root}/counters", batch_id)
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import instant
 from ..operators import customers, merge, purchases
-from ..operators.keep import keep_last
+from ..operators.keep import keep_last, near
 from ..params import Lookups, Thresholds
 from ..schemas import PURCHASES, SYNC_STATE
 from . import tables
@@ -56,7 +56,8 @@ def start_ingest(stream: DataFrame, feed: SalesFeed, checkpoint: str) -> Streami
         session = batch.sparkSession
         scanned = purchases.scan_pos(batch, feed.lookups.store_rules)
         lines = purchases.clean_lines(scanned, feed.lookups, feed.limits)
-        stored = tables.other_batches(session, feed.path("purchases"), PURCHASES, batch_id)
+        history = tables.other_batches(session, feed.path("purchases"), PURCHASES, batch_id)
+        stored = near(history, scanned, "ticket_id")
         new = purchases.new_purchases(purchases.accepted(lines), stored)
         tables.write_batch(new, feed.path("purchases"), batch_id)
         bad = purchases.rejected(lines).select(
