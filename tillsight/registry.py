@@ -42,15 +42,15 @@ def comparable(df: DataFrame) -> DataFrame:
     """Decimals as double, dates as ISO text, instants without zone."""
     columns = []
     for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
+        name = f"`{field.name}`"
         if isinstance(field.dataType, T.DecimalType):
-            column = column.cast("double")
+            name = f"CAST({name} AS DOUBLE) AS {name}"
         elif isinstance(field.dataType, T.DateType):
-            column = F.date_format(column, "yyyy-MM-dd")
+            name = f"date_format({name}, 'yyyy-MM-dd') AS {name}"
         elif isinstance(field.dataType, T.TimestampType):
-            column = column.cast("timestamp_ntz")
-        columns.append(column.alias(field.name))
-    return df.select(*columns)
+            name = f"CAST({name} AS TIMESTAMP_NTZ) AS {name}"
+        columns.append(name)
+    return df.selectExpr(*columns)
 
 
 def query(function: Query) -> Query:
@@ -76,12 +76,20 @@ def _purchases(spark: SparkSession, folder: str) -> DataFrame:
     return purchases.purchases_from_pos(star.pos_lines(spark, folder), star.LOOKUPS, star.LIMITS)
 
 
+def _stored_purchases(spark: SparkSession, folder: str) -> DataFrame:
+    """The purchases as a written table, for queries that read them twice."""
+    bought = _purchases(spark, folder)
+    path = scratch_path(spark, "purchases")
+    bought.write.parquet(path)
+    return spark.read.schema(bought.schema).parquet(path)
+
+
 def _summary(spark: SparkSession, folder: str) -> DataFrame:
     return customers.customer_360(_purchases(spark, folder), star.SALES_AS_OF, star.LIMITS)
 
 
-def _base(spark: SparkSession, folder: str) -> DataFrame:
-    return customers.customer_base(_purchases(spark, folder), star.SALES_AS_OF, star.LIMITS)
+def _base(bought: DataFrame) -> DataFrame:
+    return customers.customer_base(bought, star.SALES_AS_OF, star.LIMITS)
 
 
 def _enriched(spark: SparkSession, folder: str) -> DataFrame:
@@ -171,7 +179,7 @@ def customer_360(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def customer_base(spark: SparkSession, folder: str) -> DataFrame:
-    return _base(spark, folder)
+    return _base(_purchases(spark, folder))
 
 
 @query
@@ -244,7 +252,10 @@ def sync_state_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def sync_status(spark: SparkSession, folder: str) -> DataFrame:
-    return enrich.sync_totals(_purchases(spark, folder), _enriched(spark, folder))
+    bought = _stored_purchases(spark, folder)
+    summary = customers.customer_360(bought, star.SALES_AS_OF, star.LIMITS)
+    enriched = enrich.enriched_360(summary, star.contacts(spark, folder), star.LOOKUPS)
+    return enrich.sync_totals(bought, enriched)
 
 
 @query
@@ -267,12 +278,13 @@ def ticket_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def order_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return profiles.order_metrics(_base(spark, folder))
+    return profiles.order_metrics(_base(_purchases(spark, folder)))
 
 
 @query
 def customer_profile(spark: SparkSession, folder: str) -> DataFrame:
-    profile = profiles.customer_profile(_base(spark, folder), _purchases(spark, folder))
+    bought = _stored_purchases(spark, folder)
+    profile = profiles.customer_profile(_base(bought), bought)
     recent = F.transform("recent_purchases", lambda p: F.concat_ws(":", p["ticket_id"], p["product_code"]))
     return profile.select(
         "phone", "name", "total_orders", "total_lifetime", "buyer_tier", "is_lapsed",
@@ -287,7 +299,7 @@ def profile_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def style_buyers(spark: SparkSession, folder: str) -> DataFrame:
-    bought = _purchases(spark, folder)
+    bought = _stored_purchases(spark, folder)
     return styles.style_buyers(bought, customers.customer_names(bought), STYLE)
 
 
@@ -298,7 +310,7 @@ def style_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def style_buyers_all(spark: SparkSession, folder: str) -> DataFrame:
-    bought = _purchases(spark, folder)
+    bought = _stored_purchases(spark, folder)
     return styles.buyers_by_style(bought, customers.customer_names(bought))
 
 

@@ -72,14 +72,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+# A phone with country code and blanks; every seventeenth customer has none.
+PHONE = """CASE WHEN c_custkey % 17 = 0 THEN '12-34'
+    ELSE concat('+52 1 ', CAST(220 + c_nationkey AS STRING), ' ',
+                lpad(CAST(c_custkey DIV 2 AS STRING), 7, '0')) END"""
+
+
 def _phone() -> Column:
-    valid = F.concat(
-        F.lit("+52 1 "),
-        (F.lit(220) + F.col("c_nationkey")).cast("string"),
-        F.lit(" "),
-        F.lpad(F.floor(F.col("c_custkey") / 2).cast("string"), 7, "0"),
-    )
-    return F.when(F.col("c_custkey") % 17 == 0, F.lit("12-34")).otherwise(valid)
+    return F.expr(PHONE)
 
 
 def pos_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,42 +88,37 @@ def pos_lines(spark: SparkSession, folder: str) -> DataFrame:
     Orders and customers are joined first, so line items meet two large tables
     (order keys, part keys) and not three.
     """
-    money = "decimal(12,2)"
     tickets = (
         table(spark, folder, "orders")
-        .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .select(
+        .join(table(spark, folder, "customer"), F.expr("o_custkey = c_custkey"))
+        .selectExpr(
             "o_orderkey",
-            F.col("o_orderdate").cast("date").alias("purchase_date"),
-            F.col("o_orderpriority").alias("seller"),
-            F.col("c_name").alias("customer_name"),
-            _phone().alias("phone_raw"),
-            F.col("c_mktsegment").alias("lead_source"),
+            "CAST(o_orderdate AS DATE) AS purchase_date",
+            "o_orderpriority AS seller",
+            "c_name AS customer_name",
+            f"{PHONE} AS phone_raw",
+            "c_mktsegment AS lead_source",
         )
     )
-    lines = table(spark, folder, "lineitem")
     return (
-        lines.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(tickets, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(
-            F.concat(F.lit("TS000"), (F.col("s_nationkey") % 3 + 1).cast("string")).alias("store_code"),
-            F.col("o_orderkey").cast("string").alias("ticket_id"),
-            F.col("l_linenumber").cast("bigint").alias("line_no"),
-            F.when(F.col("l_returnflag") == "R", F.lit("DV")).otherwise(F.lit("TK")).alias("movement"),
+        table(spark, folder, "lineitem")
+        .join(table(spark, folder, "supplier"), F.expr("l_suppkey = s_suppkey"))
+        .join(table(spark, folder, "part"), F.expr("l_partkey = p_partkey"))
+        .join(tickets, F.expr("l_orderkey = o_orderkey"))
+        .selectExpr(
+            "concat('TS000', CAST(s_nationkey % 3 + 1 AS STRING)) AS store_code",
+            "CAST(o_orderkey AS STRING) AS ticket_id",
+            "CAST(l_linenumber AS BIGINT) AS line_no",
+            "CASE WHEN l_returnflag = 'R' THEN 'DV' ELSE 'TK' END AS movement",
             "purchase_date",
             "seller",
-            F.concat(
-                F.col("p_size").cast("string"), F.lit("/"),
-                (F.col("p_partkey") % 200).cast("string"),
-                F.upper(F.left("p_type", F.lit(2))),
-                F.lit("-"), F.col("l_linenumber").cast("string"),
-            ).alias("product_code_raw"),
-            F.col("p_name").alias("description"),
-            F.col("p_brand").alias("brand"),
-            F.col("l_quantity").cast(money).alias("qty"),
-            F.col("p_retailprice").cast(money).alias("unit_price"),
-            F.concat("l_returnflag", "l_linestatus").alias("payment_method"),
+            """concat(CAST(p_size AS STRING), '/', CAST(p_partkey % 200 AS STRING),
+                upper(left(p_type, 2)), '-', CAST(l_linenumber AS STRING)) AS product_code_raw""",
+            "p_name AS description",
+            "p_brand AS brand",
+            "CAST(l_quantity AS DECIMAL(12,2)) AS qty",
+            "CAST(p_retailprice AS DECIMAL(12,2)) AS unit_price",
+            "concat(l_returnflag, l_linestatus) AS payment_method",
             "customer_name",
             "phone_raw",
             "lead_source",
