@@ -22,7 +22,7 @@ def test_csv_shapes(spark, tmp_path):
     path = write(
         tmp_path / "c.csv",
         '﻿Contact ID,PhoneNumber,City,FirstName\r\n'
-        '1,"55 1234 5678","Canc""un, QR","two\nlines"\r\n'
+        '1,"220 765 4321","Nation ""1"", x","two\nlines"\r\n'
         "\r\n"
         "2,short\r\n"
         "3,p,c,n,extra\r\n",
@@ -30,7 +30,7 @@ def test_csv_shapes(spark, tmp_path):
     got = csvfiles.read_contacts(spark, path).orderBy("row_no")
     values = [tuple(r) for r in got.select("contact_id", "phone", "ciudad", "first_name", "assignee").collect()]
     assert values == [
-        ("1", "55 1234 5678", 'Canc"un, QR', "two\nlines", ""),
+        ("1", "220 765 4321", 'Nation "1", x', "two\nlines", ""),
         ("2", "short", "", "", ""),
         ("3", "p", "c", "n", ""),
     ]
@@ -104,14 +104,14 @@ def test_json_envelopes(spark):
 def test_canonical_lines_feed_the_cleaner(spark):
     rows = spark.createDataFrame(
         [("7", "2024-01-02T00:00:00", "1-URGENT ", "24/9EC-U", "", "brand", "2.5", "10.1x", "CA", "Ann",
-          "+52 55 1234 5678", "web")],
+          "+52 220 765 4321", "web")],
         "NO_REFEREN string, Fecha string, Vendedor string, Articulo string, Descripcion string, Marca string, "
         "Cantidad string, Precio_Venta string, PAGO2 string, CustCliente string, CustPhone string, CustGUIA string",
     )
     lines = pos.canonical_lines(rows, "TS0001")
     got = purchases.purchases_from_pos(lines, star.LOOKUPS, star.LIMITS).first()
     assert (got.phone, got.purchase_date, got.product_code, got.category) == (
-        "5512345678", dt.date(2024, 1, 2), "9EC", "cat_a",
+        "2207654321", dt.date(2024, 1, 2), "9EC", "cat_a",
     )
     assert (got.product_name, got.qty, str(got.unit_price), str(got.line_total)) == ("brand", 3, "10.10", "25.25")
 
@@ -123,7 +123,7 @@ def test_numbers_that_do_not_fit_are_rejected(spark):
     ).selectExpr(
         "store_code", "ticket_id", "0L AS line_no", "'TK' AS movement", "DATE'2024-01-01' AS purchase_date",
         "'' AS seller", "'1EC' AS product_code_raw", "'' AS description", "'' AS brand", "qty", "unit_price",
-        "'' AS payment_method", "'n' AS customer_name", "'5512345678' AS phone_raw", "'' AS lead_source",
+        "'' AS payment_method", "'n' AS customer_name", "'2207654321' AS phone_raw", "'' AS lead_source",
     )
     cleaned = purchases.clean_lines(lines, star.LOOKUPS, star.LIMITS)
     assert [(r.ticket_id, r.reject_reason) for r in purchases.rejected(cleaned).collect()] == [
@@ -159,6 +159,18 @@ def test_latest_rows_break_ties_by_id(spark):
     assert [r.v for r in snapshots.latest_rows(df, "contacts").collect()] == [2]
 
 
+def test_splittable_reading_keeps_the_order(spark, tmp_path):
+    path = write(tmp_path / "s.csv", "ContactID\n" + "".join(f"{i:06d}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = csvfiles.read_csv(spark, path, {"contact_id": ("ContactID",)}, quoted_line_breaks=False)
+        assert df.rdd.getNumPartitions() > 1
+        got = [r.contact_id for r in df.orderBy("row_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"{i:06d}" for i in range(5000)]
+
+
 def test_additive_evolution_reads_missing_columns_as_null(spark, tmp_path):
     path = str(tmp_path / "old")
     spark.createDataFrame([("p",)], "phone string").write.parquet(path)

@@ -66,11 +66,9 @@ def resolve_headers(
     return found
 
 
-def _reader(spark: SparkSession):
-    # A file with quoted line breaks is read by one task; exports arrive as many
-    # chunk files, which are read in parallel.
+def _reader(spark: SparkSession, quoted_line_breaks: bool = True):
     return (
-        spark.read.option("multiLine", True)
+        spark.read.option("multiLine", quoted_line_breaks)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
@@ -94,13 +92,18 @@ def read_csv(
     wanted: Mapping[str, Sequence[str]],
     required: Sequence[str] = (),
     duplicates: str = FIRST,
+    quoted_line_breaks: bool = True,
 ) -> DataFrame:
     """Rows of all CSV files under a path, as strings under the wanted names.
 
     Columns that the export lacks are empty. Every file must have the same
     header line; Spark checks that where header names are unique. ``file`` and
-    ``row_no`` give the position of a row: one task reads a file from front to
-    back, so ``row_no`` grows with the position inside it.
+    ``row_no`` order the rows: ``row_no`` is the start of the piece of the file a
+    task read, and a number that grows within it.
+
+    A file with quoted line breaks must be read from its start by one task;
+    exports arrive as many small chunk files, which are read in parallel. Large
+    files without line breaks in values are split with ``quoted_line_breaks=False``.
     """
     header = read_header(spark, path)
     positions = resolve_headers(header, wanted, required, duplicates)
@@ -108,10 +111,13 @@ def read_csv(
     unique = len(set(keys)) == len(keys) and all(keys)
     names = [name if unique else f"_c{i}" for i, name in enumerate(header)]
     schema = StructType([StructField(name, StringType()) for name in names])
-    raw = _reader(spark).schema(schema).option("enforceSchema", not unique).csv(path, header=True)
+    raw = _reader(spark, quoted_line_breaks).schema(schema).option("enforceSchema", not unique).csv(path, header=True)
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("row_no"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("row_no"),
         *[
             (F.lit("") if at is None else text.or_empty(F.col(f"`{names[at]}`"))).alias(output)
             for output, at in positions.items()
