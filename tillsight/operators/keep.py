@@ -36,7 +36,8 @@ def near(table: DataFrame, batch: DataFrame, column: str) -> DataFrame:
     go through the driver and reach the scan, which skips the files and row
     groups of older keys instead of reading the whole history.
     """
-    bounds = batch.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    keys = batch.filter(F.col(column) != "")
+    bounds = keys.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
     if bounds["low"] is None:
         return table.filter(F.lit(False))
     return table.filter(F.col(column).between(bounds["low"], bounds["high"]))

@@ -68,22 +68,19 @@ def upsert_customers(old: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
-def merge_sync_state(old: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row per feed: row counts accumulate, the latest run gives the rest.
+def sync_state(runs: DataFrame) -> DataFrame:
+    """One row per feed from its runs: row counts add up, the latest run gives the rest.
 
-    Runs at the same instant are ordered by cursor.
+    Runs at the same instant are ordered by cursor. A stored state is a run like
+    any other, so ``sync_state(state.unionByName(runs))`` merges new runs into it.
     """
-    both = old.unionByName(runs)
-    latest = F.struct("last_run_at", F.try_to_number("last_cursor", F.lit("9" * 38)), "last_cursor",
-                      "status", "error_message")
-    merged = both.groupBy("sync_key").agg(
-        F.max(latest).alias("_latest"), F.sum("rows_synced").cast("bigint").alias("rows_synced")
+    latest = F.struct(
+        "last_run_at", F.col("last_cursor").try_cast("decimal(38,0)").alias("ticket"), "last_cursor",
+        "status", "error_message",
+    )
+    merged = runs.groupBy("sync_key").agg(
+        F.max(latest).alias("last"), F.sum("rows_synced").alias("rows_synced")
     )
     return merged.select(
-        "sync_key",
-        F.col("_latest.last_run_at"),
-        F.col("_latest.last_cursor"),
-        "rows_synced",
-        F.col("_latest.status"),
-        F.col("_latest.error_message"),
+        "sync_key", "last.last_run_at", "last.last_cursor", "rows_synced", "last.status", "last.error_message"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import customers, enrich, merge, purchases
 from ..operators.keep import near
-from ..schemas import CUSTOMERS, PURCHASES, SYNC_STATE
+from ..schemas import CUSTOMERS, PURCHASES, SYNC_STATE, column_names
 from ..streaming import tables
 from ..streaming.sales import REJECTS, SalesFeed, sync_runs
 
@@ -71,8 +71,7 @@ def refresh_customers(spark: SparkSession, feed: SalesFeed, run_id: int) -> None
     summary = customers.customer_360(known, feed.as_of, feed.limits)
     old = tables.latest_before(spark, feed.path("customers"), CUSTOMERS, run_id)
     merged = enrich.flag_cities(merge.upsert_customers(old, summary), feed.lookups.cities)
-    names = [field.name for field in spark.createDataFrame([], CUSTOMERS).schema]
-    tables.write_batch(merged.select(*names), feed.path("customers"), run_id)
+    tables.write_batch(merged.select(*column_names(CUSTOMERS)), feed.path("customers"), run_id)
 
 
 def stored_customers(spark: SparkSession, feed: SalesFeed) -> DataFrame:
@@ -83,7 +82,7 @@ def stored_customers(spark: SparkSession, feed: SalesFeed) -> DataFrame:
 def status(spark: SparkSession, feed: SalesFeed) -> tuple[DataFrame, DataFrame]:
     """Sync states by key, and the eight totals."""
     log = tables.read(spark, feed.path("sync_log"), SYNC_STATE).drop("batch_id")
-    states = merge.merge_sync_state(log, log.filter(F.lit(False))).orderBy("sync_key")
+    states = merge.sync_state(log).orderBy("sync_key")
     bought = tables.read(spark, feed.path("purchases"), PURCHASES)
     return states, enrich.sync_totals(bought, stored_customers(spark, feed))
 

@@ -246,8 +246,8 @@ def customers_upsert(spark: SparkSession, folder: str) -> DataFrame:
 def sync_state_merge(spark: SparkSession, folder: str) -> DataFrame:
     runs = star.sync_runs(spark, folder)
     is_old = F.col("last_run_at") < F.lit("1998-01-01").cast("timestamp")
-    old = merge.merge_sync_state(runs.filter(is_old), runs.filter(F.lit(False)))
-    return merge.merge_sync_state(old, runs.filter(~is_old))
+    stored = merge.sync_state(runs.filter(is_old))
+    return merge.sync_state(stored.unionByName(runs.filter(~is_old)))
 
 
 @query

@@ -28,6 +28,13 @@ CUSTOMERS = (
     "last_synced_at timestamp, created_at timestamp"
 )
 
+# What a roll-up gives: the customer table without the columns it owns itself.
+SUMMARY = ", ".join(
+    column
+    for column in CUSTOMERS.split(", ")
+    if column.split()[0] not in ("state", "is_priority_city", "city_priority_score", "created_at")
+)
+
 MESSAGES = (
     "message_id string, contact_id string, datetime timestamp, message_type string, "
     "content_type string, content_raw string, sender_type string, channel_id string, "

@@ -13,7 +13,7 @@ from ..functions.times import instant
 from ..operators import customers, merge, purchases
 from ..operators.keep import keep_last, near
 from ..params import Lookups, Thresholds
-from ..schemas import PURCHASES, SYNC_STATE
+from ..schemas import PURCHASES, SUMMARY, SYNC_STATE, column_names
 from . import tables
 
 REJECTS = "store_code string, ticket_id string, line_no bigint, product_code_raw string, reject_reason string"
@@ -46,11 +46,10 @@ def sync_runs(new: DataFrame, as_of: dt.date) -> DataFrame:
 def start_ingest(stream: DataFrame, feed: SalesFeed, checkpoint: str) -> StreamingQuery:
     """Append the new purchases of each batch, then refresh the customers it touched."""
     spark = stream.sparkSession
-    summary_schema = customer_schema(spark, feed)
     tables.create(spark, feed.path("purchases"), PURCHASES)
     tables.create(spark, feed.path("rejects"), REJECTS)
     tables.create(spark, feed.path("sync_log"), SYNC_STATE)
-    tables.create(spark, feed.path("customers"), summary_schema)
+    tables.create(spark, feed.path("customers"), SUMMARY)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -70,7 +69,8 @@ def start_ingest(stream: DataFrame, feed: SalesFeed, checkpoint: str) -> Streami
         written = known.filter(F.col("batch_id") == batch_id)
         tables.write_batch(sync_runs(written, feed.as_of), feed.path("sync_log"), batch_id)
         touched = customers.touched_customers(known, written, feed.as_of, feed.limits)
-        tables.write_batch(touched, feed.path("customers"), batch_id)
+        rows = touched.select(*column_names(SUMMARY))
+        tables.write_batch(rows, feed.path("customers"), batch_id)
 
     return (
         stream.writeStream.foreachBatch(process)
@@ -80,19 +80,13 @@ def start_ingest(stream: DataFrame, feed: SalesFeed, checkpoint: str) -> Streami
     )
 
 
-def customer_schema(spark: SparkSession, feed: SalesFeed) -> str:
-    empty = spark.createDataFrame([], PURCHASES)
-    summary = customers.customer_360(empty, feed.as_of, feed.limits)
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in summary.schema.fields)
-
-
 def stored_purchases(spark: SparkSession, feed: SalesFeed) -> DataFrame:
     return tables.read(spark, feed.path("purchases"), PURCHASES).drop("batch_id")
 
 
 def current_customers(spark: SparkSession, feed: SalesFeed) -> DataFrame:
     """The latest summary of each phone; date-dependent columns follow ``as_of``."""
-    stored = tables.read(spark, feed.path("customers"), customer_schema(spark, feed))
+    stored = tables.read(spark, feed.path("customers"), SUMMARY)
     latest = keep_last(stored, ["phone"], ["batch_id"]).drop("batch_id")
     return customers.with_derived(latest, feed.as_of, feed.limits)
 
@@ -100,4 +94,4 @@ def current_customers(spark: SparkSession, feed: SalesFeed) -> DataFrame:
 def sync_state(spark: SparkSession, feed: SalesFeed) -> DataFrame:
     """One row per feed, accumulated over all batches."""
     log = tables.read(spark, feed.path("sync_log"), SYNC_STATE).drop("batch_id")
-    return merge.merge_sync_state(log, log.filter(F.lit(False)))
+    return merge.sync_state(log)
