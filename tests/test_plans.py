@@ -142,6 +142,18 @@ def test_hot_phone_roll_up(hot):
         assert got.favorite_product == min(products, key=lambda v: (-products[v], v))
 
 
+def test_hot_phone_spreads_over_the_tasks(spark, hot):
+    """After the first shuffle no task holds more than its share of the rows."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        facts = customers._count_facts(hot, customers._base_facts(False) + customers._favorite_facts())
+        own = facts.filter("phone = '5500000000'")
+        sizes = [r["count"] for r in own.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 4 and max(sizes) < 1.5 * sum(sizes) / len(sizes)
+
+
 def test_hot_style_and_phone(hot):
     buyers = styles.buyers_by_style(hot.withColumn("product_code", F.lit("1EC-M")), customers.customer_names(hot))
     own = hot.filter("phone = '5500000000'")

@@ -66,30 +66,32 @@ def top_customers(customers: DataFrame, limit: int) -> DataFrame:
     return customers.orderBy(F.col("total_lifetime").desc_nulls_last(), "phone").limit(limit)
 
 
-def enrich_customers(customers: DataFrame, contacts: DataFrame, lookups: Lookups) -> DataFrame:
-    """Add respond_agent, respond_city and effective_agent; stored columns stay.
+def with_contact(customers: DataFrame, contacts: DataFrame, lookups: Lookups) -> DataFrame:
+    """Add respond_agent and respond_city; stored columns stay.
 
     The area-code city is used only when neither the contact nor the customer
     has a city. Both sides are unique by phone before they meet.
     """
     joined = customers.join(contact_index(contacts, lookups), "phone", "left")
     no_city = F.col("contact_city").isNull() & (text.strip(text.or_empty(F.col("city"))) == "")
+    city = F.when(no_city, F.col("area_city")).otherwise(F.col("contact_city"))
     return (
         with_area(joined, lookups)
-        .withColumns(
-            {
-                "respond_city": F.when(no_city, F.col("area_city")).otherwise(F.col("contact_city")),
-                "effective_agent": F.coalesce(
-                    text.non_empty(F.col("respond_agent")),
-                    text.non_empty(F.col("favorite_agent")),
-                    F.lit(UNASSIGNED),
-                ),
-            }
-        )
+        .withColumn("respond_city", city)
         .drop("contact_city", "area_city", "area_state")
     )
 
 
+def enrich_customers(customers: DataFrame, contacts: DataFrame, lookups: Lookups) -> DataFrame:
+    """Add the contact's agent and city, and the effective agent of each customer."""
+    agent = F.coalesce(
+        text.non_empty(F.col("respond_agent")),
+        text.non_empty(F.col("favorite_agent")),
+        F.lit(UNASSIGNED),
+    )
+    return with_contact(customers, contacts, lookups).withColumn("effective_agent", agent)
+
+
 def flag_cities(
     customers: DataFrame, cities: Sequence[PriorityCity], city: str = "city"
 ) -> DataFrame:
@@ -117,13 +119,10 @@ def flag_cities(
     ).drop("_city", "_found")
 
 
-def enriched_360(customers: DataFrame, contacts: DataFrame, lookups: Lookups) -> DataFrame:
-    """All customers enriched, with city flags from the stored or enriched city."""
-    enriched = enrich_customers(customers, contacts, lookups)
-    best = enriched.withColumn(
-        "best_city", F.coalesce(text.non_empty(F.col("city")), F.col("respond_city"))
-    )
-    return flag_cities(best, lookups.cities, "best_city")
+def flag_best_city(customers: DataFrame, lookups: Lookups) -> DataFrame:
+    """City flags from the stored city, else from the contact's."""
+    best = F.coalesce(text.non_empty(F.col("city")), F.col("respond_city"))
+    return flag_cities(customers.withColumn("best_city", best), lookups.cities, "best_city")
 
 
 def customer_stats(customers: DataFrame) -> DataFrame:

@@ -93,7 +93,14 @@ def _base(bought: DataFrame) -> DataFrame:
 
 
 def _enriched(spark: SparkSession, folder: str) -> DataFrame:
-    return enrich.enriched_360(_summary(spark, folder), star.contacts(spark, folder), star.LOOKUPS)
+    summary, people = _summary(spark, folder), star.contacts(spark, folder)
+    return enrich.flag_best_city(enrich.enrich_customers(summary, people, star.LOOKUPS), star.LOOKUPS)
+
+
+def _flagged(spark: SparkSession, folder: str, bought: DataFrame) -> DataFrame:
+    """Customer totals with city flags, for counts that need no favourites."""
+    people = star.contacts(spark, folder)
+    return enrich.flag_best_city(enrich.with_contact(_base(bought), people, star.LOOKUPS), star.LOOKUPS)
 
 
 def _arrived(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,7 +214,7 @@ def customers_enriched(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def customer_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return enrich.customer_stats(_enriched(spark, folder))
+    return enrich.customer_stats(_flagged(spark, folder, _purchases(spark, folder)))
 
 
 @query
@@ -253,9 +260,7 @@ def sync_state_merge(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def sync_status(spark: SparkSession, folder: str) -> DataFrame:
     bought = _stored_purchases(spark, folder)
-    summary = customers.customer_360(bought, star.SALES_AS_OF, star.LIMITS)
-    enriched = enrich.enriched_360(summary, star.contacts(spark, folder), star.LOOKUPS)
-    return enrich.sync_totals(bought, enriched)
+    return enrich.sync_totals(bought, _flagged(spark, folder, bought))
 
 
 @query
