@@ -8,12 +8,22 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillsight.llm import bpe, mixing
+from tillsight.llm import bpe, mixing, substrings
 from tillsight.llm.common import table, written
 from tillsight.llm.queries import VOCABULARY
 
 
+def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that an earlier document has; what becomes empty by that goes."""
+    cut = substrings.without_repeats(docs)
+    kept = cut.where("removed_words = 0 or text rlike '[^ \\t\\r\\n]'")
+    return kept.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(
+        *[f"`{c}`" for c in docs.columns]
+    )
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources, as rows of documents."""
     return mixing.copies(mixing.mixed(docs), docs.columns)
@@ -27,6 +37,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("substring_dedup", repeated_spans),
     ("mixing", mix),
     ("bpe", tokens),
 ]

@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing
+from . import bpe, mixing, substrings
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.query(table(spark, folder, "documents"))
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return bpe.query(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -23,7 +27,11 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op7_bpe": op7_bpe,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op10_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_substrings": substrings.ORACLE,
+    "op10_mixing": mixing.ORACLE,
+}
