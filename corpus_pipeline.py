@@ -10,11 +10,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import bpe, mixing, substrings
+from tillsight.llm import bpe, jaccard, mixing, substrings
 from tillsight.llm.common import table, written
 from tillsight.llm.queries import VOCABULARY
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard.one_of_each(docs)
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has; what becomes empty by that goes."""
     cut = substrings.without_repeats(docs)
@@ -37,6 +42,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("jaccard_join", near_duplicates),
     ("substring_dedup", repeated_spans),
     ("mixing", mix),
     ("bpe", tokens),
