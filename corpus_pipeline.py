@@ -10,11 +10,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import bpe, jaccard, mixing, substrings
+from tillsight.llm import bpe, jaccard, mixing, substrings, toxicity
 from tillsight.llm.common import table, written
 from tillsight.llm.queries import VOCABULARY
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    told = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return told.where("predicted = 0").select(*[f"`{c}`" for c in docs.columns])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return jaccard.one_of_each(docs)
@@ -42,6 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", clean),
     ("jaccard_join", near_duplicates),
     ("substring_dedup", repeated_spans),
     ("mixing", mix),

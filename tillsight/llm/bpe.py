@@ -41,16 +41,20 @@ from pyspark.sql import types as T
 from .common import slices
 
 SLICE = 4 << 20
-KNOWN = 160 << 20
+KNOWN = 96 << 20
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        pairs = (line.split() for line in lines if line.strip())
+        return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
 class Vocabulary:
     """Ranks of a rank file, and the merges they mean."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            pairs = (line.split() for line in lines if line.strip())
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        self.ranks = read_ranks(path)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.bytes = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         if (self.bytes < 0).any():
@@ -195,11 +199,17 @@ class Corpus:
                         waiting = word[at]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=1)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of every id, which is all that decoding needs."""
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
 #: White space other than a space and a line break, and the mark that cuts texts below.
 RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
 DOUBLE = ("  ", " \n", "\n ", "\n\n")
@@ -286,7 +296,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     """``df`` with the bytes of its ``ids`` in the column ``decoded``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(path).tokens.__getitem__
+        token = token_bytes(path).__getitem__
         for batch in slices(batches, "ids", 4 * SLICE):
             packed = batch.column(batch.schema.get_field_index("ids")).to_pylist()
             yield _with(batch, "decoded", [b"".join(map(token, _numbers(ids))) for ids in packed])
