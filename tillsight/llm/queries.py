@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, mixing, substrings, toxicity
+from . import bpe, jaccard, merkle, mixing, substrings, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,10 @@ def op2_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.query(table(spark, folder, "documents"))
 
 
+def op4_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.query(table(spark, folder, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.query(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -37,11 +41,13 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_jaccard": op2_jaccard,
+    "op4_merkle": op4_merkle,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {
     "op1_substrings": substrings.ORACLE,
+    "op4_merkle": merkle.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
