@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, merkle, mixing, substrings, toxicity
+from . import bpe, jaccard, merkle, mixing, substrings, toxicity, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,10 @@ def op2_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.query(table(spark, folder, "documents"))
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.query(table(spark, folder, "pages"))
+
+
 def op4_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.query(table(spark, folder, "documents"))
 
@@ -41,6 +45,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_jaccard": op2_jaccard,
+    "op3_warc": op3_warc,
     "op4_merkle": op4_merkle,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_substrings": substrings.ORACLE,
+    "op3_warc": warc.ORACLE,
     "op4_merkle": merkle.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
