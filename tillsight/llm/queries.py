@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, merkle, mixing, substrings, toxicity, warc
+from . import bpe, htmltext, jaccard, merkle, mixing, substrings, toxicity, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,10 @@ def op4_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.query(table(spark, folder, "documents"))
 
 
+def op5_htmltext(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.query(table(spark, folder, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.query(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard": op2_jaccard,
     "op3_warc": op3_warc,
     "op4_merkle": op4_merkle,
+    "op5_htmltext": op5_htmltext,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op10_mixing": op10_mixing,
