@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmltext, jaccard, merkle, mixing, substrings, toxicity, warc
+from . import ann, bpe, htmltext, jaccard, merkle, mixing, quotes, substrings, toxicity, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,14 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.query(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op8_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.query(table(spark, folder, "conversations"))
+
+
+def op9_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.query(table(spark, folder, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.query(table(spark, folder, "documents"))
 
@@ -54,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_htmltext": op5_htmltext,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
+    "op8_quotes": op8_quotes,
+    "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {
