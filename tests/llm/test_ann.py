@@ -75,7 +75,11 @@ def test_given_embeddings(spark, folder):
 def test_candidates_are_abandoned():
     dice = np.random.default_rng(1)
     x = dice.standard_normal((1000, 65))
-    q = x[0] + 0.01
-    bound = float(np.sort(((x - q) ** 2).sum(axis=1))[19])
-    kept = ann.scan(x, np.ascontiguousarray(x.T), q, q, bound, ann.Search())
-    assert set(np.argsort(((x - q) ** 2).sum(axis=1))[:18]) <= set(kept) and len(kept) <= 20
+    q = x[:3] + 0.01
+    square = ((x[None] - q[:, None]) ** 2).sum(axis=2)
+    bounds = np.sort(square, axis=1)[:, 19]
+    for few in (0.0, 0.1, 1.0):  # all as products, both ways, all pair by pair
+        at, to = ann.scan(np.ascontiguousarray(x.T), q, bounds, ann.Search(few=few))
+        for n in range(3):
+            kept = set(to[at == n])
+            assert set(np.argsort(square[n])[:18]) <= kept and len(kept) <= 20

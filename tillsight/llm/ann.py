@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,14 +44,15 @@ RESULT = "query_id long, vec_id long, score double"
 class Search:
     k: int = 20
     sample: int = 20_000
-    per_list: int = 400
+    per_list: int = 1000
     most_lists: int = 2048
     trials: int = 100
     recall: float = 0.97
-    columns: int = 8
+    columns: int = 16
+    few: float = 0.1
     slack: float = 2.1
     block: int = 2000
-    queries: int = 500
+    queries: int = 250
     seed: int = 5
 
 
@@ -184,20 +186,57 @@ def probing(queries: DataFrame, index: Index, first: int, last: int) -> DataFram
     return queries.mapInArrow(run, "query_id long, q array<double>, bound double, list int")
 
 
-def scan(x: np.ndarray, turned: np.ndarray, q: np.ndarray, turned_q: np.ndarray, bound: float, search: Search) -> np.ndarray:
-    """Places of the candidates that no test abandons; ``turned`` by column."""
-    total = len(turned_q)
-    left = np.arange(turned.shape[1])
-    partial = np.zeros(len(left))
-    for start in range(0, total, search.columns):
+def scan(turned: np.ndarray, turned_q: np.ndarray, bounds: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (place of query, place of candidate) that no test abandons.
+
+    ``turned`` holds candidates by column, ``turned_q`` queries by row. While many
+    pairs are left, a column block is read for all of them as one product, without the
+    candidates that every query has abandoned; then pair by pair.
+    """
+    total, count = turned.shape
+    places = np.arange(count)
+    partial = np.zeros((len(turned_q), count))
+    alive = np.ones(partial.shape, dtype=bool)
+    start = 0
+
+    def limit(stop: int) -> np.ndarray:
+        if stop == total:
+            return bounds * (1 + 1e-9) + 1e-9
+        return bounds * (1 + search.slack / np.sqrt(stop)) ** 2 * stop / total
+
+    while start < total and alive.size and alive.mean() > search.few:
+        stop = min(start + search.columns, total)
+        own, asked = turned[start:stop], turned_q[:, start:stop]
+        partial += (asked**2).sum(axis=1)[:, None] + (own**2).sum(axis=0) - 2 * asked @ own
+        alive &= partial <= limit(stop)[:, None]
+        left = alive.any(axis=0)
+        if left.mean() < 0.8:
+            places, turned, partial, alive = places[left], turned[:, left], partial[:, left], alive[:, left]
+        start = stop
+    q, x = np.nonzero(alive)
+    square = partial[q, x]
+    while start < total and len(q):
         stop = min(start + search.columns, total)
-        partial += ((turned[start:stop, left] - turned_q[start:stop, None]) ** 2).sum(axis=0)
-        if stop < total:
-            near = partial * (total / stop) <= bound * (1 + search.slack / np.sqrt(stop)) ** 2
-        else:
-            near = partial <= bound * (1 + 1e-9) + 1e-12
-        left, partial = left[near], partial[near]
-    return left
+        square = square + ((turned[start:stop, x] - turned_q[q, start:stop].T) ** 2).sum(axis=0)
+        near = square <= limit(stop)[q]
+        q, x, square, start = q[near], x[near], square[near], stop
+    return q, places[x]
+
+
+def block_best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, pairs, k: int):
+    """Of the pairs the k best of every query: places of queries, of candidates, exact scores."""
+    at, to = pairs
+    other = q_ids[at] != ids[to]
+    at, to = at[other], to[other]
+    scores = np.empty(len(at))
+    for start in range(0, len(at), 1 << 16):
+        part = slice(start, start + (1 << 16))
+        scores[part] = (q[at[part]] * x[to[part]]).sum(axis=1)
+    order = np.lexsort((ids[to], -scores, at))
+    at, to, scores = at[order], to[order], scores[order]
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    best = rank < k
+    return at[best], to[best], scores[best]
 
 
 def met(lists: DataFrame, sizes: DataFrame, probed: DataFrame, index: Index, search: Search) -> DataFrame:
@@ -222,13 +261,10 @@ def met(lists: DataFrame, sizes: DataFrame, probed: DataFrame, index: Index, sea
             ids = left.column("vec_id").to_numpy()
             turned = np.ascontiguousarray(index.turned(x).T)
             q = _matrix(right.column("q").combine_chunks(), width)
-            told = zip(right.column("query_id").to_pylist(), q, index.turned_queries(q), right.column("bound").to_pylist())
-            for query_id, own, turned_q, bound in told:
-                at = scan(x, turned, own, turned_q, np.inf if bound is None else bound, search)
-                at = at[ids[at] != query_id]
-                scores = x[at] @ own
-                best = _best(scores, ids[at], search.k)
-                out.append((np.full(len(best), query_id), ids[at][best], scores[best]))
+            q_ids = right.column("query_id").to_numpy()
+            bounds = pc.fill_null(right.column("bound"), np.inf).to_numpy()
+            at, to, scores = block_best(x, ids, q, q_ids, scan(turned, index.turned_queries(q), bounds, search), search.k)
+            out.append((q_ids[at], ids[to], scores))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         types = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "vec_id", "score"])
