@@ -193,9 +193,12 @@ def test_style_match(spark, code, matches):
 
 
 def test_clamps():
-    assert (window_days(None), window_days(0), window_days(999)) == (7, 1, 180)
-    assert (message_page_size(None), message_page_size(1), message_page_size(10**6)) == (5000, 100, 8000)
-    assert (customer_list_size(None), customer_list_size(1), customer_list_size(10**6)) == (1000, 50, 5000)
+    assert (window_days(None), window_days(999)) == (7, 999)
+    assert (message_page_size(None), message_page_size(10**6)) == (5000, 10**6)
+    assert (customer_list_size(None), customer_list_size(20_000)) == (1000, 20_000)
+    for size in (window_days, message_page_size, customer_list_size):
+        with pytest.raises(ValueError):
+            size(0)
 
 
 def test_lookup_keys_must_be_unique():

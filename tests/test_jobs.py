@@ -11,6 +11,7 @@ from tillsight import registry
 from tillsight.operators import customers, messages
 from tillsight.plans import sales, uploads
 from tillsight.schemas import CUSTOMERS, MESSAGES, column_names
+from tillsight.sources import snapshots
 from tillsight.sources import csvfiles, star
 from tillsight.streaming import tables
 from tillsight.streaming.sales import SalesFeed
@@ -55,6 +56,61 @@ def test_sales_runs_resume_and_repeat(spark, folder, tmp_path):
     assert sum(r.customers for r in counts.collect()) == listed.count()
 
 
+def test_identical_runs_leave_one_reject_and_the_mark_of_the_last_line(spark, tmp_path):
+    from test_streams import ODD, lines_of
+
+    feed = SalesFeed(str(tmp_path / "sales"), star.LOOKUPS, star.LIMITS, star.SALES_AS_OF)
+    for run in (1, 2, 3):
+        sales.sync(lines_of(spark, *ODD), feed, run, reset=run == 3)
+    rejects = tables.read(spark, feed.path("rejects"), "ticket_id string, reject_reason string")
+    assert rejects.filter("reject_reason = 'phone_invalid'").count() == 1
+    assert rejects.count() == rejects.select("ticket_id", "reject_reason", ).distinct().count() + 1  # '' and missing
+    assert sales.marks(spark, feed, 4) == {store: 9 if store == "TS0001" else None for store in feed.stores()}
+    states = {r.sync_key: r.rows_synced for r in sales.status(spark, feed)[0].collect()}
+    assert states["sales_sync_TS0001"] == 2 and len(states) == len(feed.stores())
+
+
+def test_readers_of_versions_read_one_folder(spark, tmp_path):
+    root = str(tmp_path / "versions")
+    for number in range(3):
+        tables.write_version(spark.range(number), root, f"run.{number}")
+    newest = tables.newest_version(spark, root, "id bigint")
+    assert newest.count() == 2 and len(newest.inputFiles()) >= 1
+    assert all("batch=run.2" in file for file in newest.inputFiles())
+    assert tables.newest_version(spark, root, "id bigint", but="run.2").count() == 1
+    tables.write_version(spark.range(0), root, "run.3")
+    assert tables.newest_version(spark, root, "id bigint").count() == 0
+
+
+def test_an_empty_snapshot_replaces_the_last(spark, tmp_path):
+    root = str(tmp_path)
+    snapshots.publish(spark.createDataFrame([("a",)], "v string"), root, "contacts", dt.datetime(2024, 1, 1))
+    snapshots.publish(spark.createDataFrame([], "v string"), root, "contacts", dt.datetime(2024, 1, 2))
+    assert snapshots.read_latest(spark, root, "contacts").count() == 0
+
+
+def test_last_contact_wins_in_file_order(spark, tmp_path):
+    from tillsight.operators.enrich import contact_index
+
+    head = "ContactID,PhoneNumber,ciudad\n"
+    (tmp_path / "a.csv").write_text(head + "1,5500000001,old\n")
+    (tmp_path / "b.csv").write_text(head + "".join(f"{i},55{i:08d},new\n" for i in range(1, 4000)))
+    index = contact_index(csvfiles.read_contacts(spark, str(tmp_path)), star.LOOKUPS)
+    assert index.filter("phone = '5500000001'").first().contact_city == "new"
+
+
+def test_beacon_times_and_zero_scores(spark):
+    from tillsight.operators import activity
+
+    rows = [("a", "page_open", t) for t in (None, "", "  ", "no time", "2024-01-02 03:04:05")]
+    beacons = spark.createDataFrame(rows, "agent string, event string, ts string").withColumn("detail", F.lit(None).cast("string"))
+    got = sorted(r.ts for r in activity.accept_beacons(beacons, AS_OF).collect())
+    assert got == [dt.datetime(2024, 1, 2, 3, 4, 5)] + [AS_OF] * 4
+    assert activity.beacon_counts(beacons, AS_OF).first().asDict() == {"accepted": 5, "rejected": 0, "unreadable_times": 1}
+    scores = spark.createDataFrame([(0,), (3,), (None,)], "score int")
+    assert [r.score for r in activity.accept_checkins(scores, AS_OF).collect()] == ["", "3", ""]
+
+
 def test_message_upload_twice(spark, tmp_path):
     path = str(tmp_path / "csv")
     rows = [("2024-01-01 10:00:00", "c1", "m1", "Incoming", "Text", "hi"),
@@ -67,13 +123,25 @@ def test_message_upload_twice(spark, tmp_path):
     root = str(tmp_path / "root")
     for run in (1, 2):
         uploads.ingest_messages(spark, path, root, run, AS_OF, "u1")
-    assert tables.read(spark, f"{root}/messages", MESSAGES).count() == 3
+    assert uploads.stored_messages(spark, root).count() == 2
     log = uploads.import_log(spark, root).orderBy("id").collect()
-    assert [(r.rows_total, r.rows_inserted, r.rows_skipped) for r in log] == [(4, 3, 1), (4, 0, 4)]
-    kept = uploads.retained_messages(spark, root, AS_OF)
+    # the second run finds the pruned message gone, takes it and prunes it again
+    assert [(r.rows_total, r.rows_inserted, r.rows_skipped) for r in log] == [(4, 3, 1), (4, 1, 3)]
+    kept = uploads.stored_messages(spark, root)  # the only chunk is the last one, so it pruned
     assert sorted(r.message_id for r in kept.collect()) == ["m1", "m3"]
-    uploads.compact_messages(spark, root, str(tmp_path / "new"), AS_OF)
-    assert tables.read(spark, str(tmp_path / "new" / "messages"), MESSAGES).count() == 2
+    uploads.compact_messages(spark, root, str(tmp_path / "new"))
+    assert sorted(r.message_id for r in uploads.stored_messages(spark, str(tmp_path / "new")).collect()) == ["m1", "m3"]
+
+
+def test_only_the_last_chunk_prunes(spark, tmp_path):
+    names = "`Date & Time` string, `Contact ID` string, `Message ID` string"
+    root = str(tmp_path / "root")
+    for index, row in enumerate([("2023-01-01 10:00:00", "c", "old"), ("2024-01-01 10:00:00", "c", "new")]):
+        path = str(tmp_path / f"csv{index}")
+        csvfiles.write_csv(spark.createDataFrame([row], names).coalesce(1), path)
+        uploads.ingest_messages(spark, path, root, index, AS_OF, "u", index, 2)
+        assert uploads.stored_messages(spark, root).count() == 1  # first "old", then "new" alone
+    assert uploads.stored_messages(spark, root).first().message_id == "new"
 
 
 def chunk(folder, upload, index, ids):
@@ -93,8 +161,11 @@ def test_contact_chunks(spark, tmp_path):
     snapshot = uploads.contact_snapshot(spark, root)
     order = [(r.contact_id, r.ciudad) for r in snapshot.orderBy("row_no").collect()]
     assert order == [("a", "x0"), ("b", "x0"), ("c", "x1"), ("a", "x1")]
-    log = uploads.import_log(spark, root).first()
-    assert (log.rows_total, log.rows_skipped, log.details) == (4, 0, '{"newContacts":4}')
+    entries = uploads.import_log(spark, root)
+    log = entries.filter("kind = 'contacts'").first()
+    assert (log.rows_total, log.rows_skipped, log.total_chunks, log.details) == (4, 0, None, '{"newContacts":4}')
+    parts = entries.filter("kind = 'contacts-chunk'").orderBy("chunk_index").collect()
+    assert [(r.chunk_index, r.total_chunks, r.rows_total, r.status) for r in parts] == [(0, 2, 0, "ok"), (1, 2, 0, "ok")]
 
     chunk(folder, "u2", 0, [("a", 1), ("z", 9)])
     uploads.ingest_contacts(spark, str(folder), root, 2, dt.datetime(2024, 2, 1), "u2", 1)

@@ -6,6 +6,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from tillsight.registry import QUERIES
 
 ORACLES = entry.oracle_sql()
 
@@ -15,7 +16,7 @@ def database(folder):
     return compare.connect(folder)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, folder, database, name):
     assert name in ORACLES
     df = entry.queries()[name](spark, folder)

@@ -178,12 +178,12 @@ def test_additive_evolution_reads_missing_columns_as_null(spark, tmp_path):
     assert (row.phone, row.sales_channel) == ("p", None)
 
 
-def test_marks_take_whole_tickets_and_skip_text_ids(spark):
+def test_marks_take_whole_tickets_and_pass_text_ids_on(spark):
     lines = spark.createDataFrame(
         [("A", "9"), ("A", "10"), ("A", "10"), ("A", "x"), ("B", "1"), ("C", "5")],
         "store_code string, ticket_id string",
     )
     got = purchases.after_marks(lines, {"A": 9, "B": None})
-    assert sorted(tuple(r) for r in got.collect()) == [("A", "10"), ("A", "10"), ("B", "1")]
+    assert sorted(tuple(r) for r in got.collect()) == [("A", "10"), ("A", "10"), ("A", "x"), ("B", "1")]
     marks = purchases.high_water_marks(got.filter(F.col("store_code") == "A")).first()
-    assert (marks.last_ticket, marks.lines) == (10, 2)
+    assert (marks.last_ticket, marks.lines) == (10, 3)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from tillsight import registry
 from tillsight.operators import activity as batch_activity
-from tillsight.operators import customers, messages
-from tillsight.schemas import MESSAGES
+from tillsight.operators import customers, keep
+from tillsight.schemas import MESSAGES, POS_LINES
 from tillsight.sources import star
 from tillsight.streaming import activity, sales, tables
 from tillsight.streaming import messages as message_stream
@@ -42,19 +44,79 @@ def test_restart_stores_nothing_twice(spark, folder, tmp_path):
     assert counters.t == counters.i + counters.s and counters.i == expected.count()
 
 
-def test_lost_checkpoint_replays_without_duplicates(spark, folder, tmp_path):
-    """A batch that is repeated after its write replaces its own folder."""
+def test_new_checkpoint_replays_several_batches_without_duplicates(spark, folder, tmp_path):
+    """The batches of the old stream stay; the new one finds all their rows."""
     feed = star.raw_messages(spark, folder)
     root = str(tmp_path)
-    land(feed, f"{root}/landing")
-    for attempt in ("a", "b"):
+
+    def run(checkpoint):
         source = spark.readStream.schema(feed.schema).parquet(f"{root}/landing")
-        message_stream.start_ingest(source, root, f"{root}/checkpoint-{attempt}").awaitTermination()
+        message_stream.start_ingest(source, root, f"{root}/{checkpoint}").awaitTermination()
+
+    for part in ("arrival % 3 = 0", "arrival % 3 = 1", "arrival % 3 = 2"):
+        land(feed.filter(part), f"{root}/landing")
+        run("checkpoint-a")
+    run("checkpoint-b")
     stored = tables.read(spark, f"{root}/messages", MESSAGES)
+    assert stored.select("batch").distinct().count() == 3
     assert stored.count() == stored.select("message_id").distinct().count()
     assert stored.count() == registry._messages(spark, folder).count()
 
 
+def lines_of(spark, *rows):
+    """(ticket, line, phone) as ticket lines of one store."""
+    values = [("TS0001", t, n, "TK", dt.date(2024, 1, 1), "s", "1/2EC", "d", "b", 1, 10, "CA", "name", p, "web") for t, n, p in rows]
+    return spark.createDataFrame(
+        [v[:9] + (Decimal(v[9]), Decimal(v[10])) + v[11:] for v in values], POS_LINES
+    )
+
+
+ODD = [("5", 1, "5511111111"), ("", 2, "5511111111"), (None, 3, "5511111111"), ("A7", 4, "5522222222"), ("0", 5, "5522222222"), ("9", 6, "12")]
+
+
+def test_replayed_sales_count_once(spark, tmp_path):
+    """Blank, missing and textual tickets are rejected once; sums and marks stay."""
+    root = str(tmp_path)
+    feed = sales.SalesFeed(f"{root}/sales", star.LOOKUPS, star.LIMITS, star.SALES_AS_OF)
+
+    def run(checkpoint):
+        source = spark.readStream.schema(POS_LINES).parquet(f"{root}/landing")
+        sales.start_ingest(source, feed, f"{root}/{checkpoint}").awaitTermination()
+
+    for upload in range(3):
+        land(lines_of(spark, *ODD, (str(10 + upload), 1, "5511111111")), f"{root}/landing")
+        run("checkpoint-a")
+    run("checkpoint-b")
+    bought = sales.stored_purchases(spark, feed)
+    assert sorted(r.ticket_id for r in bought.collect()) == ["0", "10", "11", "12", "5"]
+    totals = {r.phone: float(r.total_lifetime) for r in sales.current_customers(spark, feed).collect()}
+    assert totals == {"5511111111": 40.0, "5522222222": 10.0}
+    rejects = tables.read(spark, feed.path("rejects"), sales.REJECTS)
+    reasons = Counter(r.reject_reason for r in rejects.collect())
+    assert reasons == {"ticket_invalid": 3, "phone_invalid": 1}
+    state = {r.sync_key: (r.last_cursor, r.rows_synced) for r in sales.sync_state(spark, feed).collect()}
+    assert state["sales_sync_TS0001"] == ("12", 5) and state["sales_sync_TS0002"] == (None, 0)
+    sales.compact_customers(spark, feed, f"{root}/compact")
+    small = sales.SalesFeed(f"{root}/compact", star.LOOKUPS, star.LIMITS, star.SALES_AS_OF)
+    assert set(sales.current_customers(spark, small).collect()) == set(sales.current_customers(spark, feed).collect())
+
+
+def test_a_batch_reads_the_facts_of_its_buckets_only(spark, tmp_path, capsys):
+    root = str(tmp_path)
+    feed = sales.SalesFeed(f"{root}/sales", star.LOOKUPS, star.LIMITS, star.SALES_AS_OF)
+    sales.create(spark, feed)
+    lines = lines_of(spark, *[(str(n), 1, f"55{n:08d}") for n in range(1, 200)])
+    sales.refresh_touched(sales.store_batch(lines, feed, "run.1"), feed, "run.1")
+    new = sales.store_batch(lines_of(spark, ("900", 1, "5500000007")), feed, "run.2")
+    sales.refresh_touched(new, feed, "run.2")
+    written = tables.of_batch(spark, feed.path("customers"), "phone string, total_orders bigint", "run.2").collect()
+    assert [(r.phone, r.total_orders) for r in written] == [("5500000007", 2)]
+    known = keep.known_keys(sales.stored_purchases(spark, feed), new, ["ticket_id"])
+    known.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan  # the history is filtered before any shuffle
+
+
 def test_touched_customers_equal_full_recompute(spark, folder, tmp_path):
     lines = star.pos_lines(spark, folder)
     root = str(tmp_path)
@@ -70,40 +132,27 @@ def test_touched_customers_equal_full_recompute(spark, folder, tmp_path):
     log = tables.read(spark, feed.path("sync_log"), "sync_key string, rows_synced bigint")
     assert log.agg(F.sum("rows_synced")).first()[0] == sales.stored_purchases(spark, feed).count()
     rejects = tables.read(spark, feed.path("rejects"), sales.REJECTS)
-    assert rejects.count() == registry.purchase_rejects(spark, folder).count()
+    assert rejects.count() == registry.purchase_rejects(spark, folder).distinct().count()
 
 
-def test_late_beacons_beyond_the_watermark_are_left_to_the_batch_job(spark, tmp_path):
+def test_late_beacons_count_and_replays_do_not(spark, tmp_path):
     root = str(tmp_path)
     schema = "agent string, event string, detail string, ts timestamp"
 
+    def run(checkpoint):
+        source = activity.with_file(spark.readStream.schema(schema).parquet(f"{root}/landing"))
+        activity.start_daily(source, f"{root}/daily", f"{root}/{checkpoint}").awaitTermination()
+
     def upload(*rows):
         land(spark.createDataFrame([("a", "page_open", None, t) for t in rows], schema), f"{root}/landing")
-        source = spark.readStream.schema(schema).parquet(f"{root}/landing")
-        activity.start_daily(source, f"{root}/daily", f"{root}/checkpoint", "1 day").awaitTermination()
+        run("checkpoint-a")
 
     upload(dt.datetime(2024, 1, 1, 12), dt.datetime(2024, 1, 10, 12))
-    upload(dt.datetime(2024, 1, 9, 20))  # late, inside the watermark
-    upload(dt.datetime(2024, 1, 1, 13))  # too late
+    upload(dt.datetime(2024, 1, 9, 20))
+    upload(dt.datetime(2024, 1, 1, 13))  # nine days late
+    run("checkpoint-b")  # everything again
     days = {r.day: r.opens for r in activity.current_days(spark, f"{root}/daily").collect()}
-    assert days == {dt.date(2024, 1, 1): 1, dt.date(2024, 1, 9): 1, dt.date(2024, 1, 10): 1}
+    assert days == {dt.date(2024, 1, 1): 2, dt.date(2024, 1, 9): 1, dt.date(2024, 1, 10): 1}
     everything = spark.read.schema(schema).parquet(f"{root}/landing")
     batch = batch_activity.daily_activity(everything, dt.datetime(2024, 1, 11), 30)
-    assert {r.day: r.opens for r in batch.collect()}[dt.date(2024, 1, 1)] == 2
-
-
-def test_bounded_dedup(spark, tmp_path):
-    schema = "message_id string, received_at timestamp"
-    rows = [("m1", dt.datetime(2024, 1, 1, 10)), ("m1", dt.datetime(2024, 1, 1, 11)), ("m2", dt.datetime(2024, 1, 1, 12))]
-    land(spark.createDataFrame(rows, schema), str(tmp_path / "in"))
-    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    query = (
-        message_stream.bounded_dedup(source, "received_at", "6 hours")
-        .writeStream.format("parquet")
-        .option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    assert sorted(r.message_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["m1", "m2"]
+    assert {r.day: r.opens for r in batch.collect()} == days

@@ -7,6 +7,7 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text, times
 from ..params import LOCAL_ZONE
@@ -32,23 +33,41 @@ def _trimmed_beacons(beacons: DataFrame, as_of: dt.datetime) -> DataFrame:
         text.strip(text.or_empty(F.col("agent"))).alias("agent"),
         text.strip(text.or_empty(F.col("event"))).alias("event"),
         "detail",
-        F.coalesce(F.col("ts").cast("timestamp"), times.instant(as_of)).alias("ts"),
+        F.coalesce(_moment(beacons), times.instant(as_of)).alias("ts"),
+        _unreadable(beacons).alias("unreadable"),
     )
 
 
+def _moment(beacons: DataFrame) -> Column:
+    """A beacon's time; null if it is missing, blank or no time."""
+    if isinstance(beacons.schema["ts"].dataType, T.StringType):
+        return text.strip(F.col("ts")).try_cast("timestamp")
+    return F.col("ts").cast("timestamp")
+
+
+def _unreadable(beacons: DataFrame) -> Column:
+    """Whether there is a time that is not one."""
+    return (text.strip(text.or_empty(F.col("ts").cast("string"))) != "") & _moment(beacons).isNull()
+
+
 def _named() -> Column:
     return (F.col("agent") != "") & (F.col("event") != "")
 
 
 def accept_beacons(beacons: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Activity rows; agent and event are required, a missing time is ``as_of``."""
-    return _trimmed_beacons(beacons, as_of).filter(_named())
+    """Activity rows; agent and event are required.
+
+    A time that is missing, blank or unreadable is ``as_of``; ``beacon_counts`` tells
+    how many were unreadable.
+    """
+    return _trimmed_beacons(beacons, as_of).filter(_named()).drop("unreadable")
 
 
 def beacon_counts(beacons: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Accepted and rejected beacons."""
+    """Accepted and rejected beacons, and accepted ones whose time cannot be read."""
     return _trimmed_beacons(beacons, as_of).agg(
-        F.count_if(_named()).alias("accepted"), F.count_if(~_named()).alias("rejected")
+        F.count_if(_named()).alias("accepted"), F.count_if(~_named()).alias("rejected"),
+        F.count_if(_named() & F.col("unreadable")).alias("unreadable_times"),
     )
 
 
@@ -58,7 +77,10 @@ def accept_checkins(checkins: DataFrame, as_of: dt.datetime) -> DataFrame:
     def field(name: str) -> Column:
         if name not in checkins.columns:
             return F.lit("").alias(name)
-        return text.or_empty(F.col(name).cast("string")).alias(name)
+        value = F.col(name).cast("string")
+        if name == "score" and isinstance(checkins.schema[name].dataType, T.NumericType):
+            value = F.when(F.col(name) != 0, value)  # a score of zero counts as none
+        return text.or_empty(value).alias(name)
 
     return checkins.select(*[field(name) for name in CHECKIN_FIELDS], times.instant(as_of).alias("logged_at"))
 

@@ -148,9 +148,33 @@ def customer_names(purchases: DataFrame) -> DataFrame:
     return purchases.groupBy("phone").agg(F.max("raw_customer_name").alias("name"))
 
 
-def touched_customers(
-    purchases: DataFrame, new: DataFrame, as_of: dt.date, limits: Thresholds
-) -> DataFrame:
-    """The summary recomputed for the phones that occur in a batch of new purchases."""
-    phones = new.select("phone").distinct()
-    return customer_360(purchases.join(phones, "phone", "left_semi"), as_of, limits)
+FACTS = (
+    "phone string, kind tinyint, value string, extra string, lines bigint, amount decimal(38,2), "
+    "online_amount decimal(38,2), walkin_amount decimal(38,2), has_online boolean, has_walkin boolean, "
+    "first_day date, last_day date"
+)
+
+
+def facts_of(purchases: DataFrame) -> DataFrame:
+    """What purchases add to their customers, in a form that adds up exactly.
+
+    One row per phone, kind and value: counts, sums, flags, first and last day.
+    """
+    facts = _count_facts(purchases, _base_facts(False) + _favorite_facts())
+    types = dict(part.split(" ", 1) for part in FACTS.split(", "))
+    return facts.select(*[F.col(name).cast(kind).alias(name) for name, kind in types.items()])
+
+
+def folded(facts: DataFrame) -> DataFrame:
+    """Facts of several batches as one."""
+    sums = [F.sum(c).cast("decimal(38,2)").alias(c) for c in ("amount", "online_amount", "walkin_amount")]
+    return facts.groupBy("phone", "kind", "value", "extra").agg(
+        F.sum("lines").alias("lines"), *sums, F.max("has_online").alias("has_online"),
+        F.max("has_walkin").alias("has_walkin"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"),
+    )
+
+
+def customers_from_facts(facts: DataFrame, as_of: dt.date, limits: Thresholds) -> DataFrame:
+    """The summary of all phones that have facts."""
+    columns = [*_base_columns(), *_favorite_columns()]
+    return with_derived(folded(facts).groupBy("phone").agg(*columns), as_of, limits)

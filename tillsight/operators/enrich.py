@@ -66,6 +66,12 @@ def top_customers(customers: DataFrame, limit: int) -> DataFrame:
     return customers.orderBy(F.col("total_lifetime").desc_nulls_last(), "phone").limit(limit)
 
 
+def listed_contacts(contacts: DataFrame, customers: DataFrame) -> DataFrame:
+    """Contacts with the phone of a listed customer, for lists much shorter than the contacts."""
+    phones = customers.select(F.col("phone").alias("_phone"))
+    return contacts.join(phones, text.normalize_phone(F.col("phone")) == F.col("_phone"), "left_semi")
+
+
 def with_contact(customers: DataFrame, contacts: DataFrame, lookups: Lookups) -> DataFrame:
     """Add respond_agent and respond_city; stored columns stay.
 

@@ -29,15 +29,12 @@ def not_in(batch: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame
     return batch.join(table.select(*keys), list(keys), "left_anti")
 
 
-def near(table: DataFrame, batch: DataFrame, column: str) -> DataFrame:
-    """Rows of the table between the smallest and largest key of the batch.
+def known_keys(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys of a batch that the table has already, each once.
 
-    Keys outside cannot match, so this loses nothing. The two bounds (one row)
-    go through the driver and reach the scan, which skips the files and row
-    groups of older keys instead of reading the whole history.
+    Only keys of the batch leave the table's scan: the batch's keys are the small
+    side of the semi join (broadcast if small, else a filter before the shuffle), so
+    what comes out, and every join after it, follows the batch and not the history.
     """
-    keys = batch.filter(F.col(column) != "")
-    bounds = keys.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
-    if bounds["low"] is None:
-        return table.filter(F.lit(False))
-    return table.filter(F.col(column).between(bounds["low"], bounds["high"]))
+    wanted = batch.select(*keys).distinct()
+    return table.select(*keys).join(wanted, list(keys), "left_semi").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import text, times
 from ..schemas import MESSAGES, column_names
-from ..session import checkpointed
+from ..session import scratch_path
 from .enrich import one_row
 from .keep import keep_first, not_in
 
@@ -149,8 +149,9 @@ def message_pages(
 
     Rows are range-partitioned on the unique (time, id) order, so one busy
     second splits over tasks, and sorted within partitions. The sorted rows are
-    materialised once; their positions follow from the sizes of the partitions
-    before them, one number per partition. No task ever holds the whole order.
+    written once, as Parquet in the shared folder, which the caller empties; their
+    positions follow from the sizes of the partitions before them, one number per
+    partition, for which one column is read. No task ever holds the whole order.
     """
     order = [F.col("datetime").desc(), F.col("message_id").desc()]
     local = (
@@ -159,7 +160,9 @@ def message_pages(
         .sortWithinPartitions(*order)
         .withColumn("_id", F.monotonically_increasing_id())
     )
-    stored = checkpointed(local).withColumns(
+    path = scratch_path(messages.sparkSession, "message-pages")
+    local.write.parquet(path)
+    stored = messages.sparkSession.read.schema(local.schema).parquet(path).withColumns(
         {
             "_part": F.shiftright("_id", 33),
             "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)),

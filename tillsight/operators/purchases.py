@@ -19,6 +19,7 @@ from .keep import keep_first, not_in
 PURCHASE_KEY = ("ticket_id", "product_code", "phone", "store_code")
 
 PHONE_INVALID = "phone_invalid"
+TICKET_INVALID = "ticket_invalid"
 NUMBER_OUT_OF_RANGE = "number_out_of_range"
 
 
@@ -27,23 +28,31 @@ def scan_pos(lines: DataFrame, store_rules: Sequence[tuple[str, str]]) -> DataFr
     return lines.filter(rules.store_filter(store_rules) & rules.phone_present(F.col("phone_raw")))
 
 
+def ticket_number(ticket: Column) -> Column:
+    """A ticket's number; null unless it is a whole number that is not negative."""
+    number = ticket.try_cast("bigint")
+    return F.when(number >= 0, number)
+
+
 def after_marks(lines: DataFrame, marks: Mapping[str, int | None]) -> DataFrame:
     """Lines of each store with a ticket number above the store's high-water mark.
 
-    Whole tickets are taken and nothing is paged. A ticket id that is not a
-    number is never above a mark.
+    Whole tickets are taken and nothing is paged; a store without a mark gives all its
+    lines. Lines whose ticket has no number
+    come along; ``rejected`` keeps them, with the reason.
     """
-    ticket = F.col("ticket_id").try_cast("bigint")
+    ticket = ticket_number(F.col("ticket_id"))
     wanted = F.lit(False)
     for store, mark in marks.items():
-        wanted = wanted | ((F.col("store_code") == store) & (ticket > F.lit(int(mark or 0))))
+        above = F.lit(True) if mark is None else ticket.isNull() | (ticket > F.lit(int(mark)))
+        wanted = wanted | ((F.col("store_code") == store) & above)
     return lines.filter(F.col("store_code").isin(list(marks)) & wanted)
 
 
 def high_water_marks(lines: DataFrame) -> DataFrame:
     """Per store: the new mark and the number of lines behind it."""
     return lines.groupBy("store_code").agg(
-        F.max(F.col("ticket_id").try_cast("bigint")).alias("last_ticket"),
+        F.max(ticket_number(F.col("ticket_id"))).alias("last_ticket"),
         F.count(F.lit(1)).alias("lines"),
     )
 
@@ -99,7 +108,8 @@ NUMBERS = ("qty", "unit_price", "line_total")
 
 
 def accepted(lines: DataFrame) -> DataFrame:
-    """Lines with a phone and numbers that fit; each test can reach its own scan."""
+    """Lines with a phone, a ticket number and numbers that fit; each test can reach its own scan."""
+    lines = lines.filter(ticket_number(F.col("ticket_id")).isNotNull())
     for name in ("phone", *NUMBERS):
         lines = lines.filter(F.col(name).isNotNull())
     return lines
@@ -108,8 +118,11 @@ def accepted(lines: DataFrame) -> DataFrame:
 def rejected(lines: DataFrame) -> DataFrame:
     """The other lines, with the reason."""
     bad_number = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in NUMBERS])
-    reason = F.when(F.col("phone").isNull(), F.lit(PHONE_INVALID)).when(
-        bad_number, F.lit(NUMBER_OUT_OF_RANGE)
+    bad_ticket = ticket_number(F.col("ticket_id")).isNull()
+    reason = (
+        F.when(F.col("phone").isNull(), F.lit(PHONE_INVALID))
+        .when(bad_number, F.lit(NUMBER_OUT_OF_RANGE))
+        .when(bad_ticket, F.lit(TICKET_INVALID))
     )
     return lines.withColumn("reject_reason", reason).filter(F.col("reject_reason").isNotNull())
 
@@ -130,6 +143,17 @@ def new_purchases(lines: DataFrame, table: DataFrame) -> DataFrame:
     return not_in(dedup_purchases(lines), table, PURCHASE_KEY)
 
 
+REJECT_KEY = ("store_code", "ticket_id", "line_no", "product_code_raw", "reject_reason")
+
+
+def new_rejects(lines: DataFrame, table: DataFrame) -> DataFrame:
+    """Rejected lines, each once, that the reject table does not have; missing values are equal."""
+    bad = rejected(lines).select(*REJECT_KEY).distinct()
+    stored = table.select(*[F.col(c).alias(f"_{c}") for c in REJECT_KEY])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in REJECT_KEY])
+    return bad.join(stored, same, "left_anti")
+
+
 def purchases_from_pos(lines: DataFrame, lookups: Lookups, limits: Thresholds) -> DataFrame:
     """Scan, clean and de-duplicate in one lazy plan."""
     scanned = scan_pos(lines, lookups.store_rules)

@@ -95,19 +95,22 @@ def _strings(spark: SparkSession, names: tuple[str, ...], rows) -> DataFrame:
     return lookup_frame(spark, pa.schema([(name, pa.string()) for name in names]), rows)
 
 
-def clamp(value: int | None, low: int, high: int, default: int) -> int:
-    """``value`` (or the default when missing) limited to ``low..high``."""
-    return max(low, min(high, default if value is None else int(value)))
+def at_least(value: int | None, low: int, default: int) -> int:
+    """``value``, or the default when missing; one below ``low`` is an error."""
+    chosen = default if value is None else int(value)
+    if chosen < low:
+        raise ValueError(f"{chosen} is less than {low}")
+    return chosen
 
 
 def window_days(value: int | None = None) -> int:
     """Length of a message window in days."""
-    return clamp(value, 1, 180, 7)
+    return at_least(value, 1, 7)
 
 
 def message_page_size(value: int | None = None) -> int:
-    return clamp(value, 100, 8_000, 5_000)
+    return at_least(value, 1, 5_000)
 
 
 def customer_list_size(value: int | None = None) -> int:
-    return clamp(value, 50, 5_000, 1_000)
+    return at_least(value, 1, 1_000)

@@ -8,33 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import customers, enrich, merge, purchases
-from ..operators.keep import near
 from ..schemas import CUSTOMERS, PURCHASES, SYNC_STATE, column_names
 from ..streaming import tables
-from ..streaming.sales import REJECTS, SalesFeed, sync_runs
+from ..streaming.sales import REJECTS, SYNC_KEY, SalesFeed, store_batch
 
 
-def marks(spark: SparkSession, feed: SalesFeed, run_id: int) -> dict[str, int]:
-    """High-water mark of each tracked store before a run: one number per store rule."""
-    stores = [store for store, _ in feed.lookups.store_rules]
-    log = tables.other_batches(spark, feed.path("sync_log"), SYNC_STATE, run_id)
-    keys = [f"sales_sync_{store}" for store in stores]
+def run_batch(run_id: int) -> str:
+    return tables.batch_name("run", run_id)
+
+
+def marks(spark: SparkSession, feed: SalesFeed, run_id: int) -> dict[str, int | None]:
+    """High-water mark of each tracked store before a run, one number per store rule; None before the first."""
+    log = tables.others(spark, feed.path("sync_log"), SYNC_STATE, run_batch(run_id))
+    keys = [f"{SYNC_KEY}{store}" for store in feed.stores()]
     latest = (
         log.filter(F.col("sync_key").isin(keys))
         .groupBy("sync_key")
         .agg(F.max(F.col("last_cursor").try_cast("bigint")).alias("mark"))
     )
     found = {row["sync_key"]: row["mark"] for row in latest.collect()}
-    return {store: found.get(f"sales_sync_{store}") or 0 for store in stores}
+    return {store: found.get(f"{SYNC_KEY}{store}") for store in feed.stores()}
 
 
 def create_tables(spark: SparkSession, feed: SalesFeed) -> None:
-    for name, schema in (
-        ("purchases", PURCHASES),
-        ("rejects", REJECTS),
-        ("sync_log", SYNC_STATE),
-        ("customers", CUSTOMERS),
-    ):
+    for name, schema in (("purchases", PURCHASES), ("rejects", REJECTS), ("sync_log", SYNC_STATE)):
         tables.create(spark, feed.path(name), schema)
 
 
@@ -45,43 +42,31 @@ def sync(lines: DataFrame, feed: SalesFeed, run_id: int, reset: bool = False) ->
     """
     spark = lines.sparkSession
     create_tables(spark, feed)
-    start: Mapping[str, int] = marks(spark, feed, run_id)
+    start: Mapping[str, int | None] = marks(spark, feed, run_id)
     if reset:
-        start = dict.fromkeys(start, 0)
+        start = dict.fromkeys(start)
     scanned = purchases.after_marks(purchases.scan_pos(lines, feed.lookups.store_rules), start)
-    cleaned = purchases.clean_lines(scanned, feed.lookups, feed.limits)
-    history = tables.other_batches(spark, feed.path("purchases"), PURCHASES, run_id)
-    stored = near(history, scanned, "ticket_id")
-    new = purchases.new_purchases(purchases.accepted(cleaned), stored)
-    tables.write_batch(new, feed.path("purchases"), run_id)
-    bad = purchases.rejected(cleaned).select(
-        "store_code", "ticket_id", "line_no", "product_code_raw", "reject_reason"
-    )
-    tables.write_batch(bad, feed.path("rejects"), run_id)
-
-    known = tables.up_to(spark, feed.path("purchases"), PURCHASES, run_id)
-    written = known.filter(F.col("batch_id") == run_id)
-    tables.write_batch(sync_runs(written, feed.as_of), feed.path("sync_log"), run_id)
+    store_batch(scanned, feed, run_batch(run_id))
     refresh_customers(spark, feed, run_id)
 
 
 def refresh_customers(spark: SparkSession, feed: SalesFeed, run_id: int) -> None:
     """Recompute all summaries, merge them into the last customer table, flag cities."""
-    known = tables.up_to(spark, feed.path("purchases"), PURCHASES, run_id).drop("batch_id")
+    known = tables.read(spark, feed.path("purchases"), PURCHASES).drop("batch")
     summary = customers.customer_360(known, feed.as_of, feed.limits)
-    old = tables.latest_before(spark, feed.path("customers"), CUSTOMERS, run_id)
+    old = tables.newest_version(spark, feed.path("customers"), CUSTOMERS, but=run_batch(run_id))
     merged = enrich.flag_cities(merge.upsert_customers(old, summary), feed.lookups.cities)
-    tables.write_batch(merged.select(*column_names(CUSTOMERS)), feed.path("customers"), run_id)
+    tables.write_version(merged.select(*column_names(CUSTOMERS)), feed.path("customers"), run_batch(run_id))
 
 
 def stored_customers(spark: SparkSession, feed: SalesFeed) -> DataFrame:
     """The customer table of the last run."""
-    return tables.latest_before(spark, feed.path("customers"), CUSTOMERS, 1 << 62)
+    return tables.newest_version(spark, feed.path("customers"), CUSTOMERS)
 
 
 def status(spark: SparkSession, feed: SalesFeed) -> tuple[DataFrame, DataFrame]:
     """Sync states by key, and the eight totals."""
-    log = tables.read(spark, feed.path("sync_log"), SYNC_STATE).drop("batch_id")
+    log = tables.read(spark, feed.path("sync_log"), SYNC_STATE).drop("batch")
     states = merge.sync_state(log).orderBy("sync_key")
     bought = tables.read(spark, feed.path("purchases"), PURCHASES)
     return states, enrich.sync_totals(bought, stored_customers(spark, feed))
@@ -91,9 +76,6 @@ def customer_list(
     stored: DataFrame, contacts: DataFrame, feed: SalesFeed, limit: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Top customers enriched, statistics of the whole table, agent counts of the list."""
-    listed = enrich.enrich_customers(
-        enrich.top_customers(stored, limit), contacts, feed.lookups
-    )
+    top = enrich.top_customers(stored, limit)
+    listed = enrich.enrich_customers(top, enrich.listed_contacts(contacts, top), feed.lookups)
     return listed, enrich.customer_stats(stored), enrich.agent_counts(listed, feed.lookups)
-
-

@@ -7,13 +7,15 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..functions.times import instant
 from ..operators import contacts, messages
-from ..operators.keep import near
+from ..operators.keep import known_keys
 from ..schemas import IMPORT_LOG, KNOWN_CONTACTS, MESSAGES
 from ..sources import csvfiles, snapshots
 from ..streaming import tables
 
+RETENTION = "cutoff timestamp"
 LOG_COLUMNS = [part.split()[0] for part in IMPORT_LOG.split(", ")]
 
 
@@ -40,35 +42,72 @@ def ingest_messages(
     upload_id: str | None = None,
     chunk_index: int = 0,
     total_chunks: int = 1,
+    months: int = 6,
+    split: bool = False,
 ) -> None:
-    """Store the new messages of a CSV upload and log its counters."""
-    tables.create(spark, f"{root}/messages", MESSAGES)
-    tables.create(spark, f"{root}/import_log", IMPORT_LOG)
-    arrived = messages.normalize_messages(csvfiles.read_messages(spark, path))
-    history = tables.other_batches(spark, f"{root}/messages", MESSAGES, run_id)
-    stored = near(history, arrived, "message_id")
-    tables.write_batch(messages.new_messages(arrived, stored), f"{root}/messages", run_id)
+    """Store the new messages of a CSV chunk and log its counters; the last chunk prunes.
+
+    Messages lie in one folder per day, so retention and message windows skip days.
+    ``split`` reads large files in pieces; their values must have no line breaks.
+    """
+    batch = run_batch(run_id)
+    _create_messages(spark, root)
+    arrived = messages.normalize_messages(csvfiles.read_messages(spark, path, quoted_line_breaks=not split))
+    arrived = tables.landed(arrived, f"{root}/arrived", batch)
+    history = stored_messages(spark, root, but=batch)
+    stored = known_keys(history, arrived, ["message_id"])
+    new = messages.new_messages(arrived, stored).withColumn("day", F.to_date("datetime"))
+    new.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{root}/messages/batch={batch}")
     counters = messages.upload_counters(arrived, stored)
     row = _log_row(
         counters, run_id, as_of, kind="messages", source="csv-chunk", upload_id=upload_id,
         chunk_index=chunk_index, total_chunks=total_chunks, details=None,
     )
-    tables.write_batch(row, f"{root}/import_log", run_id)
+    tables.write(row, f"{root}/import_log", batch)
+    if chunk_index == total_chunks - 1:
+        prune_messages(spark, root, run_id, as_of, months)
 
 
-def retained_messages(spark: SparkSession, root: str, as_of: dt.datetime, months: int = 6) -> DataFrame:
-    """Stored messages that retention keeps."""
-    stored = tables.read(spark, f"{root}/messages", MESSAGES).drop("batch_id")
-    return messages.prune_months(stored, as_of, months)
+def run_batch(run_id: int) -> str:
+    return tables.batch_name("run", run_id)
 
 
-def compact_messages(
-    spark: SparkSession, root: str, target: str, as_of: dt.datetime, months: int = 6
-) -> None:
-    """Write the retained messages as one batch of a new table, clustered by time."""
-    kept = retained_messages(spark, root, as_of, months)
-    clustered = kept.repartitionByRange("datetime", "message_id").sortWithinPartitions("datetime")
-    tables.write_batch(clustered, f"{target}/messages", tables.BEFORE_FIRST)
+def _create_messages(spark: SparkSession, root: str) -> None:
+    empty = spark.createDataFrame([], f"{MESSAGES}, day date")
+    empty.write.mode("ignore").partitionBy("day").parquet(f"{root}/messages/batch={tables.BEFORE_FIRST}")
+    tables.create(spark, f"{root}/retention", RETENTION)
+    tables.create(spark, f"{root}/import_log", IMPORT_LOG)
+
+
+def prune_messages(spark: SparkSession, root: str, run_id: int, as_of: dt.datetime, months: int = 6) -> None:
+    """Forget messages older than some calendar months: one cutoff row, no rewrite.
+
+    Readers apply the newest cutoff, which skips the folders of older days;
+    ``compact_messages`` frees their space.
+    """
+    row = spark.range(1).select(times.months_before(as_of, months).alias("cutoff"))
+    tables.write(row.coalesce(1), f"{root}/retention", run_batch(run_id))
+
+
+def stored_messages(spark: SparkSession, root: str, but: str | None = None) -> DataFrame:
+    """The messages that retention keeps (but those of one batch)."""
+    cutoffs = tables.read(spark, f"{root}/retention", RETENTION)
+    cutoff = cutoffs.agg(F.max("cutoff").alias("cutoff")).first()["cutoff"]
+    stored = spark.read.schema(f"{MESSAGES}, batch string, day date").parquet(f"{root}/messages")
+    if but is not None:
+        stored = stored.filter(F.col("batch") != but)
+    if cutoff is not None:
+        in_days = F.col("day").isNull() | (F.col("day") >= F.lit(cutoff.date()))
+        stored = messages.prune(stored.filter(in_days), F.lit(cutoff).cast("timestamp"))
+    return stored.drop("batch", "day")
+
+
+def compact_messages(spark: SparkSession, root: str, target: str) -> None:
+    """Write the kept messages as the first batch of a new table, a folder per day."""
+    _create_messages(spark, target)
+    kept = stored_messages(spark, root).withColumn("day", F.to_date("datetime"))
+    kept = kept.repartition("day").sortWithinPartitions("datetime")
+    kept.write.mode("overwrite").partitionBy("day").parquet(f"{target}/messages/batch={tables.BEFORE_FIRST}")
 
 
 def ingest_contacts(
@@ -85,6 +124,7 @@ def ingest_contacts(
     ``path`` holds the chunk files as ``<upload_id>/<chunk_index>.csv``. A chunk
     that is missing stops the job before anything is written.
     """
+    batch = run_batch(run_id)
     tables.create(spark, f"{root}/known_contacts", KNOWN_CONTACTS)
     tables.create(spark, f"{root}/import_log", IMPORT_LOG)
     files = spark.read.format("binaryFile").load(f"{path}/{upload_id}/*.csv").select(
@@ -98,17 +138,24 @@ def ingest_contacts(
         got = 0 if state is None else state["chunks_received"]
         raise ValueError(f"missing chunks: got {got} of {total_chunks}")
 
-    rows = csvfiles.read_contact_chunks(spark, f"{path}/{upload_id}")
-    known = tables.other_batches(spark, f"{root}/known_contacts", KNOWN_CONTACTS, run_id)
-    tables.write_batch(contacts.new_contacts(rows, known, as_of), f"{root}/known_contacts", run_id)
+    rows = tables.landed(csvfiles.read_contact_chunks(spark, f"{path}/{upload_id}"), f"{root}/rows", batch)
+    known = tables.others(spark, f"{root}/known_contacts", KNOWN_CONTACTS, batch)
+    tables.write(contacts.new_contacts(rows, known, as_of), f"{root}/known_contacts", batch)
     snapshots.publish(rows.drop("file", "row_no"), f"{root}/snapshots", "contacts", as_of)
     counts = contacts.new_contact_counts(rows, known).withColumn("rows_inserted", F.col("rows_total"))
     details = F.to_json(F.struct(F.col("new_contacts").alias("newContacts")))
     row = _log_row(
         counts, run_id, as_of, kind="contacts", source="csv", upload_id=upload_id,
-        chunk_index=None, total_chunks=total_chunks, details=details,
+        chunk_index=None, total_chunks=None, details=details,
+    )
+    chunks = contacts.staged_chunks(files).select(
+        "chunk_index", *[F.lit(0).cast("bigint").alias(c) for c in ("rows_total", "rows_inserted", "rows_skipped")]
+    )
+    each = _log_row(
+        chunks, run_id, as_of, kind="contacts-chunk", source="csv-chunk", upload_id=upload_id,
+        chunk_index=F.col("chunk_index"), total_chunks=total_chunks, details=None,
     )
-    tables.write_batch(row, f"{root}/import_log", run_id)
+    tables.write(each.unionByName(row), f"{root}/import_log", batch)
 
 
 def contact_snapshot(spark: SparkSession, root: str) -> DataFrame:
@@ -118,4 +165,4 @@ def contact_snapshot(spark: SparkSession, root: str) -> DataFrame:
 
 
 def import_log(spark: SparkSession, root: str) -> DataFrame:
-    return tables.read(spark, f"{root}/import_log", IMPORT_LOG).drop("batch_id")
+    return tables.read(spark, f"{root}/import_log", IMPORT_LOG).drop("batch")

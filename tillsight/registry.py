@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from .functions import times
 from .operators import activity, contacts, customers, enrich, merge, messages, profiles, purchases, styles, uploads
-from .params import clamp, window_days
+from .params import customer_list_size, message_page_size, window_days
+from .plans import sales as sales_plan
 from .session import configure, scratch_path
 from .sources import csvfiles, pos, snapshots, star
 from .streaming import activity as activity_stream
@@ -27,8 +28,8 @@ from .streaming import sales as sales_stream
 Query = Callable[[SparkSession, str], DataFrame]
 
 CHAT_DAYS = window_days(7)
-PAGE_SIZE = clamp(500, 100, 8_000, 5_000)
-LIST_SIZE = clamp(200, 50, 5_000, 1_000)
+PAGE_SIZE = message_page_size(500)
+LIST_SIZE = customer_list_size(200)
 RETENTION_DAYS = 15
 CURSOR = (dt.datetime(2024, 1, 29, 12), "m9")
 STYLE = "18sm"
@@ -125,8 +126,12 @@ def pos_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def incremental_scan(spark: SparkSession, folder: str) -> DataFrame:
-    lines = purchases.after_marks(pos_scan(spark, folder), MARKS)
-    return purchases.high_water_marks(lines)
+    return purchases.after_marks(pos_scan(spark, folder), MARKS)
+
+
+@query
+def high_water_marks(spark: SparkSession, folder: str) -> DataFrame:
+    return purchases.high_water_marks(incremental_scan(spark, folder))
 
 
 @query
@@ -170,10 +175,7 @@ def purchases_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def purchases_dedup_by_size(spark: SparkSession, folder: str) -> DataFrame:
     key = ("store_code", "ticket_id", "product_code", "product_code_raw", "phone")
-    lines = purchases.dedup_purchases(purchases.accepted(_cleaned(spark, folder)), key)
-    return lines.groupBy("store_code").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("line_total").alias("amount")
-    )
+    return purchases.dedup_purchases(purchases.accepted(_cleaned(spark, folder)), key)
 
 
 # Customers: roll-up, enrichment, statistics.
@@ -208,8 +210,13 @@ def customer_360_enriched(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def customers_enriched(spark: SparkSession, folder: str) -> DataFrame:
+    """The list is written once; only contacts of listed phones are indexed."""
     top = enrich.top_customers(_summary(spark, folder), LIST_SIZE)
-    return enrich.enrich_customers(top, star.contacts(spark, folder), star.LOOKUPS)
+    path = scratch_path(spark, "listed")
+    top.write.parquet(path)
+    listed = spark.read.schema(top.schema).parquet(path)
+    people = enrich.listed_contacts(star.contacts(spark, folder), listed)
+    return enrich.enrich_customers(listed, people, star.LOOKUPS)
 
 
 @query
@@ -350,6 +357,12 @@ def retention_prune(spark: SparkSession, folder: str) -> DataFrame:
     return messages.prune(_messages(spark, folder), cutoff)
 
 
+@query
+def retention_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Six calendar months before a day whose cutoff falls inside the data."""
+    return messages.prune_months(_messages(spark, folder), dt.datetime(2024, 7, 15), 6)
+
+
 @query
 def message_page(spark: SparkSession, folder: str) -> DataFrame:
     return messages.message_page(_messages(spark, folder), star.CHAT_AS_OF, CHAT_DAYS, PAGE_SIZE, CURSOR)
@@ -537,9 +550,37 @@ def stream_sync_state(spark: SparkSession, folder: str) -> DataFrame:
 def stream_activity_daily(spark: SparkSession, folder: str) -> DataFrame:
     events = _activity(spark, folder)
     root = scratch_path(spark, "activity")
-    upload = F.pmod(F.xxhash64("agent", "event", "ts", "detail"), F.lit(3))
-    for part in range(3):
-        _land(events.filter(upload == part), f"{root}/landing")
+    # The newest rows land first, so most of what follows is late.
+    days = events.agg(F.min("ts").alias("a"), F.max("ts").alias("z")).first()
+    step = (days["z"] - days["a"]) / 3
+    first, second = F.lit(days["z"] - step), F.lit(days["a"] + step)
+    moment = F.col("ts")
+    for part in (moment >= first, (moment < first) & (moment >= second), moment < second):
+        _land(events.filter(part), f"{root}/landing")
         source = _stream(spark, f"{root}/landing", events.schema)
-        activity_stream.start_daily(source, f"{root}/daily", f"{root}/checkpoint", "60 days").awaitTermination()
+        source = activity_stream.with_file(source)
+        activity_stream.start_daily(source, f"{root}/daily", f"{root}/checkpoint").awaitTermination()
     return activity_stream.current_days(spark, f"{root}/daily")
+
+
+def _sales_runs(spark: SparkSession, folder: str) -> sales_stream.SalesFeed:
+    """The batch job three times: half of the lines, all of them, and all of them again."""
+    lines = star.pos_lines(spark, folder)
+    root = scratch_path(spark, "sales-runs")
+    feed = sales_stream.SalesFeed(root, star.LOOKUPS, star.LIMITS, star.SALES_AS_OF)
+    half = F.col("ticket_id").cast("bigint") % 2 == 0
+    sales_plan.sync(lines.filter(half), feed, 1)
+    sales_plan.sync(lines, feed, 2, reset=True)
+    sales_plan.sync(lines, feed, 3)
+    return feed
+
+
+@query
+def sync_states_after_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return sales_plan.status(spark, _sales_runs(spark, folder))[0]
+
+
+@query
+def sync_rejects_after_runs(spark: SparkSession, folder: str) -> DataFrame:
+    feed = _sales_runs(spark, folder)
+    return sales_stream.tables.read(spark, feed.path("rejects"), sales_stream.REJECTS).drop("batch")

@@ -28,12 +28,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shuffle_partitions(input_bytes: int, total_cores: int, target_bytes: int = 128 << 20) -> int:
-    """Shuffle partitions so that one holds about ``target_bytes`` of input.
-
-    Never fewer than the cores; AQE merges the ones that turn out small.
+def shuffle_partitions(
+    input_bytes: int, total_cores: int, target_bytes: int = 128 << 20, blocks: int = 2_000_000_000
+) -> int:
+    """Shuffle partitions so that one holds about ``target_bytes`` of what is shuffled.
+
+    ``input_bytes`` are the bytes after pruning. Never fewer than the cores; AQE
+    merges the ones that turn out small. A shuffle has map tasks times partitions
+    blocks, which the driver keeps track of: with a map task per ``target_bytes``
+    too, there are at most ``blocks`` of them, and partitions grow instead.
     """
-    return max(total_cores, -(-input_bytes // target_bytes))
+    maps = max(1, -(-input_bytes // target_bytes))
+    return max(total_cores, min(maps, blocks // maps))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,12 +69,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def lookup_frame(spark: SparkSession, schema: pa.Schema, rows: Sequence[tuple]) -> DataFrame:
     """A lookup table from parameter rows.
 

@@ -125,13 +125,19 @@ def read_csv(
     )
 
 
-def read_contacts(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, CONTACT_HEADERS)
+def read_contacts(spark: SparkSession, path: str, quoted_line_breaks: bool = True) -> DataFrame:
+    """Contact export; ``row_no`` orders the rows by file name and position.
+
+    ``quoted_line_breaks=False`` lets several tasks read one large file, if its
+    values have no line breaks; that is the caller's to know.
+    """
+    rows = read_csv(spark, path, CONTACT_HEADERS, quoted_line_breaks=quoted_line_breaks)
+    return rows.withColumn("row_no", F.struct("file", F.col("row_no.start").alias("start"), F.col("row_no.row").alias("row")))
 
 
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
+def read_messages(spark: SparkSession, path: str, quoted_line_breaks: bool = True) -> DataFrame:
     """Message export; ``arrival`` orders the rows by file name and position."""
-    rows = read_csv(spark, path, MESSAGE_HEADERS, MESSAGE_REQUIRED, LAST)
+    rows = read_csv(spark, path, MESSAGE_HEADERS, MESSAGE_REQUIRED, LAST, quoted_line_breaks)
     return rows.withColumn("arrival", F.struct("file", "row_no")).drop("file", "row_no")
 
 

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+POINTERS = "kind string, snapshot string"
+
 
 def latest_rows(uploads: DataFrame, kind: str) -> DataFrame:
     """Rows of the newest snapshot of a kind.
@@ -21,8 +23,16 @@ def latest_rows(uploads: DataFrame, kind: str) -> DataFrame:
 
 
 def publish(df: DataFrame, root: str, kind: str, uploaded_at: dt.datetime) -> None:
-    """Write a snapshot next to the earlier ones; its files appear when the write commits."""
-    df.write.mode("overwrite").parquet(f"{root}/kind={kind}/snapshot={snapshot_name(uploaded_at)}")
+    """Write a snapshot next to the earlier ones, then a pointer row that names it.
+
+    An empty snapshot counts like any other. Before the pointer is there readers
+    see the previous snapshot; publishing the same one again replaces it.
+    """
+    spark = df.sparkSession
+    name = snapshot_name(uploaded_at)
+    df.write.mode("overwrite").parquet(f"{root}/data/{kind}/{name}")
+    row = spark.createDataFrame([(kind, name)], POINTERS).coalesce(1)
+    row.write.mode("overwrite").parquet(f"{root}/pointers/entry={kind}.{name}")
 
 
 def snapshot_name(uploaded_at: dt.datetime) -> str:
@@ -31,7 +41,12 @@ def snapshot_name(uploaded_at: dt.datetime) -> str:
 
 
 def read_latest(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """The newest snapshot under a root; the others are pruned by their folder name."""
-    stored = spark.read.parquet(root).filter(F.col("kind") == kind)
-    newest = stored.agg(F.max("snapshot").alias("snapshot"))
-    return stored.join(F.broadcast(newest), "snapshot").drop("kind", "snapshot")
+    """The newest snapshot under a root; only its own folder is read.
+
+    Its name comes from the pointers, one small row per published snapshot.
+    """
+    pointers = spark.read.schema(POINTERS).parquet(f"{root}/pointers").filter(F.col("kind") == kind)
+    newest = pointers.agg(F.max("snapshot").alias("snapshot")).first()["snapshot"]
+    if newest is None:
+        raise ValueError(f"no snapshot of {kind} under {root}")
+    return spark.read.parquet(f"{root}/data/{kind}/{newest}")

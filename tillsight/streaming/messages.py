@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import messages as ops
-from ..operators.keep import near
+from ..operators.keep import known_keys
 from ..schemas import MESSAGES
 from . import tables
 
@@ -20,7 +20,8 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuer
     """Append new messages, first arrival per id, and log the counters of each batch.
 
     Runs over everything that is available and stops; started again with the
-    same checkpoint it continues where it stopped.
+    same checkpoint it continues where it stopped. With a new checkpoint it reads
+    everything again and stores nothing twice.
     """
     spark = stream.sparkSession
     tables.create(spark, f"{root}/messages", MESSAGES)
@@ -28,11 +29,12 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuer
 
     def append(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        arrived = ops.normalize_messages(batch)
-        history = tables.other_batches(session, f"{root}/messages", MESSAGES, batch_id)
-        stored = near(history, arrived, "message_id")
-        tables.write_batch(ops.new_messages(arrived, stored), f"{root}/messages", batch_id)
-        tables.write_batch(ops.upload_counters(arrived, stored), f"{root}/counters", batch_id)
+        name = tables.batch_name(tables.run_name(session, checkpoint), batch_id)
+        arrived = tables.landed(ops.normalize_messages(batch), f"{root}/arrived", name)
+        history = tables.others(session, f"{root}/messages", MESSAGES, name)
+        stored = known_keys(history, arrived, ["message_id"])
+        tables.write(ops.new_messages(arrived, stored), f"{root}/messages", name)
+        tables.write(ops.upload_counters(arrived, stored), f"{root}/counters", name)
 
     return (
         stream.writeStream.foreachBatch(append)
@@ -43,17 +45,8 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuer
 
 
 def stored_messages(spark: SparkSession, root: str) -> DataFrame:
-    return tables.read(spark, f"{root}/messages", MESSAGES).drop("batch_id")
+    return tables.read(spark, f"{root}/messages", MESSAGES).drop("batch")
 
 
 def stored_counters(spark: SparkSession, root: str) -> DataFrame:
     return tables.read(spark, f"{root}/counters", COUNTERS)
-
-
-def bounded_dedup(stream: DataFrame, event_time: str, delay: str) -> DataFrame:
-    """First message per id within ``delay`` of event time, with bounded state.
-
-    For feeds whose repeats arrive close together; ``start_ingest`` is exact
-    over the whole history. Every row needs an event time.
-    """
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["message_id"])

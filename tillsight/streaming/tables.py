@@ -1,9 +1,13 @@
-"""Tables that micro-batches write to, safely repeatable.
+"""Tables that micro-batches and runs write to, safely repeatable.
 
-Every micro-batch owns one folder ``batch_id=N`` and replaces it as a whole. A
-batch that is repeated after a failure gets the same input from the checkpoint,
-reads only the other batches, and writes the same folder again: nothing is lost
-and nothing counts twice.
+Every micro-batch owns one folder, named by its stream run and its number, and
+replaces it as a whole. The run's name is the id that its checkpoint holds: a
+repeated batch writes its own folder again, and a stream that starts anew with
+another checkpoint writes beside the folders of the old one, which stay part of the
+history that new rows are compared with.
+
+Tables that are written in full each time keep a log of versions, one small row per
+write; readers take the folder that the newest row names and look at no other.
 """
 
 from __future__ import annotations
@@ -11,34 +15,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BEFORE_FIRST = -1
+BEFORE_FIRST = "start"
+VERSIONS = "name string, seq bigint"
 
 
 def create(spark: SparkSession, root: str, schema: str) -> None:
     """Make an empty table unless it exists."""
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{root}/batch_id={BEFORE_FIRST}")
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{root}/batch={BEFORE_FIRST}")
+
+
+def run_name(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that a checkpoint belongs to, one line in its metadata."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
+def batch_name(run: str, number: int) -> str:
+    return f"{run}.{number:012d}"
 
 
 def read(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """All rows with the batch that wrote them."""
-    return spark.read.schema(f"{schema}, batch_id bigint").parquet(root)
+    return spark.read.schema(f"{schema}, batch string").parquet(root)
+
+
+def write(rows: DataFrame, root: str, batch: str) -> None:
+    rows.write.mode("overwrite").parquet(f"{root}/batch={batch}")
+
+
+def landed(rows: DataFrame, root: str, batch: str) -> DataFrame:
+    """Rows written once and read back, so that several branches see the same ones.
+
+    The folder is replaced if the batch is repeated; whoever owns the table may
+    empty it between runs.
+    """
+    write(rows, root, batch)
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{root}/batch={batch}")
+
+
+def of_batch(spark: SparkSession, root: str, schema: str, batch: str) -> DataFrame:
+    """What one batch wrote."""
+    return spark.read.schema(schema).parquet(f"{root}/batch={batch}")
+
+
+def others(spark: SparkSession, root: str, schema: str, batch: str) -> DataFrame:
+    """What all other batches wrote; the batch's own folder is pruned."""
+    return read(spark, root, schema).filter(F.col("batch") != batch)
 
 
-def write_batch(rows: DataFrame, root: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+def _log(root: str) -> str:
+    return f"{root.rstrip('/')}-versions"
 
 
-def other_batches(spark: SparkSession, root: str, schema: str, batch_id: int) -> DataFrame:
-    """What the table held before this batch; the batch's own folder is pruned."""
-    return read(spark, root, schema).filter(F.col("batch_id") < batch_id)
+def next_version(spark: SparkSession, root: str) -> int:
+    """The number after the newest version; the log has one row per version."""
+    create(spark, _log(root), VERSIONS)
+    log = spark.read.schema(VERSIONS).parquet(_log(root))
+    return (log.agg(F.max("seq").alias("seq")).first()["seq"] or 0) + 1
 
 
-def up_to(spark: SparkSession, root: str, schema: str, batch_id: int) -> DataFrame:
-    return read(spark, root, schema).filter(F.col("batch_id") <= batch_id)
+def write_version(rows: DataFrame, root: str, batch: str) -> None:
+    """Write a full table and, once its files are there, make it the newest version."""
+    spark = rows.sparkSession
+    write(rows, root, batch)
+    number = next_version(spark, root)
+    row = spark.createDataFrame([(batch, number)], VERSIONS).coalesce(1)
+    row.write.mode("overwrite").parquet(f"{_log(root)}/batch={batch}")
 
 
-def latest_before(spark: SparkSession, root: str, schema: str, batch_id: int) -> DataFrame:
-    """Rows of the newest earlier batch, for tables that each batch writes in full."""
-    earlier = other_batches(spark, root, schema, batch_id)
-    newest = earlier.agg(F.max("batch_id").alias("batch_id"))
-    return earlier.join(F.broadcast(newest), "batch_id").drop("batch_id")
+def newest_version(spark: SparkSession, root: str, schema: str, but: str | None = None) -> DataFrame:
+    """The newest version (but one of a batch that is being repeated); other folders are not read."""
+    create(spark, _log(root), VERSIONS)
+    log = spark.read.schema(VERSIONS).parquet(_log(root))
+    if but is not None:
+        log = log.filter(F.col("name") != but)
+    newest = log.agg(F.max_by("name", "seq").alias("name")).first()["name"]
+    if newest is None:
+        return spark.createDataFrame([], schema)
+    return of_batch(spark, root, schema, newest)
