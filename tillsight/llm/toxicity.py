@@ -370,14 +370,18 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> list[tuple
     """At most ``settings.sample`` rows of either label, none of them held out."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = known.where(~held_out(F.col("doc_id")))
-    texts = docs.where(F.length("text") <= settings.sample_chars).select(F.col("doc_id").alias("own_id"), "text")
-    found = texts.join(usable, F.col("own_id") == F.col("doc_id"))
-    order = (F.xxhash64("doc_id", F.lit(settings.seed)), F.col("doc_id"), F.xxhash64("text"))
-    rows = []
-    for label in (0, 1):
-        chosen = found.where(F.col("toxic") == label).orderBy(*order).limit(settings.sample).select("text")
-        rows += [(row.text, label) for row in chosen.collect()]
-    return rows
+    short = docs.where(F.length("text") <= settings.sample_chars)
+    there = usable.join(short.select(F.col("doc_id").alias("own_id")), F.col("own_id") == F.col("doc_id"), "left_semi")
+    order = (F.xxhash64("doc_id", F.lit(settings.seed)), F.col("doc_id"))
+    chosen = []
+    for label in (0, 1):  # ids only: no text is shuffled or ordered
+        chosen += there.where(F.col("toxic") == label).orderBy(*order).limit(settings.sample).collect()
+    if not chosen:
+        return []
+    # At most 2 * settings.sample rows, so this side may be broadcast.
+    ids = docs.sparkSession.createDataFrame([(int(r.doc_id), int(r.toxic)) for r in chosen], "own_id long, toxic int")
+    texts = short.join(F.broadcast(ids), F.col("doc_id") == F.col("own_id")).groupBy("own_id", "toxic").agg(F.min("text").alias("text"))
+    return [(row.text, row.toxic) for row in sorted(texts.collect(), key=lambda row: row.own_id)]
 
 
 def scored(docs: DataFrame, network: Network | None) -> DataFrame:
