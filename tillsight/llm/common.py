@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,8 +17,20 @@ from ..session import configure, scratch_path
 LAST_ID = (1 << 63) - 1
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that share this folder import the package from it.
+
+    Elsewhere the package is installed or sent with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, *paths)))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables, whole."""
+    importable(spark)
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
