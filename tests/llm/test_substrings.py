@@ -59,3 +59,23 @@ def test_equals_sql(spark, folder):
     con.execute("CREATE TABLE documents AS SELECT * FROM documents")
     count, only = compare.differences(substrings.query(docs), con, substrings.ORACLE)
     assert not only and count
+
+
+def test_short_sentences_do_not_match_by_chance(spark):
+    import random
+
+    dice = random.Random(1)
+    rows = [(i, " ".join(dice.choice("THE OF AND TO IN A".split()) + "!!" for _ in range(60)), None, None) for i in range(200)]
+    _, out = cut(spark, rows)
+    assert out.where("removed_words > 0").count() == 0
+
+
+def test_every_sentence_of_a_passage_is_covered():
+    import random
+
+    dice = random.Random(2)
+    for _ in range(300):
+        parts = [" ".join(["w"] * dice.randint(1, 9)) + f" {n}. " for n in range(dice.randint(6, 20))]
+        found = substrings.run_hashes(parts, substrings.Spans())
+        if found:
+            assert {n for start, stop, _ in found for n in range(start, stop)} == set(range(len(parts)))

@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: everything up to a run of ``. ! ? 。 ！ ？`` or a line
-break, with the white space behind it; the pieces joined give the text again. Every
-run of ``span`` consecutive sentences (without the white space around each) is
+break, with the white space behind it; the pieces joined give the text again. A run
+is the shortest one of at least ``span`` consecutive sentences and ``run_words`` words
+that starts at a sentence, or that ends at one, so every sentence of a longer passage
+lies in a run inside it. Every run (without the white space around its sentences) is
 hashed to 128 bits. The first occurrence of a run is the one in the smallest doc_id,
 there the earliest. Sentences covered by any other occurrence are marked; marked
 sentences that follow each other and together hold at least ``min_words`` words are
@@ -14,7 +16,7 @@ on the whole run hash, which Spark can split where one run holds many rows. A th
 brings every document its own set of repeated runs, never more than it has sentences.
 
 Defined results: a missing text stays missing, an empty one empty; texts with fewer
-sentences than a span are left alone. Rows without doc_id come last and count as one
+sentences or words than a run are left alone. Rows without doc_id come last and count as one
 document with each other, rows of equal doc_id too: among them only repeats inside a
 text are removed. Repeated rows are therefore cut alike. A text whose every sentence
 is a repeat becomes empty; the row stays. Extra columns pass through; a column named
@@ -44,6 +46,7 @@ SLICE = 4 << 20
 @dataclass(frozen=True)
 class Spans:
     span: int = 3
+    run_words: int = 12
     min_words: int = 25
 
 
@@ -51,11 +54,31 @@ def sentences(text: str) -> list[str]:
     return SENTENCES.findall(text)
 
 
-def run_hashes(parts: list[str], span: int) -> list[bytes]:
-    """The hash of every run of ``span`` sentences, by its first sentence."""
+def run_hashes(parts: list[str], spans: Spans) -> list[tuple[int, int, bytes]]:
+    """Every run as (first sentence, sentence behind its last, hash), by its first sentence."""
     digest = xxhash.xxh3_128_digest
     single = [digest(part.strip(" \t\r\n").encode()) for part in parts]
-    return [digest(b"".join(single[at : at + span])) for at in range(len(single) - span + 1)]
+    upto = [0]
+    for part in parts:
+        upto.append(upto[-1] + len(WORDS.findall(part)))
+    found = set()
+    count, stop = len(parts), 0
+    for start in range(count):
+        stop = max(stop, start + spans.span)
+        while stop <= count and upto[stop] - upto[start] < spans.run_words:
+            stop += 1
+        if stop > count:
+            break
+        found.add((start, stop))
+    start = count
+    for stop in range(count, 0, -1):
+        start = min(start, stop - spans.span)
+        while start >= 0 and upto[stop] - upto[start] < spans.run_words:
+            start -= 1
+        if start < 0:
+            break
+        found.add((start, stop))
+    return [(start, stop, digest(b"".join(single[start:stop]))) for start, stop in sorted(found)]
 
 
 def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +86,7 @@ def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def runs(docs: DataFrame, span: int) -> DataFrame:
+def runs(docs: DataFrame, spans: Spans) -> DataFrame:
     """One row for every different run of every document: hash, document, row key."""
     kept = docs.select(
         id_key("doc_id").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), "text"
@@ -74,7 +97,7 @@ def runs(docs: DataFrame, span: int) -> DataFrame:
             found: list[bytes] = []
             counts = []
             for text in batch.column(2).to_pylist():
-                own = set(run_hashes(sentences(text), span)) if text else ()
+                own = {digest for _, _, digest in run_hashes(sentences(text), spans)} if text else ()
                 found.extend(own)
                 counts.append(len(own))
             if not found:
@@ -86,28 +109,28 @@ def runs(docs: DataFrame, span: int) -> DataFrame:
     return kept.mapInArrow(emit, "h1 long, h2 long, doc long, key long")
 
 
-def repeats(docs: DataFrame, span: int) -> DataFrame:
+def repeats(docs: DataFrame, spans: Spans) -> DataFrame:
     """Per row key: the first halves of the hashes of runs that an earlier document has."""
-    firsts = runs(docs, span).groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    firsts = runs(docs, spans).groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     shared = written(firsts.where("first < last").select("h1", "h2", "first"), "span-firsts")
-    later = runs(docs, span).join(shared, ["h1", "h2"]).where("doc > first")
+    later = runs(docs, spans).join(shared, ["h1", "h2"]).where("doc > first")
     return later.groupBy("key").agg(F.collect_set("h1").alias("later"))
 
 
-def covered(parts: list[str], span: int, later: set[int], min_words: int) -> list[bool]:
+def covered(parts: list[str], later: set[int], spans: Spans) -> list[bool]:
     """Which sentences go."""
     marked = [False] * len(parts)
     seen = set()
-    for at, digest in enumerate(run_hashes(parts, span)):
+    for start, stop, digest in run_hashes(parts, spans):
         if digest in seen or int.from_bytes(digest[:8], "little", signed=True) in later:
-            marked[at : at + span] = [True] * span
+            marked[start:stop] = [True] * (stop - start)
         seen.add(digest)
     start = 0
     while start < len(parts):
         stop = start
         while stop < len(parts) and marked[stop] == marked[start]:
             stop += 1
-        if marked[start] and sum(len(WORDS.findall(part)) for part in parts[start:stop]) < min_words:
+        if marked[start] and sum(len(WORDS.findall(part)) for part in parts[start:stop]) < spans.min_words:
             marked[start:stop] = [False] * (stop - start)
         start = stop
     return marked
@@ -117,7 +140,7 @@ def without_repeats(docs: DataFrame, spans: Spans = Spans()) -> DataFrame:
     """``docs`` with repeated spans cut from ``text``, and ``removed_words``."""
     kept = docs.drop(*[c for c in docs.columns if c.lower() == "removed_words"])
     key, later = free_name(kept.columns, "key"), free_name(kept.columns, "later")
-    found = repeats(kept.select("doc_id", "text"), spans.span).toDF(key, later)
+    found = repeats(kept.select("doc_id", "text"), spans).toDF(key, later)
     keyed = kept.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
     joined = keyed.join(found, key, "left").select(*[f"`{c}`" for c in kept.columns], later)
     place = [c.lower() for c in kept.columns].index("text")
@@ -128,7 +151,7 @@ def without_repeats(docs: DataFrame, spans: Spans = Spans()) -> DataFrame:
             texts, removed = [], []
             for text, own in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1)):
                 parts = sentences(text) if text else []
-                marked = covered(parts, spans.span, set(own.as_py() or ()), spans.min_words)
+                marked = covered(parts, set(own.as_py() or ()), spans)
                 if any(marked):
                     text = "".join(part for part, gone in zip(parts, marked) if not gone)
                 texts.append(text)
@@ -148,23 +171,27 @@ WITH parts AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?。！？\n]*[.!?。！？\n]+[ \t\r\n]*|[^.!?。！？\n]+')) AS part,
     generate_subscripts(regexp_extract_all(text, '[^.!?。！？\n]*[.!?。！？\n]+[ \t\r\n]*|[^.!?。！？\n]+'), 1) AS n
   FROM documents
+), counted AS (
+  SELECT doc_id, n, part, md5(trim(part, chr(32) || chr(9) || chr(13) || chr(10))) AS h, len(regexp_extract_all(part, '[^ \t\r\n]+')) AS words,
+    sum(len(regexp_extract_all(part, '[^ \t\r\n]+'))) OVER (PARTITION BY doc_id ORDER BY n) AS upto
+  FROM parts
+), long_enough AS (
+  SELECT a.doc_id, a.n AS a, z.n AS z FROM counted a JOIN counted z
+  ON z.doc_id = a.doc_id AND z.n >= a.n + 2 AND z.upto - a.upto + a.words >= 12
+), spans AS (
+  SELECT doc_id, a, min(z) AS z FROM long_enough GROUP BY doc_id, a
+  UNION SELECT doc_id, max(a), z FROM long_enough GROUP BY doc_id, z
 ), runs AS (
-  SELECT doc_id, n, md5(trim(part, chr(32) || chr(9) || chr(13) || chr(10))) AS a,
-    lead(md5(trim(part, chr(32) || chr(9) || chr(13) || chr(10)))) OVER w AS b,
-    lead(md5(trim(part, chr(32) || chr(9) || chr(13) || chr(10))), 2) OVER w AS c
-  FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY n)
+  SELECT s.doc_id, a, z, string_agg(h, '' ORDER BY n) AS run
+  FROM spans s JOIN counted c ON c.doc_id = s.doc_id AND c.n BETWEEN a AND z GROUP BY s.doc_id, a, z
 ), later AS (
-  SELECT doc_id, n FROM runs WHERE c IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, n) > 1
+  SELECT doc_id, a, z FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, a) > 1
+), marks AS (
+  SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS n FROM later
 ), marked AS (
-  SELECT p.doc_id, p.n, part, len(regexp_extract_all(part, '[^ \t\r\n]+')) AS words,
-    EXISTS (SELECT 1 FROM later l WHERE l.doc_id = p.doc_id AND l.n = p.n) AS m0,
-    EXISTS (SELECT 1 FROM later l WHERE l.doc_id = p.doc_id AND l.n = p.n - 1) AS m1,
-    EXISTS (SELECT 1 FROM later l WHERE l.doc_id = p.doc_id AND l.n = p.n - 2) AS m2
-  FROM parts p
+  SELECT c.doc_id, c.n, part, words, m.n IS NOT NULL AS m FROM counted c LEFT JOIN marks m ON m.doc_id = c.doc_id AND m.n = c.n
 ), regions AS (
-  SELECT *, m0 OR m1 OR m2 AS m,
-    n - row_number() OVER (PARTITION BY doc_id, m0 OR m1 OR m2 ORDER BY n) AS region FROM marked
+  SELECT *, n - row_number() OVER (PARTITION BY doc_id, m ORDER BY n) AS region FROM marked
 ), sized AS (
   SELECT *, m AND sum(words) OVER (PARTITION BY doc_id, m, region) >= 25 AS gone FROM regions
 ), texts AS (
