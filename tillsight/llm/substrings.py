@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: everything up to a run of ``. ! ? 。 ！ ？`` or a line
-break, with the white space behind it; the pieces joined give the text again. A run
+break, with the white space behind it; a longer one is cut after every twelve words, so
+long sentences and lists have runs, too. The pieces joined give the text again. A run
 is the shortest one of at least ``span`` consecutive sentences and ``run_words`` words
 that starts at a sentence, or that ends at one, so every sentence of a longer passage
 lies in a run inside it. Every run (without the white space around its sentences) is
@@ -38,7 +39,10 @@ from pyspark.sql import types as T
 
 from .common import free_name, id_key, slices, written
 
-SENTENCES = re.compile(r"[^.!?。！？\n]*[.!?。！？\n]+[ \t\r\n]*|[^.!?。！？\n]+")
+# Twelve words without an end of sentence are a piece, too.
+SENTENCES = re.compile(
+    r"(?:[^.!?。！？\n \t\r]+[ \t\r]+){12}|[^.!?。！？\n]*[.!?。！？\n]+[ \t\r\n]*|[^.!?。！？\n]+"
+)
 WORDS = re.compile(r"[^ \t\r\n]+")
 SLICE = 4 << 20
 
@@ -168,8 +172,8 @@ def without_repeats(docs: DataFrame, spans: Spans = Spans()) -> DataFrame:
 
 ORACLE = r"""
 WITH parts AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?。！？\n]*[.!?。！？\n]+[ \t\r\n]*|[^.!?。！？\n]+')) AS part,
-    generate_subscripts(regexp_extract_all(text, '[^.!?。！？\n]*[.!?。！？\n]+[ \t\r\n]*|[^.!?。！？\n]+'), 1) AS n
+  SELECT doc_id, unnest(regexp_extract_all(text, '(?:[^.!?。！？\n \t\r]+[ \t\r]+){12}|[^.!?。！？\n]*[.!?。！？\n]+[ \t\r\n]*|[^.!?。！？\n]+')) AS part,
+    generate_subscripts(regexp_extract_all(text, '(?:[^.!?。！？\n \t\r]+[ \t\r]+){12}|[^.!?。！？\n]*[.!?。！？\n]+[ \t\r\n]*|[^.!?。！？\n]+'), 1) AS n
   FROM documents
 ), counted AS (
   SELECT doc_id, n, part, md5(trim(part, chr(32) || chr(9) || chr(13) || chr(10))) AS h, len(regexp_extract_all(part, '[^ \t\r\n]+')) AS words,
