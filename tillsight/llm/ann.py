@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import importable, written
 
 RESULT = "query_id long, vec_id long, score double"
 
@@ -282,6 +282,7 @@ def nearest(vectors: DataFrame, is_query: Column, search: Search = Search()) ->
 
     Returns ``query_id, rank, vec_id, score``.
     """
+    importable(vectors.sparkSession)
     good, count, width, norm = usable(vectors)
     queries = good.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
     tried = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(search.trials).collect() if count else []

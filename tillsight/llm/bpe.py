@@ -38,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import prepared, slices
 
-SLICE = 4 << 20
-KNOWN = 96 << 20
+SLICE = 2 << 20
+KNOWN = 48 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,16 +61,20 @@ class Vocabulary:
             raise ValueError("the vocabulary lacks single bytes")
         self.shift = max(self.tokens).bit_length()
         get = self.ranks.get
-        self.merges: dict[int, int] = {}
+        keys, results = array("q"), array("i")
         for token, rank in self.ranks.items():
             for at in range(1, len(token)):
                 head, tail = get(token[:at]), get(token[at:])
                 if head is not None and tail is not None:
-                    self.merges[head << self.shift | tail] = rank
-        keys = np.array(list(self.merges), dtype=np.int64)
+                    keys.append(head << self.shift | tail)
+                    results.append(rank)
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.results = np.array(list(self.merges.values()), dtype=np.int32)[order]
+        self.keys = np.array(keys, dtype=np.int64)[order]
+        self.results = np.array(results, dtype=np.int32)[order]
+
+    def merge(self, left: int, right: int) -> int:
+        """The rank of the merge of two tokens, -1 if there is none."""
+        return self.ranks.get(self.tokens[left] + self.tokens[right], -1)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ranks of the merges of pairs of tokens, -1 where there is none."""
@@ -172,11 +176,11 @@ class Corpus:
         return later
 
     def _one_by_one(self, rank: int, places: list[int], token, left, right, word) -> None:
-        merges, shift = self.vocabulary.merges.get, self.vocabulary.shift
+        merge = self.vocabulary.merge
         waiting = -1  # a word in which a rank that goes first has come up
         for at in places:
             after = right[at]
-            if after < 0 or token[at] < 0 or merges(token[at] << shift | token[after], -1) != rank:
+            if after < 0 or token[at] < 0 or merge(token[at], token[after]) != rank:
                 continue
             if word[at] == waiting:
                 self._enter(rank, at)
@@ -185,14 +189,14 @@ class Corpus:
             beyond = right[at] = right[after]
             if beyond >= 0:
                 left[beyond] = at
-                new = merges(rank << shift | token[beyond], -1)
+                new = merge(rank, token[beyond])
                 if new >= 0:
                     self._enter(new, at)
                     if new <= rank:
                         waiting = word[at]
             before = left[at]
             if before >= 0:
-                new = merges(token[before] << shift | rank, -1)
+                new = merge(token[before], rank)
                 if new >= 0:
                     self._enter(new, before)
                     if new <= rank:
@@ -283,6 +287,8 @@ def _schema(df: DataFrame, name: str) -> T.StructType:
 def encode(df: DataFrame, path: str, pattern: str, spaced: bool = False, text: str = "text") -> DataFrame:
     """``df`` with the column ``ids``; ``path`` must name the same file on every executor."""
 
+    prepared(df.sparkSession)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(path, pattern, spaced)
         for batch in slices(batches, text, SLICE):

@@ -28,9 +28,18 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, *paths)))
 
 
+def prepared(spark: SparkSession) -> None:
+    """What operators with Python workers need of a session.
+
+    Arrow batches are short, since a row may be a long text; workers find the package.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    importable(spark)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables, whole."""
-    importable(spark)
+    prepared(spark)
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import prepared, slices
 
 SLICE = 4 << 20
 CHUNK = 1 << 16
@@ -226,6 +226,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with ``text`` and its length in code points, ``n_chars``; without the markup."""
     kept = pages.select(*[f"`{c}`" for c in pages.columns if c.lower() not in ("text", "n_chars") or c == html])
+    prepared(pages.sparkSession)
     place = kept.columns.index(html)
     rest = [f for f in kept.schema.fields if f.name != html]
     schema = T.StructType([*rest, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LAST_ID, free_name, id_key, slices, written
+from .common import LAST_ID, free_name, id_key, prepared, slices, written
 from .components import components
 
 SLICE = 4 << 20
@@ -257,6 +257,7 @@ def verified(docs: DataFrame, classes: DataFrame, found: DataFrame, forest: Fore
 
 def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, key, node, root, class_id, n_links``."""
+    prepared(docs.sparkSession)
     rows = written(described(docs, forest), "jaccard-rows")
     classes = rows.where("node is not null").groupBy("node").agg(
         F.min("doc").alias("doc"), F.min("key").alias("key"), F.count("*").alias("copies"),

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import prepared, slices, written
 
 SLICE = 4 << 20
 MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
@@ -172,6 +172,7 @@ def rooted(links: DataFrame) -> DataFrame:
 
 def linked(messages: DataFrame, linking: Linking = Linking()) -> DataFrame:
     """``messages`` with their own text, parent, root, depth and reply order."""
+    prepared(messages.sparkSession)
     told = written(read(messages, linking), "messages")
     found = written(rooted(parents(told)), "threads")
     at = (told["conv_id"].cast("long") == found["conv"]) & (told["turn"].cast("long") == found["turn"])

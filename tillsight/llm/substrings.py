@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, id_key, slices, written
+from .common import free_name, id_key, prepared, slices, written
 
 # Twelve words without an end of sentence are a piece, too.
 SENTENCES = re.compile(
@@ -142,6 +142,7 @@ def covered(parts: list[str], later: set[int], spans: Spans) -> list[bool]:
 
 def without_repeats(docs: DataFrame, spans: Spans = Spans()) -> DataFrame:
     """``docs`` with repeated spans cut from ``text``, and ``removed_words``."""
+    prepared(docs.sparkSession)
     kept = docs.drop(*[c for c in docs.columns if c.lower() == "removed_words"])
     key, later = free_name(kept.columns, "key"), free_name(kept.columns, "later")
     found = repeats(kept.select("doc_id", "text"), spans).toDF(key, later)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import prepared, slices
 
 WORDS = re.compile(r"\w+")
 SLICE = 2 << 20
@@ -389,6 +389,7 @@ def scored(docs: DataFrame, network: Network | None) -> DataFrame:
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("score", "predicted")])
     if network is None:
         return kept.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+    prepared(docs.sparkSession)
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
     place = [c.lower() for c in kept.columns].index("text")
     name = kept.columns[place]
