@@ -45,6 +45,17 @@ def test_inside_the_article():
     assert htmltext.main_text(page(NOISE + inner + AFTER)) == "\n".join(["Title here", "Short.", *SENTENCES, "one", "two", "a b c d"])
 
 
+def test_unmarked_rest_and_telling_classes():
+    lines = SENTENCES[:4]
+    rest = "<div>" + "".join(f"<p>Reader {i} writes a long answer that nobody marked as such.</p>" for i in range(6)) + "</div>"
+    nested = "<div class='wrap has-sidebar'>" + article(lines, "<article class='post no-comments'>") + rest + "</div>"
+    assert htmltext.main_text(page(NOISE + nested + AFTER)) == "\n".join(lines)
+    comments = "<div class=responses>" + article(SENTENCES[6:], "<article class=comment>") + "</div>"
+    assert htmltext.main_text(page(article(lines) + comments)) == "\n".join(lines)
+    several = article(lines) + article(SENTENCES[4:8])
+    assert htmltext.main_text(page(NOISE + several + AFTER)) == "\n".join(SENTENCES[:8])
+
+
 def test_broken_markup():
     text = htmltext.main_text(page(NOISE + "<article><h1>A &am</h1><p><b>B &amp;lt; c<br><p>D</b> e<p>f") + "")
     assert text == "A &am\nB &lt; c\nD e\nf"

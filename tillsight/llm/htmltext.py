@@ -8,7 +8,8 @@ The ratios are smoothed with a Gaussian and split into two clusters by the thres
 that separates them best (two means in one dimension); lines above it are content.
 
 Content regions are widened to what holds them: the innermost article, main or
-content element with nearly all content text gives all of its lines; without one, the
+content element with nearly all content text, or a single article or main element with much of
+it, gives all of its lines; without one, the
 lines from the first to the last content line. In a region every line outside the
 never-content elements is text, however short. White space in a line becomes one
 space, lines are trimmed, empty ones go, and the rest is joined by line breaks.
@@ -50,12 +51,16 @@ NEVER = frozenset(
 NEVER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 NEVER_WORDS = frozenset(
     "ad ads adsense advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification "
-    "overlay pagination pager popup promo promotion related replies reply respond search share sharing sidebar signup "
+    "discussion disqus feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification "
+    "overlay pagination pager popup promo promotion related replies reply respond responses search share sharing sidebar signup "
     "social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
 CONTENT = frozenset(("article", "main"))
 CONTENT_WORDS = frozenset("article content entry main post story".split())
+#: Of those, what an article or main element itself may be.
+NEVER_CONTENT = frozenset("ad ads advert comment comments promo related replies reply responses sponsored teaser widget".split())
+#: Classes of these prefixes tell what a page has, not what an element is.
+TELLS = re.compile(r"(?:has|with|without|no|is|js)[-_]")
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",),
@@ -73,6 +78,7 @@ class Lines(HTMLParser):
         self.never = self.link = 0
         self.container = 0
         self.parents = [0]
+        self.named = [False]  # whether a container is an article or main element
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.links: list[int] = []
@@ -121,12 +127,14 @@ class Lines(HTMLParser):
         words, role = [], None
         for name, value in attrs:
             if value and name in ("class", "id"):
-                words += re.split(r"[^a-z0-9]+", value.lower())
+                for one in value.lower().split():
+                    if not TELLS.match(one):
+                        words += re.split(r"[^a-z0-9]+", one)
             elif name == "role":
                 role = (value or "").lower()
         self.stack.append((tag, self.never, self.link, self.container))
         content = tag in CONTENT or role == "main"
-        never = tag in NEVER or role in NEVER_ROLES or not content and not NEVER_WORDS.isdisjoint(words)
+        never = tag in NEVER or role in NEVER_ROLES or not (NEVER_CONTENT if content else NEVER_WORDS).isdisjoint(words)
         # A header that belongs to an article holds its title.
         never = never or tag == "header" and not any(name in CONTENT for name, *_ in self.stack)
         if tag in ("html", "body"):
@@ -135,6 +143,7 @@ class Lines(HTMLParser):
             self.never += 1
         elif content or tag not in ("html", "body") and not CONTENT_WORDS.isdisjoint(words):
             self.parents.append(self.container)
+            self.named.append(content)
             self.container = len(self.parents) - 1
         if tag == "a":
             self.link += 1
@@ -184,11 +193,20 @@ def _region(page: Lines, content: np.ndarray) -> np.ndarray:
     np.add.at(held, np.array(page.inside), sizes * content)
     for child in range(len(page.parents) - 1, 0, -1):  # children come after their parents
         held[page.parents[child]] += held[child]
+    children: list[list[int]] = [[] for _ in page.parents]
+    for child in range(1, len(page.parents)):
+        children[page.parents[child]].append(child)
     chosen, total = 0, held[0]
-    for container in range(1, len(page.parents)):
-        # Inner elements come later and hold no more, so the innermost with nearly all wins.
-        if page.parents[container] == chosen and held[container] >= 0.8 * total:
-            chosen = container
+    while True:
+        inner = sorted(children[chosen], key=lambda c: -held[c])
+        if not inner or not held[inner[0]]:
+            break
+        best, others = inner[0], [held[c] for c in inner[1:] if page.named[c]]
+        # An article holds the text even beside long unmarked rest, unless it is one of several.
+        alone = page.named[best] and held[best] >= 0.3 * total and not (others and others[0] >= 0.5 * held[best])
+        if not alone and held[best] < 0.8 * total:
+            break
+        chosen = best
     if chosen:
         within = np.zeros(len(page.parents), dtype=bool)
         within[chosen] = True
