@@ -77,9 +77,14 @@ def _purchases(spark: SparkSession, folder: str) -> DataFrame:
     return purchases.purchases_from_pos(star.pos_lines(spark, folder), star.LOOKUPS, star.LIMITS)
 
 
-def _stored_purchases(spark: SparkSession, folder: str) -> DataFrame:
-    """The purchases as a written table, for queries that read them twice."""
-    bought = _purchases(spark, folder)
+STYLE_COLUMNS = (
+    "phone", "ticket_id", "product_code", "qty", "line_total", "purchase_date", "agent_name", "raw_customer_name",
+)
+
+
+def _stored_purchases(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The purchases (some columns) as a written table, for queries that read them twice."""
+    bought = _purchases(spark, folder).select(*(columns or ["*"]))
     path = scratch_path(spark, "purchases")
     bought.write.parquet(path)
     return spark.read.schema(bought.schema).parquet(path)
@@ -311,7 +316,7 @@ def profile_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def style_buyers(spark: SparkSession, folder: str) -> DataFrame:
-    bought = _stored_purchases(spark, folder)
+    bought = _stored_purchases(spark, folder, *STYLE_COLUMNS)
     return styles.style_buyers(bought, customers.customer_names(bought), STYLE)
 
 
@@ -322,7 +327,7 @@ def style_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def style_buyers_all(spark: SparkSession, folder: str) -> DataFrame:
-    bought = _stored_purchases(spark, folder)
+    bought = _stored_purchases(spark, folder, *STYLE_COLUMNS)
     return styles.buyers_by_style(bought, customers.customer_names(bought))
 
 
