@@ -13,6 +13,8 @@ SCHEMA = "doc_id long, text string, source string, size string, U string"
 
 def run(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("rest", "p", "copies", "bin", "_u", "row"):
+        docs = docs.withColumn(name, docs["size"])
     return docs, mixing.mixed(docs)
 
 
@@ -39,7 +41,7 @@ def test_equals_sql(spark):
 def test_targets_are_met(spark):
     _, mixed = run(spark, rows())
     got = mixed.collect()
-    assert mixed.columns == ["doc_id", "text", "source", "U", *mixing.RESULT]
+    assert mixed.columns == ["doc_id", "text", "source", "U", "rest", "p", "copies", "bin", "_u", "row", *mixing.RESULT]
     by_source = {}
     for r in got:
         assert 0 <= r.taken <= 2 * r.size

@@ -60,7 +60,7 @@ def test_learns_and_scores_whole_texts(spark):
     schema = "doc_id long, text string, score string, Predicted int, keep string"
     docs = spark.createDataFrame([(i, t, "x", 1, "k") for i, t, _ in rows + extra], schema)
     labels = spark.createDataFrame([(i, y, 1) for i, _, y in rows], "doc_id long, toxic int, quality int")
-    out = tx.toxicity(docs, labels)
+    out = tx.toxicity(docs.withColumnRenamed("keep", "toxic"), labels).withColumnRenamed("toxic", "keep")
     assert out.columns == ["doc_id", "text", "keep", "score", "predicted"]
     got = {r.doc_id: r for r in out.withColumn("out", tx.held_out(out.doc_id)).collect()}
     held = [(got[i].predicted, y) for i, _, y in rows if got[i].out]

@@ -60,9 +60,12 @@ def uniform(doc_id: Column, seed: str) -> Column:
 
 
 def sized(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` with its columns ``size`` and ``_u``."""
-    kept = docs.drop(*[c for c in docs.columns if c.lower() in (*RESULT, "_u")])
-    return kept.withColumns({"size": words(F.col("text")), "_u": uniform(F.col("doc_id"), mix.seed)})
+    """Every row of ``docs`` as ``row``, beside its id, source, size and random number."""
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in RESULT]
+    return docs.select(
+        F.struct(*kept).alias("row"), "doc_id", "source",
+        words(F.col("text")).alias("size"), uniform(F.col("doc_id"), mix.seed).alias("_u"),
+    )
 
 
 def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
@@ -165,8 +168,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     left = F.col("rest") - F.col("_before") - F.col("_ahead")
     inside = placed.where("_bin = _end").withColumn("_ahead", running)
     inside = inside.withColumn("taken", certain + F.greatest(F.lit(0), F.least(F.col("size"), left))).drop("_ahead")
-    kept = [c for c in docs.columns if c.lower() not in (*RESULT, "_u")]
-    return outside.unionByName(inside).select(*[f"`{c}`" for c in kept], *RESULT)
+    return outside.unionByName(inside).select("row.*", *RESULT)
 
 
 def copies(taken: DataFrame, columns: Sequence[str]) -> DataFrame:

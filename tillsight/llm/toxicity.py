@@ -370,7 +370,7 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> list[tuple
     """At most ``settings.sample`` rows of either label, none of them held out."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = known.where(~held_out(F.col("doc_id")))
-    short = docs.where(F.length("text") <= settings.sample_chars)
+    short = docs.select("doc_id", "text").where(F.length("text") <= settings.sample_chars)
     there = usable.join(short.select(F.col("doc_id").alias("own_id")), F.col("own_id") == F.col("doc_id"), "left_semi")
     order = (F.xxhash64("doc_id", F.lit(settings.seed)), F.col("doc_id"))
     chosen = []
