@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import compare
 import duckdb
@@ -67,7 +68,7 @@ def test_sources_meet_their_targets(stages):
     words = out.groupBy("source").agg({"*": "count"}).count()
     taken = {r.source: 0 for r in told}
     for r in out.collect():
-        taken[r.source] += len([w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", r.text)])
+        taken[r.source] += len([w for w in re.findall(r"[^\x20\x09-\x0D]+", r.text)])
     assert words and all(taken[r.source] == r["sum(taken)"] and abs(taken[r.source] - r["max(target)"]) <= 0.5 for r in told)
 
 

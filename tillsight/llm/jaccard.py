@@ -5,9 +5,9 @@ set holds the 64-bit hashes of all runs of ``words`` words (of all its words, if
 fewer). Texts with equal sets are one class, a node named by a 64-bit hash of the
 set; copies are never expanded into pairs.
 
-The forest has ``trees`` prefix tries. A node's label in a trie is a sequence of
-``longest`` MinHash values; sorted labels put nodes with a common prefix side by
-side. Two sets of similarity s share a prefix of length d in some trie with
+The forest has ``trees`` prefix tries. A node's label in a trie is a sequence of up to
+``longest`` MinHash values; nodes whose labels share a prefix, which sorting would put
+side by side, meet here by a shuffle on that prefix. Two sets of similarity s share a prefix of length d in some trie with
 probability 1 - (1 - s^d)^trees, so matching starts with whole labels and the prefix
 is shortened until that recall, at the threshold, reaches the target. The nodes
 under one prefix are tied to the smallest of them, which is linear in the nodes; the

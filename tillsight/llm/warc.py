@@ -5,8 +5,8 @@ compressed records per task. Each record is a gzip member of its own whose extra
 field ``sl`` holds the member's compressed and plain length. A file counts only once
 the job's manifest lists it, so lost or repeated tasks leave no records behind.
 
-Reading plans partitions from the sizes of the files (whole files, small ones
-together). A task parses the header of a record first. Predicates on the type and
+Reading plans partitions from the sizes of the files (whole files, since members
+cannot be found from the middle; small ones together). A task parses the header of a record first. Predicates on the type and
 the other header columns are pushed down to it; for records that they reject, and for
 all records if the schema that the reader asks for has no ``payload``, the rest of
 the member is skipped by its length and never decoded (members of other writers,
