@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from tillsight import registry
 from tillsight.operators import customers, messages
 from tillsight.plans import sales, uploads
-from tillsight.schemas import CUSTOMERS, MESSAGES, column_names
-from tillsight.sources import snapshots
-from tillsight.sources import csvfiles, star
+from tillsight.schemas import CUSTOMERS, column_names
+from tillsight.sources import csvfiles, snapshots, star
 from tillsight.streaming import tables
 from tillsight.streaming.sales import SalesFeed
 
