@@ -43,8 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the whole texts, checked by decoding them again."""
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, spaced=True)
-    return bpe.digests(bpe.decode(encoded, path), docs.columns)
+    coded = bpe.round_trip(docs, path, public_tokenizers.PATTERN, spaced=True)
+    return bpe.digests(coded, docs.columns)
 
 
 STAGES = [

@@ -57,7 +57,7 @@ def test_query(spark, folder, library):
 
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 2)], "doc_id long, text string, IDS string, decoded int")
-    out = bpe.decode(bpe.encode(docs, PATH, PATTERN), PATH)
-    assert out.columns == ["doc_id", "text", "ids", "decoded"]
-    assert bytes(out.first().decoded) == b"a b"
+    for out in (bpe.decode(bpe.encode(docs, PATH, PATTERN), PATH), bpe.round_trip(docs, PATH, PATTERN)):
+        assert out.columns == ["doc_id", "text", "ids", "decoded"]
+        assert bytes(out.first().decoded) == b"a b"
     assert bpe.query(docs.limit(0), PATH, PATTERN).count() == 0

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from .common import prepared, slices
 
 SLICE = 2 << 20
-KNOWN = 48 << 20
+KNOWN = 32 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -298,18 +298,39 @@ def encode(df: DataFrame, path: str, pattern: str, spaced: bool = False, text: s
     return df.mapInArrow(run, _schema(df, "ids"))
 
 
+def decoded_bytes(packed: Iterable[bytes | None], token) -> list[bytes]:
+    """The bytes that packed ids stand for."""
+    return [b"".join(map(token, _numbers(ids))) for ids in packed]
+
+
 def decode(df: DataFrame, path: str) -> DataFrame:
     """``df`` with the bytes of its ``ids`` in the column ``decoded``."""
+    prepared(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = token_bytes(path).__getitem__
         for batch in slices(batches, "ids", 4 * SLICE):
             packed = batch.column(batch.schema.get_field_index("ids")).to_pylist()
-            yield _with(batch, "decoded", [b"".join(map(token, _numbers(ids))) for ids in packed])
+            yield _with(batch, "decoded", decoded_bytes(packed, token))
 
     return df.mapInArrow(run, _schema(df, "decoded"))
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, spaced: bool = False, text: str = "text") -> DataFrame:
+    """``decode(encode(df))`` in one Python worker for each task instead of two."""
+    prepared(df.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = encoder(path, pattern, spaced)
+        token = ids_of.vocabulary.tokens.__getitem__
+        for batch in slices(batches, text, SLICE):
+            packed = ids_of(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            yield _with(_with(batch, "ids", packed), "decoded", decoded_bytes(packed, token))
+
+    both = T.StructType([*[f for f in _schema(df, "ids").fields if f.name.lower() != "decoded"], T.StructField("decoded", T.BinaryType())])
+    return df.mapInArrow(run, both)
+
+
 def _numbers(ids: bytes | None) -> array:
     numbers = array("I" if array("I").itemsize == 4 else "L")
     numbers.frombytes(ids or b"")
@@ -329,5 +350,4 @@ def digests(df: DataFrame, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
 
 
 def query(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    encoded = encode(docs.select("doc_id", "text"), path, pattern, spaced=True).drop("text")
-    return digests(decode(encoded, path))
+    return digests(round_trip(docs.select("doc_id", "text"), path, pattern, spaced=True))
