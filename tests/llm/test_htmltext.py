@@ -56,6 +56,36 @@ def test_unmarked_rest_and_telling_classes():
     assert htmltext.main_text(page(NOISE + several + AFTER)) == "\n".join(SENTENCES[:8])
 
 
+def test_sections_with_listed_words_stay():
+    half = len(SENTENCES) // 2
+    for open_ in ("<section id='search-order'>", "<section id=discussion>", "<section id='login-flow'>", "<div class='related-work'>"):
+        close = "</div>" if "div" in open_ else "</section>"
+        for outer in ("article", "main"):
+            inner = article(SENTENCES[:half], "", "") + article(SENTENCES[half:], open_, close)
+            text = htmltext.main_text(page(NOISE + f"<{outer}>{inner}</{outer}>" + AFTER))
+            assert text == "\n".join(SENTENCES), (open_, outer)
+    inner = "<header class='entry-header'><h1>Title</h1></header><div class='entry-content'>" + article(SENTENCES, "", "") + "</div>"
+    inner += "<h2 id=comments>Comments</h2><p>Last words.</p>"
+    got = htmltext.main_text(page(NOISE + f"<article>{inner}</article>" + AFTER))
+    assert got == "\n".join(["Title", *SENTENCES, "Comments", "Last words."])
+
+
+def test_comments_beside_the_article_go():
+    comments = "<div id=comments><p>I do not agree with this article at all, it is far too long.</p></div>"
+    for outer in ("<main>", "<main><div class=content>"):
+        assert htmltext.main_text(page(NOISE + outer + article(SENTENCES) + comments + "</main>" + AFTER)) == "\n".join(SENTENCES)
+
+
+def test_inner_containers_do_not_replace_the_whole():
+    card = article(SENTENCES[8:], "<article>")
+    assert htmltext.main_text(page(NOISE + article(SENTENCES[:8], "<main>", "") + card + "</main>" + AFTER)) == "\n".join(SENTENCES)
+    story = article(SENTENCES[:10], "<div class=story>", "</div>") + article(SENTENCES[10:], "<div>", "</div>")
+    assert htmltext.main_text(page(NOISE + story + AFTER)) == "\n".join(SENTENCES)
+    assert htmltext.main_text(page(NOISE + f"<main>{story}</main>" + AFTER)) == "\n".join(SENTENCES)
+    two = article(SENTENCES[:10]) + article(SENTENCES[10:])
+    assert htmltext.main_text(page(NOISE + two + AFTER)) == "\n".join(SENTENCES)
+
+
 def test_broken_markup():
     text = htmltext.main_text(page(NOISE + "<article><h1>A &am</h1><p><b>B &amp;lt; c<br><p>D</b> e<p>f") + "")
     assert text == "A &am\nB &lt; c\nD e\nf"

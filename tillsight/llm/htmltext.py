@@ -4,13 +4,17 @@ The standard library's parser streams events over the whole page. They make line
 the text between two boundaries of block elements, with the number of tags and the
 characters inside links. A line's ratio is its text outside links per tag; lines
 inside elements that are never content (by element, role, class or id) have ratio 0.
+Inside an article or main element only a whole class makes an element never content;
+one listed word of a longer class, or in an id, which may come from a title, is a doubt:
+its lines have ratio 0, yet belong to the region they lie in.
 The ratios are smoothed with a Gaussian and split into two clusters by the threshold
 that separates them best (two means in one dimension); lines above it are content.
 
 Content regions are widened to what holds them: the innermost article, main or
-content element with nearly all content text, or a single article or main element with much of
-it, gives all of its lines; without one, the
-lines from the first to the last content line. In a region every line outside the
+content element with all content lines gives all of its lines, or an article or main
+element with much of the text, if the rest lies in no other such element; without one,
+the lines from the first to the last content line. Doubtful lines beside the article
+that holds all content are left out. In a region every line outside the
 never-content elements is text, however short. White space in a line becomes one
 space, lines are trimmed, empty ones go, and the rest is joined by line breaks.
 ``br`` is white space inside a line. Character references are decoded once.
@@ -74,15 +78,18 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int, int]] = []  # element; depths of never, links; its container
-        self.never = self.link = 0
+        self.stack: list[tuple[str, int, int, int, int]] = []  # element; depths of never, doubt, links; its container
+        self.never = self.doubt = self.link = 0
         self.container = 0
         self.parents = [0]
         self.named = [False]  # whether a container is an article or main element
+        self.within = [False]  # whether it is such an element or lies in one
+        self.articles = [False]  # whether it is an article or lies in one
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.links: list[int] = []
         self.hidden: list[bool] = []
+        self.doubtful: list[bool] = []
         self.inside: list[int] = []
         self.parts: list[str] = []
         self.count = self.linked = 0
@@ -96,12 +103,13 @@ class Lines(HTMLParser):
                 self.tags.append(self.count)
                 self.links.append(self.linked)
                 self.hidden.append(self.never > 0)
+                self.doubtful.append(self.doubt > 0)
                 self.inside.append(self.container)
                 self.count = 0
             self.parts, self.linked = [], 0
 
     def _leave(self, place: int) -> None:
-        _, self.never, self.link, self.container = self.stack[place]
+        _, self.never, self.doubt, self.link, self.container = self.stack[place]
         del self.stack[place:]
 
     def _close_open(self, names: tuple[str, ...], stops: frozenset[str]) -> None:
@@ -124,26 +132,37 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        words, role = [], None
+        words, classes, role = [], [], None
         for name, value in attrs:
             if value and name in ("class", "id"):
                 for one in value.lower().split():
                     if not TELLS.match(one):
                         words += re.split(r"[^a-z0-9]+", one)
+                        if name == "class":
+                            classes.append(one)
             elif name == "role":
                 role = (value or "").lower()
-        self.stack.append((tag, self.never, self.link, self.container))
+        within = self.within[self.container]
+        self.stack.append((tag, self.never, self.doubt, self.link, self.container))
         content = tag in CONTENT or role == "main"
-        never = tag in NEVER or role in NEVER_ROLES or not (NEVER_CONTENT if content else NEVER_WORDS).isdisjoint(words)
+        listed = NEVER_CONTENT if content else NEVER_WORDS
         # A header that belongs to an article holds its title.
-        never = never or tag == "header" and not any(name in CONTENT for name, *_ in self.stack)
+        if tag == "header" and within:
+            listed = listed - {"header"}
+        told = not listed.isdisjoint(words)
+        certain = not listed.isdisjoint(classes) if within else told
+        never = tag in NEVER or role in NEVER_ROLES or certain or tag == "header" and not within
         if tag in ("html", "body"):
-            never = False
+            never = told = False
         if never:
             self.never += 1
-        elif content or tag not in ("html", "body") and not CONTENT_WORDS.isdisjoint(words):
+        elif told:
+            self.doubt += 1
+        if not never and (content or tag not in ("html", "body") and not CONTENT_WORDS.isdisjoint(words)):
             self.parents.append(self.container)
             self.named.append(content)
+            self.within.append(content or within)
+            self.articles.append(tag == "article" or self.articles[self.container])
             self.container = len(self.parents) - 1
         if tag == "a":
             self.link += 1
@@ -189,22 +208,31 @@ def threshold(values: np.ndarray) -> float:
 def _region(page: Lines, content: np.ndarray) -> np.ndarray:
     """Which lines lie in the content regions."""
     sizes = np.array([len(text) for text in page.texts])
-    held = np.zeros(len(page.parents))
+    held, doubt = np.zeros(len(page.parents)), np.zeros(len(page.parents))
     np.add.at(held, np.array(page.inside), sizes * content)
+    np.add.at(doubt, np.array(page.inside), sizes * (np.array(page.doubtful) & ~np.array(page.hidden)))
     for child in range(len(page.parents) - 1, 0, -1):  # children come after their parents
         held[page.parents[child]] += held[child]
+        doubt[page.parents[child]] += doubt[child]
     children: list[list[int]] = [[] for _ in page.parents]
     for child in range(1, len(page.parents)):
         children[page.parents[child]].append(child)
+    # Containers with all their content lines in one article.
+    whole = [page.articles[c] for c in range(len(page.parents))]
+    for c in range(len(page.parents) - 1, -1, -1):
+        whole[c] = whole[c] or any(whole[child] and held[child] == held[c] for child in children[c])
     chosen, total = 0, held[0]
     while True:
         inner = sorted(children[chosen], key=lambda c: -held[c])
         if not inner or not held[inner[0]]:
             break
-        best, others = inner[0], [held[c] for c in inner[1:] if page.named[c]]
-        # An article holds the text even beside long unmarked rest, unless it is one of several.
-        alone = page.named[best] and held[best] >= 0.3 * total and not (others and others[0] >= 0.5 * held[best])
-        if not alone and held[best] < 0.8 * total:
+        best = inner[0]
+        # Outside of articles, one holds the text even beside long unmarked rest, unless other containers have some.
+        alone = page.named[best] and held[best] >= 0.3 * total and not chosen and (len(inner) == 1 or not held[inner[1]])
+        if held[best] < held[chosen] and not alone:
+            break
+        # Doubtful lines beside an article are not part of it; those in one are.
+        if doubt[best] < doubt[chosen] and (page.articles[chosen] or not whole[best]):
             break
         chosen = best
     if chosen:
@@ -232,9 +260,10 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         return ""
     sizes = np.array([len(text) for text in page.texts], dtype=float)
     outside = np.maximum(sizes - np.array(page.links), 0)
-    ratios = np.where(hidden, 0.0, outside / np.maximum(page.tags, 1))
+    doubtful = np.array(page.doubtful, dtype=bool)
+    ratios = np.where(hidden | doubtful, 0.0, outside / np.maximum(page.tags, 1))
     smooth = smoothed(ratios, sigma)
-    content = (smooth >= threshold(smooth)) & ~hidden
+    content = (smooth >= threshold(smooth)) & ~hidden & ~doubtful
     if not content.any():
         content = ~hidden
     keep = _region(page, content) & ~hidden
