@@ -112,3 +112,32 @@ def test_given_conversations(spark, folder):
     up = brute(rows)
     assert sorted((r.conv_id, r.turn) for r in got if r.parent_conv is not None) == sorted(up)
     assert sorted(r.own_text for r in got) == sorted(quotes.parsed(r[3])[0] for r in rows)
+
+
+def test_deeper_quotes_lead_to_an_ancestor(spark):
+    first, second = "The first message says a thing.", "The second message answers that thing."
+    rows = [
+        (1, 0, "user", first), (1, 1, "user", f"> {first}\n{second}"), (1, 2, "user", f">> {first}\nOnly the deeper one is quoted here."),
+        (1, 3, "user", f"> {second} (changed)\n>> {first}\nThe direct original was changed before."),
+        (1, 4, "user", f"> {second}\n>> {first}\n>>> {first}\nBoth originals are there to be found."),
+        (1, 5, "user", "> The direct original was changed before.\nThis one answers the changed quote."),
+        (2, 0, "user", f">>> {first}\nFrom another conversation, three levels down."),
+    ]
+    got = {(r.conv_id, r.turn): r for r in run(spark, rows).collect()}
+    up = {at: (r.ancestor_conv, r.ancestor_turn) for at, r in got.items()}
+    assert up == {
+        (1, 0): (None, None), (1, 1): (1, 0), (1, 2): (1, 0), (1, 3): (1, 0), (1, 4): (1, 1), (1, 5): (1, 3), (2, 0): (1, 0),
+    }
+    assert all((r.thread_conv, r.thread_turn) == (1, 0) for r in got.values())
+    assert [got[at].thread_depth for at in sorted(got)] == [0, 1, 1, 1, 2, 2, 1]
+    assert (got[1, 4].parent_turn, got[1, 5].parent_turn, got[1, 2].parent_turn) == (1, 3, None)
+
+
+def test_short_quotes_link_inside_a_conversation(spark):
+    rows = [
+        (1, 0, "user", "Can it be done by Friday?"), (1, 1, "user", "Yes, that works."), (1, 2, "user", "> Yes, that works.\nFine."),
+        (1, 3, "user", "> Fine.\n> \n> ???\nok"), (2, 0, "user", "> Yes, that works.\nNot from here."), (2, 1, "user", "> ok\nno"),
+    ]
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in run(spark, rows).collect()}
+    none = (None, None)
+    assert got == {(1, 0): none, (1, 1): none, (1, 2): (1, 1), (1, 3): (1, 2), (2, 0): none, (2, 1): none}

@@ -5,7 +5,8 @@ ignored. Lines of level 0 are the message's own text; a line that announces a qu
 ("On ... wrote:") right above quoted lines goes with them. Quoted lines of one level
 that follow each other form a passage. Passages, and their lines, are hashed in a
 normal form (lower case, only letters and digits, single spaces); so are every
-message's own text and its lines. Forms under ``min_chars`` are too common to link.
+message's own text and its lines. Forms under ``min_chars`` are too common to link
+conversations; inside a conversation forms of every length link.
 
 A quoted form links to the message it is the own text (or a line) of: to the earliest
 one of the same conversation before the quoting message, or else to the earliest one
@@ -13,12 +14,15 @@ of all conversations. Only one message per form, and per form and conversation,
 takes part in the joins, found by combining aggregations, so a passage that a third
 of the messages quote or contain meets one row. The parent of a message is the
 original of its level-1 quotes with the most quoted characters; of equal ones, one of
-its own conversation, then the latest.
+its own conversation, then the latest. Its ancestor is the same for the lowest level of
+which an original is found: the parent, or without one what deeper quotes lead to.
 
 Threads are the trees of parents; a message's root and depth are found by pointer
 doubling, which ends after about the logarithm of the longest chain of replies.
 Sorting a thread by ``root_conv, root_turn, depth, conv_id, turn`` puts replies after
-what they answer; ``reply_order`` is that key's part inside a root.
+what they answer; ``reply_order`` is that key's part inside a root. ``thread_conv,
+thread_turn, thread_depth`` are root and depth in the trees of ancestors, which also
+hold messages whose direct original is missing.
 
 Defined results: a missing text has no quotes and stays missing; a text of nothing
 but quotes becomes empty; messages without conv_id or turn are kept and never linked;
@@ -46,7 +50,10 @@ SLICE = 4 << 20
 MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 ANNOUNCES = re.compile(r".{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)[ \t]*:[ \t]*$")
 SIGNS = re.compile(r"[\W_]+")
-RESULT = ("own_text", "parent_conv", "parent_turn", "root_conv", "root_turn", "depth", "reply_order")
+RESULT = (
+    "own_text", "parent_conv", "parent_turn", "root_conv", "root_turn", "depth", "reply_order",
+    "ancestor_conv", "ancestor_turn", "thread_conv", "thread_turn", "thread_depth",
+)
 FOUND = "forms array<struct<hash:long,chars:int>>, quotes array<struct<hash:long,chars:int,level:int>>"
 
 
@@ -89,7 +96,7 @@ def _forms(lines: list[str], least: int) -> dict[int, int]:
     return forms
 
 
-def read(messages: DataFrame, linking: Linking) -> DataFrame:
+def read(messages: DataFrame) -> DataFrame:
     """``messages`` with own text, its forms and the quoted forms."""
     kept = messages.select(*[f"`{c}`" for c in messages.columns if c.lower() not in (*RESULT, "forms", "quotes")])
     place = [c.lower() for c in kept.columns].index("text")
@@ -104,11 +111,11 @@ def read(messages: DataFrame, linking: Linking) -> DataFrame:
             for text in batch.column(place).to_pylist():
                 own, passages = parsed(text) if text is not None else (None, [])
                 owns.append(own)
-                mine = _forms((own or "").split("\n"), linking.min_chars)
+                mine = _forms((own or "").split("\n"), 1)
                 forms.append([{"hash": h, "chars": n} for h, n in mine.items()])
                 told: dict[tuple[int, int], int] = {}
                 for level, lines in passages:
-                    told.update({(h, level): n for h, n in _forms(lines, linking.min_chars).items()})
+                    told.update({(h, level): n for h, n in _forms(lines, 1).items()})
                 quotes.append([{"hash": h, "chars": n, "level": level} for (h, level), n in told.items()])
             columns = [pa.array(owns, pa.string()), pa.array(forms, pa.list_(form)), pa.array(quotes, pa.list_(quote))]
             yield pa.RecordBatch.from_arrays(
@@ -118,47 +125,58 @@ def read(messages: DataFrame, linking: Linking) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def parents(told: DataFrame) -> DataFrame:
-    """One row per message that quotes an earlier one: ``conv, turn, parent_conv, parent_turn``."""
+def parents(told: DataFrame, linking: Linking) -> DataFrame:
+    """One row per message that quotes an earlier one: ``conv, turn``, its parent and its ancestor."""
     known = told.where("conv_id is not null and turn is not null")
     names = (F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"))
     quoted = known.select(*names, F.explode("quotes").alias("q")).select("conv", "turn", "q.hash", "q.chars", "q.level")
-    quoted = written(quoted.where("level = 1").distinct(), "quoted")
+    quoted = written(quoted.distinct(), "quoted")
     asked = quoted.select("hash").distinct()
-    forms = known.select(*names, F.explode("forms").alias("f")).select("conv", "turn", "f.hash")
+    forms = known.select(*names, F.explode("forms").alias("f")).select("conv", "turn", "f.hash", "f.chars")
     forms = forms.join(asked, "hash", "left_semi")
-    near = written(forms.groupBy("hash", "conv").agg(F.min("turn").alias("first")), "quoted-forms")
-    far = written(near.groupBy("hash").agg(F.min(F.struct("conv", "first")).alias("one")), "quoted-firsts")
+    near = forms.groupBy("hash", "conv").agg(F.min("turn").alias("first"), F.max("chars").alias("size"))
+    near = written(near, "quoted-forms")
+    common = F.col("size") < linking.min_chars
+    far = near.where(~common).groupBy("hash").agg(F.min(F.struct("conv", "first")).alias("one"))
+    far = written(far, "quoted-firsts")
+    near = near.drop("size")
     same = quoted.join(near, ["hash", "conv"], "left").where("first is null or first < turn")
     missed = quoted.join(near, ["hash", "conv"], "left").where("first >= turn").drop("first")
     inside = same.where("first is not null").withColumn("to", F.col("conv"))
-    outside = same.where("first is null").drop("first").unionByName(missed).join(far, "hash")
+    outside = same.where("first is null").drop("first").unionByName(missed).where(F.col("chars") >= linking.min_chars).join(far, "hash")
     outside = outside.select("hash", "conv", "turn", "chars", "level", F.col("one.first").alias("first"), F.col("one.conv").alias("to"))
     # Another conversation's message must be smaller, so that parents never form a ring.
     outside = outside.where("to < conv")
-    weighed = inside.unionByName(outside).groupBy("conv", "turn", "to", "first").agg(F.sum("chars").alias("chars"))
-    best = F.max(F.struct("chars", (F.col("to") == F.col("conv")).alias("own"), "to", "first")).alias("best")
-    return weighed.groupBy("conv", "turn").agg(best).select(
-        "conv", "turn", F.col("best.to").alias("parent_conv"), F.col("best.first").alias("parent_turn")
-    )
+    weighed = inside.unionByName(outside).groupBy("conv", "turn", "level", "to", "first").agg(F.sum("chars").alias("chars"))
+    order = F.struct((-F.col("level")).alias("near"), "chars", (F.col("to") == F.col("conv")).alias("own"), "to", "first")
+    best = weighed.groupBy("conv", "turn").agg(F.max(order).alias("best"))
+    direct = F.col("best.near") == -1
+    return best.select(
+        "conv", "turn", F.when(direct, F.col("best.to")).alias("parent_conv"), F.when(direct, F.col("best.first")).alias("parent_turn"),
+        F.col("best.to").alias("ancestor_conv"), F.col("best.first").alias("ancestor_turn"),
+    )
 
 
 def rooted(links: DataFrame) -> DataFrame:
-    """``links`` with ``root_conv, root_turn, depth``, by pointer doubling."""
+    """``links`` with roots and depths in the trees of parents and of ancestors, by pointer doubling."""
     links = written(links, "parents")
-    chain = written(
-        links.select("conv", "turn", F.col("parent_conv").alias("up_conv"), F.col("parent_turn").alias("up_turn"), F.lit(1).cast("long").alias("steps")),
-        "chain",
-    )
+    steps = F.lit(1).cast("long").alias("steps")
+    ups = [
+        links.where(f"{kind}_conv is not null").select(
+            F.lit(kind).alias("kind"), "conv", "turn", F.col(f"{kind}_conv").alias("up_conv"), F.col(f"{kind}_turn").alias("up_turn"), steps
+        )
+        for kind in ("parent", "ancestor")
+    ]
+    chain = written(ups[0].unionByName(ups[1]), "chain")
     while True:
         up = chain.select(
-            F.col("conv").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("next_conv"),
+            "kind", F.col("conv").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("next_conv"),
             F.col("up_turn").alias("next_turn"), F.col("steps").alias("more"),
         )
-        joined = chain.join(up, ["up_conv", "up_turn"], "left")
+        joined = chain.join(up, ["kind", "up_conv", "up_turn"], "left")
         moved = written(
             joined.select(
-                "conv", "turn", F.coalesce("next_conv", "up_conv").alias("up_conv"), F.coalesce("next_turn", "up_turn").alias("up_turn"),
+                "kind", "conv", "turn", F.coalesce("next_conv", "up_conv").alias("up_conv"), F.coalesce("next_turn", "up_turn").alias("up_turn"),
                 (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("more").isNotNull().alias("moved"),
             ),
             "chain",
@@ -166,15 +184,20 @@ def rooted(links: DataFrame) -> DataFrame:
         chain = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
-    roots = chain.select("conv", "turn", F.col("up_conv").alias("root_conv"), F.col("up_turn").alias("root_turn"), F.col("steps").alias("depth"))
-    return links.join(roots, ["conv", "turn"])
+
+    def ends(kind: str, conv: str, turn: str, depth: str) -> DataFrame:
+        rows = chain.where(F.col("kind") == kind)
+        return rows.select("conv", "turn", F.col("up_conv").alias(conv), F.col("up_turn").alias(turn), F.col("steps").alias(depth))
+
+    found = links.join(ends("parent", "root_conv", "root_turn", "depth"), ["conv", "turn"], "left")
+    return found.join(ends("ancestor", "thread_conv", "thread_turn", "thread_depth"), ["conv", "turn"], "left")
 
 
 def linked(messages: DataFrame, linking: Linking = Linking()) -> DataFrame:
     """``messages`` with their own text, parent, root, depth and reply order."""
     prepared(messages.sparkSession)
-    told = written(read(messages, linking), "messages")
-    found = written(rooted(parents(told)), "threads")
+    told = written(read(messages), "messages")
+    found = written(rooted(parents(told, linking)), "threads")
     at = (told["conv_id"].cast("long") == found["conv"]) & (told["turn"].cast("long") == found["turn"])
     kept = [told[f"`{c}`"] for c in told.columns if c not in ("forms", "quotes", "own_text")]
     joined = told.join(found, at, "left")
@@ -184,9 +207,12 @@ def linked(messages: DataFrame, linking: Linking = Linking()) -> DataFrame:
         *kept, told["own_text"], found["parent_conv"], found["parent_turn"],
         F.coalesce(found["root_conv"], here[0]).alias("root_conv"), F.coalesce(found["root_turn"], here[1]).alias("root_turn"),
         depth.alias("depth"), F.struct(depth.alias("depth"), here[0].alias("conv"), here[1].alias("turn")).alias("reply_order"),
+        found["ancestor_conv"], found["ancestor_turn"],
+        F.coalesce(found["thread_conv"], here[0]).alias("thread_conv"), F.coalesce(found["thread_turn"], here[1]).alias("thread_turn"),
+        F.coalesce(found["thread_depth"], F.lit(0)).alias("thread_depth"),
     )
 
 
 def query(messages: DataFrame) -> DataFrame:
     told = linked(messages)
-    return told.select("conv_id", "turn", "role", "own_text", "parent_conv", "parent_turn", "root_conv", "root_turn", "depth")
+    return told.select("conv_id", "turn", "role", *[c for c in RESULT if c != "reply_order"])
