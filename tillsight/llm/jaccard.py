@@ -1,16 +1,16 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash banding, then exact verification.
 
 A text's words are its runs of letters, digits and underscores in lower case; its
 set holds the 64-bit hashes of all runs of ``words`` words (of all its words, if
 fewer). Texts with equal sets are one class, a node named by a 64-bit hash of the
 set; copies are never expanded into pairs.
 
-The forest has ``trees`` prefix tries. A node's label in a trie is a sequence of up to
-``longest`` MinHash values; nodes whose labels share a prefix, which sorting would put
-side by side, meet here by a shuffle on that prefix. Two sets of similarity s share a prefix of length d in some trie with
-probability 1 - (1 - s^d)^trees, so matching starts with whole labels and the prefix
-is shortened until that recall, at the threshold, reaches the target. The nodes
-under one prefix are tied to the smallest of them, which is linear in the nodes; the
+Banding of fixed depth replaces an LSH forest: there are ``trees`` bands, and a node's
+label in a band is a prefix of ``depth()`` MinHash values. Nodes of equal prefixes meet
+by a shuffle on them. Two sets of similarity s share a prefix of length d in some band
+with probability 1 - (1 - s^d)^trees; the depth is the longest, ``longest`` at most, at
+which that recall, at the threshold, reaches the target. It is known before data is
+read: labels are neither sorted nor shortened by the data. The nodes under one prefix are tied to the smallest of them, which is linear in the nodes; the
 connected components of these ties hold every candidate pair.
 
 Within a component every pair is verified on the exact sets, in blocks: a component
