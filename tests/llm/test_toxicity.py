@@ -81,6 +81,14 @@ def test_same_batch_or_alone():
     assert np.allclose(together, alone, atol=1e-5)
 
 
+def test_middles_of_words_count():
+    rows = [(t, y) for _, t, y in texts(800, 1)]
+    scores = tx.Scorer(tx.trained(rows))(["calm words", *(f"calm words abcd_vilest{end}_efgh words" for end in ("er", "ing", "ando"))])
+    assert scores[0] < 0.5 and (scores[1:] > 0.5).all()
+    plain, other = (tx.features([word], 16).chars.tolist() for word in ("abcdefgh" * 3, "abcdefgh" + "stuvwxyz" + "abcdefgh"))
+    assert set(plain) != set(other) and len(plain) == 24 + 23 + 22
+
+
 def test_given_documents(spark, folder):
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     got = tx.query(docs, labels).join(labels, "doc_id").collect()

@@ -2,8 +2,8 @@
 
 A text is a sequence of words (lower-case runs of letters, digits, underscores). A
 word has two inputs: an embedding of the word itself and one of its characters, the
-sum over its first three, four and five and its last three and four characters with
-the word's ends; both look up hashed tables. Windows of ``window`` words, each
+sum over all runs of three, four and five characters of the whole word, its ends
+marked, as the mean of the three lengths; both look up hashed tables. Windows of ``window`` words, each
 overlapping the next by half, cover the whole text; the last one ends with it. A
 forward and a backward network read a window, attention pools their states, and the
 text's score is a calibrated logistic of its highest window.
@@ -39,6 +39,9 @@ from .common import prepared, slices
 WORDS = re.compile(r"\w+")
 SLICE = 2 << 20
 KNOWN = 250_000
+GRAMS = (3, 4, 5)
+#: Characters of words that are looked up at once.
+PIECE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -59,12 +62,62 @@ class Settings:
         return self.window // 2
 
 
-def features(word: str, bits: int) -> tuple[int, ...]:
-    """The word's own bucket and those of its characters; the tables lie one after the other."""
+@dataclass(frozen=True)
+class Inputs:
+    """Buckets of words: their own, and those of their character runs, one word after the other."""
+
+    own: np.ndarray
+    chars: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def dense(found: np.ndarray) -> Inputs:
+        """From one row per word: its own bucket, then those of its characters."""
+        return Inputs(found[:, 0], found[:, 1:].ravel(), np.full(len(found), found.shape[1] - 1))
+
+    def picked(self, at: np.ndarray) -> Inputs:
+        counts = self.counts[at]
+        begins = (np.cumsum(self.counts) - self.counts)[at]
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return Inputs(self.own[at], self.chars[np.repeat(begins, counts) + within], counts)
+
+    def words(self) -> np.ndarray:
+        """The word of every character run."""
+        return np.repeat(np.arange(len(self.own)), self.counts)
+
+
+def features(words: list[str], bits: int) -> Inputs:
+    """The words' own buckets and those of their characters; the tables lie one after the other."""
     mask, size = (1 << bits) - 1, 1 << bits
-    ends = (word[:3], word[:4], word[:5] + "<", "-3" + word[-3:], "-4" + word[-4:])
     hashed = xxhash.xxh3_64_intdigest
-    return (hashed(word) & mask, *(size + (hashed(end) & mask) for end in ends))
+    own = np.array([hashed(word.encode("utf-8", "surrogatepass")) & mask for word in words], dtype=np.int32)
+    codes = np.frombuffer("".join(f"<{word}>" for word in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), [len(word) + 2 for word in words])
+    chars, owner = [], []
+    for length in GRAMS:
+        last = max(len(codes) - length + 1, 0)
+        inside = np.flatnonzero(word[:last] == word[length - 1 :][:last])
+        run = np.full(len(inside), length, dtype=np.uint64)
+        for at in range(length):
+            run = (run ^ codes[inside + at]) * np.uint64(0x9E3779B97F4A7C15)
+            run ^= run >> np.uint64(29)
+        chars.append((size + (run & np.uint64(mask))).astype(np.int32))
+        owner.append(word[inside])
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return Inputs(own, np.concatenate(chars)[order], np.bincount(owner, minlength=len(words)))
+
+
+def pieces(words: list[str]) -> Iterator[list[str]]:
+    """The words in lists of about ``PIECE`` characters."""
+    start, held = 0, 0
+    for at, word in enumerate(words):
+        if at > start and held + len(word) > PIECE:
+            yield words[start:at]
+            start, held = at, 0
+        held += len(word)
+    if words:
+        yield words[start:]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -97,12 +150,14 @@ class Network:
         }
         self.line = (1.0, 0.0)  # calibration of a text's highest window
 
-    def vectors(self, found: np.ndarray) -> np.ndarray:
+    def vectors(self, found: Inputs | np.ndarray) -> np.ndarray:
         """Inputs of words, from their buckets."""
-        table = self.p["table"]
-        return np.concatenate((table[found[:, 0]], table[found[:, 1:]].sum(axis=1)), axis=1)
+        found = found if isinstance(found, Inputs) else Inputs.dense(found)
+        table, words = self.p["table"], found.words()
+        sums = [np.bincount(words, weights=table[found.chars, k], minlength=len(found.own)) for k in range(self.settings.width)]
+        return np.concatenate((table[found.own], (np.stack(sums, axis=1) / len(GRAMS)).astype(table.dtype)), axis=1)
 
-    def projected(self, found: np.ndarray) -> np.ndarray:
+    def projected(self, found: Inputs | np.ndarray) -> np.ndarray:
         """What words give to the gates of both directions."""
         x = self.vectors(found)
         return np.concatenate([x @ self.p["w"][k] + self.p["b"][k] for k in (0, 1)], axis=1)
@@ -144,12 +199,16 @@ class Network:
     def logits(self, gates: np.ndarray, mask: np.ndarray) -> np.ndarray:
         return self.pool(self.read(gates, mask)[0], mask)[3]
 
-    def gradients(self, found: np.ndarray, mask: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        """found: (steps, windows, features). The mean logistic loss's gradients."""
+    def gradients(self, found: np.ndarray, mask: np.ndarray, label: np.ndarray, known: Inputs | None = None) -> dict[str, np.ndarray]:
+        """found: (steps, windows, features), or words of ``known``, (steps, windows). The mean logistic loss's gradients."""
         p, h = self.p, self.settings.state
-        steps, windows, _ = found.shape
-        flat = found.reshape(steps * windows, -1)
-        x = self.vectors(flat)
+        steps, windows = found.shape[:2]
+        if known is None:
+            there, place = Inputs.dense(found.reshape(steps * windows, -1)), np.arange(steps * windows)
+        else:
+            met, place = np.unique(found, return_inverse=True)
+            there, place = known.picked(met), place.ravel()
+        x = self.vectors(there)[place]
         gates = np.concatenate([x @ p["w"][k] + p["b"][k] for k in (0, 1)], axis=1).reshape(steps, windows, -1)
         states, memory = self.read(gates, mask, keep=True)
         hidden, weight, pooled, logit = self.pool(states, mask)
@@ -187,12 +246,11 @@ class Network:
         g["b"] = d_gates.sum(axis=0)[:, None, :]
         d_vectors = sum(d_gates[:, k] @ p["w"][k].T for k in (0, 1))
         width = self.settings.width
-        buckets, place = np.unique(flat, return_inverse=True)
+        d_words = np.zeros((len(there.own), 2 * width), d_vectors.dtype)
+        np.add.at(d_words, place, d_vectors)
+        buckets, place = np.unique(np.concatenate((there.own, there.chars)), return_inverse=True)
         d_table = np.zeros((len(buckets), width), np.float32)
-        place = place.reshape(flat.shape)
-        np.add.at(d_table, place[:, 0], d_vectors[:, :width])
-        for k in range(1, flat.shape[1]):
-            np.add.at(d_table, place[:, k], d_vectors[:, width:])
+        np.add.at(d_table, place, np.concatenate((d_words[:, :width], d_words[there.words(), width:] / len(GRAMS))))
         g["table"] = (buckets, d_table)
         return g
 
@@ -215,12 +273,13 @@ class Adam:
             self.p[name][at] -= self.rate * fix * m / (np.sqrt(s) + 1e-7)
 
 
-def _odds(network: Network, docs: list[np.ndarray], labels: np.ndarray) -> None:
+def _odds(network: Network, known: Inputs, docs: list[np.ndarray], labels: np.ndarray) -> None:
     """Set the first input of both tables to the smoothed log-odds of the features."""
     size = len(network.p["table"])
     counts = np.zeros((2, size))
     for found, label in zip(docs, labels):
-        counts[int(label), np.unique(found)] += 1
+        there = known.picked(np.unique(found))
+        counts[int(label), np.unique(np.concatenate((there.own, there.chars)))] += 1
     total = np.maximum(np.bincount(labels.astype(int), minlength=2), 1)[:, None]
     share = (counts + 2 * total / total.sum()) / total
     odds = np.log(share[1] / share[0])
@@ -236,26 +295,24 @@ def trained(rows: list[tuple[str | None, int]], settings: Settings = Settings())
     rows = [*rows, ("", 0)]  # a text without words is not toxic; every batch says so
     labels = np.append(labels, np.float32(0))
     network = Network(settings)
-    known: dict[str, tuple[int, ...]] = {}
-
-    def buckets(text: str | None) -> np.ndarray:
-        out = [known.get(w) or known.setdefault(w, features(w, settings.bits)) for w in words_of(text)]
-        return np.array(out, dtype=np.int32).reshape(len(out), 6)
-
-    docs = [buckets(text) for text, _ in rows]
-    _odds(network, docs, labels)
+    numbers: dict[str, int] = {"": 0}  # the word of padding, which masks hide
+    docs = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(text)], dtype=np.int32) for text, _ in rows]
+    parts = [features(piece, settings.bits) for piece in pieces(list(numbers))]
+    known = Inputs(*(np.concatenate([getattr(part, name) for part in parts]) for name in ("own", "chars", "counts")))
+    _odds(network, known, docs, labels)
     spans = [(d, s) for d, found in enumerate(docs) for s in starts(len(found), settings)]
     owner = np.array([d for d, _ in spans])
     size = settings.window
     odds = network.p["table"][:, 0]
     # First ranking of windows: the strongest word.
-    strength = [odds[found[:, 0]] + odds[found[:, 1:]].sum(axis=1) if len(found) else np.zeros(1) for found in docs]
+    words = odds[known.own] + np.bincount(known.words(), weights=odds[known.chars], minlength=len(known.own)) / len(GRAMS)
+    strength = [words[found] if len(found) else np.zeros(1) for found in docs]
     ranking = np.array([strength[d][s : s + size].max() for d, s in spans])
     dice = np.random.default_rng(settings.seed)
     adam = Adam(network.p, settings.rate)
 
     def padded(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = np.zeros((size, len(chosen), 6), np.int32)
+        found = np.zeros((size, len(chosen)), np.int32)
         mask = np.zeros((size, len(chosen)), bool)
         for n, span in enumerate(chosen):
             part = docs[spans[span][0]][spans[span][1] :][:size]
@@ -264,10 +321,10 @@ def trained(rows: list[tuple[str | None, int]], settings: Settings = Settings())
 
     def scored() -> np.ndarray:
         out = []
+        gates = np.concatenate([network.projected(known.picked(part)) for part in np.array_split(np.arange(len(numbers)), 1 + len(numbers) // 20_000)])
         for at in range(0, len(spans), 2048):
             found, mask = padded(np.arange(at, min(at + 2048, len(spans))))
-            gates = network.projected(found.reshape(-1, 6)).reshape(size, found.shape[1], -1)
-            out.append(network.logits(gates, mask))
+            out.append(network.logits(gates[found], mask))
         return np.concatenate(out)
 
     for _ in range(2):
@@ -285,7 +342,7 @@ def trained(rows: list[tuple[str | None, int]], settings: Settings = Settings())
             chosen = np.concatenate([dice.choice(group, part) for group, part in zip(groups, parts)])
             chosen[-2:] = len(spans) - 1
             found, mask = padded(chosen)
-            adam.step(network.gradients(found, mask, labels[owner[chosen]]))
+            adam.step(network.gradients(found, mask, labels[owner[chosen]], known))
         ranking = scored()
     highest = np.full(len(docs), -np.inf)
     np.maximum.at(highest, owner, ranking)
@@ -330,9 +387,9 @@ class Scorer:
                 grown[:held] = self.gates[:held]
                 self.gates = grown
             bits = self.network.settings.bits
-            for at in range(0, len(new), 20_000):
-                found = np.array([features(w, bits) for w in new[at : at + 20_000]], dtype=np.int32)
-                self.gates[held + at : held + at + len(found)] = self.network.projected(found)
+            for piece in pieces(new):
+                self.gates[held : held + len(piece)] = self.network.projected(features(piece, bits))
+                held += len(piece)
         get = self.rows.__getitem__
         return [np.fromiter(map(get, own), dtype=np.int32, count=len(own)) for own in words]
 
