@@ -63,6 +63,20 @@ def free_name(columns: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+#: Fixed value: what stands between words, which are runs of digits, a-z and characters beyond ASCII.
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def ascii_lower_words(text: Column) -> Column:
+    """The words of a whole text after A-Z are lower-cased; none for a missing one.
+
+    Splitting is linear in the text, unlike ``regexp_extract_all``, which copies it for every match.
+    """
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
+    return F.array_remove(F.split(plain, BETWEEN_WORDS), "")
+
+
 def id_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))
 
