@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, htmltext, jaccard, merkle, mixing, quotes, substrings, toxicity, warc
+from . import ann, bpe, htmltext, jaccard, licenses, merkle, mixing, prefixes, quotes, resampling, substrings, toxicity, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -54,6 +54,18 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.query(table(spark, folder, "documents"))
 
 
+def op11_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.query(table(spark, folder, "conversations"))
+
+
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.query(table(spark, folder, "documents"))
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.query(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_jaccard": op2_jaccard,
@@ -65,10 +77,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quotes": op8_quotes,
     "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
+    "op11_prefixes": op11_prefixes,
+    "op12_licenses": op12_licenses,
+    "op13_resampling": op13_resampling,
 }
 ORACLES: dict[str, str] = {
     "op1_substrings": substrings.ORACLE,
     "op3_warc": warc.ORACLE,
     "op4_merkle": merkle.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_prefixes": prefixes.ORACLE,
+    "op12_licenses": licenses.ORACLE,
+    "op13_resampling": resampling.ORACLE,
 }
