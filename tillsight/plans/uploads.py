@@ -12,7 +12,7 @@ from ..functions.times import instant
 from ..operators import contacts, messages
 from ..operators.keep import known_keys
 from ..schemas import IMPORT_LOG, KNOWN_CONTACTS, MESSAGES
-from ..sources import csvfiles, snapshots
+from ..sources import chunked, csvfiles, snapshots
 from ..streaming import tables
 
 RETENTION = "cutoff timestamp"
@@ -121,8 +121,8 @@ def ingest_contacts(
 ) -> None:
     """Assemble the chunks of a contact upload, register new ids, publish the snapshot.
 
-    ``path`` holds the chunk files as ``<upload_id>/<chunk_index>.csv``. A chunk
-    that is missing stops the job before anything is written.
+    ``path`` holds the chunk files as ``<upload_id>/<chunk_index>.csv``; a quoted value may
+    go on in the next chunk. A chunk that is missing stops the job before anything is written.
     """
     batch = run_batch(run_id)
     tables.create(spark, f"{root}/known_contacts", KNOWN_CONTACTS)
@@ -138,10 +138,11 @@ def ingest_contacts(
         got = 0 if state is None else state["chunks_received"]
         raise ValueError(f"missing chunks: got {got} of {total_chunks}")
 
-    rows = tables.landed(csvfiles.read_contact_chunks(spark, f"{path}/{upload_id}"), f"{root}/rows", batch)
+    pieces = chunked.piece_files(spark, f"{path}/{upload_id}")
+    rows = tables.landed(chunked.read_contact_pieces(pieces), f"{root}/rows", batch)
     known = tables.others(spark, f"{root}/known_contacts", KNOWN_CONTACTS, batch)
     tables.write(contacts.new_contacts(rows, known, as_of), f"{root}/known_contacts", batch)
-    snapshots.publish(rows.drop("file", "row_no"), f"{root}/snapshots", "contacts", as_of)
+    snapshots.publish(rows, f"{root}/snapshots", "contacts", as_of)
     counts = contacts.new_contact_counts(rows, known).withColumn("rows_inserted", F.col("rows_total"))
     details = F.to_json(F.struct(F.col("new_contacts").alias("newContacts")))
     row = _log_row(
@@ -161,7 +162,7 @@ def ingest_contacts(
 def contact_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The latest contact rows; ``row_no`` follows the reading order of the upload."""
     stored = snapshots.read_latest(spark, f"{root}/snapshots", "contacts")
-    return stored.withColumn("row_no", F.struct("chunk_index", "line_no"))
+    return stored.withColumn("row_no", F.struct("chunk_place", "line_no"))
 
 
 def import_log(spark: SparkSession, root: str) -> DataFrame:

@@ -20,7 +20,7 @@ from .operators import activity, contacts, customers, enrich, merge, messages, p
 from .params import customer_list_size, message_page_size, window_days
 from .plans import sales as sales_plan
 from .session import configure, scratch_path
-from .sources import csvfiles, pos, snapshots, star
+from .sources import chunked, csvfiles, pos, snapshots, star
 from .streaming import activity as activity_stream
 from .streaming import messages as message_stream
 from .streaming import sales as sales_stream
@@ -418,6 +418,14 @@ def contacts_scan(spark: SparkSession, folder: str) -> DataFrame:
     return csvfiles.read_contacts(spark, path).drop("file", "row_no")
 
 
+@query
+def assembled_contacts(spark: SparkSession, folder: str) -> DataFrame:
+    """Uploads of 400 contacts, cut after every fifth line of text, also inside quoted values."""
+    pieces = star.contact_pieces(spark, folder)
+    complete = contacts.assemble_rows(contacts.staged_chunks(pieces).drop("total_chunks", "received_at"), pieces)
+    return chunked.read_contact_pieces(complete).drop("chunk_place", "line_no")
+
+
 @query
 def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.latest_rows(star.contact_uploads(spark, folder), "contacts")

@@ -141,21 +141,6 @@ def read_messages(spark: SparkSession, path: str, quoted_line_breaks: bool = Tru
     return rows.withColumn("arrival", F.struct("file", "row_no")).drop("file", "row_no")
 
 
-def read_contact_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Contact rows of chunk files laid out as ``<upload_id>/<chunk_index>.csv``.
-
-    Each chunk repeats the header and Spark drops it per file. ``line_no`` is
-    the position inside a chunk.
-    """
-    return read_contacts(spark, path).withColumns(
-        {
-            "upload_id": F.regexp_extract("file", r"([^/]+)/[0-9]+\.csv$", 1),
-            "chunk_index": F.regexp_extract("file", r"([0-9]+)\.csv$", 1).cast("int"),
-            "line_no": F.col("row_no"),
-        }
-    )
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """Write rows with a header; a value is quoted only when it has to be."""
     (

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import (
@@ -147,6 +147,36 @@ def contacts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def contact_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """CSV uploads of 400 contacts each in pieces of five lines of text, some sent twice.
+
+    Names hold quotes, commas and line ends, so pieces end inside quoted values. Every
+    ninth upload lacks its last piece.
+    """
+    row = F.concat_ws(
+        ",", "contact_id", F.concat(F.lit('"say ""'), "first_name", F.lit('"", then\r\nmore\n""\n"')), "phone",
+        "lifecycle", "assignee", F.concat(F.lit('"'), "ciudad", F.lit('"')),
+    )
+    lines = contacts(spark, folder).select(
+        F.floor(F.col("row_no") / 400).alias("upload"), "row_no", F.posexplode(F.split(row, "\n", -1)).alias("part", "line")
+    )
+    own = Window.partitionBy("upload").orderBy("row_no", "part")
+    cut = lines.withColumn("chunk_index", F.floor((F.row_number().over(own) - 1) / 5).cast("int"))
+    texts = cut.groupBy("upload", "chunk_index").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "part", "line"))), lambda p: p["line"]), "\n").alias("body")
+    )
+    header = F.lit("Contact ID, firstname ,PhoneNumber,Lifecycle,Assigned Agent,City\n")
+    total = F.max("chunk_index").over(Window.partitionBy("upload")) + 1
+    sent = texts.select(
+        F.concat(F.lit("u"), F.col("upload").cast("string")).alias("upload_id"), "chunk_index", total.cast("int").alias("total_chunks"),
+        F.concat(header, "body").alias("csv_text"),
+    )
+    sent = sent.where((F.substring("upload_id", 2, 20).cast("bigint") % 9 != 8) | (F.col("chunk_index") < F.col("total_chunks") - 1))
+    at = F.lit(str(CHAT_AS_OF)).cast("timestamp")
+    early = sent.where("chunk_index % 7 = 3").withColumns({"csv_text": F.lit("an earlier try"), "received_at": at - F.expr("INTERVAL 1 DAY")})
+    return sent.withColumn("received_at", at).unionByName(early)
+
+
 def contact_uploads(spark: SparkSession, folder: str) -> DataFrame:
     """Contact rows of three snapshots, uploaded on three days."""
     part = (F.col("row_no") % 3).cast("int")
