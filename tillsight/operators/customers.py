@@ -106,6 +106,11 @@ def _base_columns() -> list[Column]:
         max(last_day) AS last_purchase_date""")
 
 
+def summary_columns() -> list[Column]:
+    """What a summary takes from facts, before the columns that depend on a date."""
+    return [*_base_columns(), *_favorite_columns()]
+
+
 def with_derived(base: DataFrame, as_of: dt.date, limits: Thresholds) -> DataFrame:
     days = rules.days_since(as_of, F.col("last_purchase_date"))
     return base.withColumns(
@@ -176,5 +181,4 @@ def folded(facts: DataFrame) -> DataFrame:
 
 def customers_from_facts(facts: DataFrame, as_of: dt.date, limits: Thresholds) -> DataFrame:
     """The summary of all phones that have facts."""
-    columns = [*_base_columns(), *_favorite_columns()]
-    return with_derived(folded(facts).groupBy("phone").agg(*columns), as_of, limits)
+    return with_derived(folded(facts).groupBy("phone").agg(*summary_columns()), as_of, limits)

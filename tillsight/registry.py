@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from .functions import times
 from .operators import activity, contacts, customers, enrich, merge, messages, profiles, purchases, styles, uploads
 from .params import customer_list_size, message_page_size, window_days
+from .plans import ledger as ledger_plan
 from .plans import sales as sales_plan
 from .session import configure, scratch_path
 from .sources import chunked, csvfiles, pos, snapshots, star
@@ -597,3 +598,23 @@ def sync_states_after_runs(spark: SparkSession, folder: str) -> DataFrame:
 def sync_rejects_after_runs(spark: SparkSession, folder: str) -> DataFrame:
     feed = _sales_runs(spark, folder)
     return sales_stream.tables.read(spark, feed.path("rejects"), sales_stream.REJECTS).drop("batch")
+
+
+def _ledger(spark: SparkSession, folder: str) -> ledger_plan.Ledger:
+    """Two scans of the source, between which tickets were added, edited and removed."""
+    ledger = ledger_plan.Ledger(scratch_path(spark, "ledger"), star.LOOKUPS, star.LIMITS, star.SALES_AS_OF)
+    ledger_plan.sync(star.first_scan(spark, folder), ledger, 1)
+    ledger_plan.sync(star.second_scan(spark, folder), ledger, 2)
+    return ledger
+
+
+@query
+def ticket_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """What the second scan found."""
+    return ledger_plan.ticket_log(spark, _ledger(spark, folder)).filter("run_id = 2")
+
+
+@query
+def ledger_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """The customers after edits, equal to a roll-up of the second scan alone."""
+    return ledger_plan.current_customers(spark, _ledger(spark, folder))
