@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tillsight import registry
 from tillsight.operators import activity as batch_activity
 from tillsight.operators import customers, keep
+from tillsight.operators import messages as batch_messages
 from tillsight.schemas import MESSAGES, POS_LINES
 from tillsight.sources import star
 from tillsight.streaming import activity, sales, tables
@@ -135,6 +136,40 @@ def test_touched_customers_equal_full_recompute(spark, folder, tmp_path):
     assert rejects.count() == registry.purchase_rejects(spark, folder).distinct().count()
 
 
+def test_a_batch_that_died_with_its_checkpoint(spark, folder, tmp_path):
+    """Half of the tickets were stored by a batch that wrote nothing else; a new stream reads all lines."""
+    lines = star.pos_lines(spark, folder)
+    root = str(tmp_path)
+    feed = sales.SalesFeed(f"{root}/sales", star.LOOKUPS, star.LIMITS, star.SALES_AS_OF)
+    sales.create(spark, feed)
+    half = sales.purchases.scan_pos(lines.filter("CAST(ticket_id AS BIGINT) % 2 = 0"), star.LOOKUPS.store_rules)
+    clean = tables.landed(sales.purchases.clean_lines(half, star.LOOKUPS, star.LIMITS), feed.path("lines"), "lost.1")
+    tables.write(sales.purchases.dedup_purchases(sales.purchases.accepted(clean)), feed.path("purchases"), "lost.1")
+
+    land(lines, f"{root}/landing")
+    source = spark.readStream.schema(lines.schema).parquet(f"{root}/landing")
+    sales.start_ingest(source, feed, f"{root}/checkpoint").awaitTermination()
+    full = customers.customer_360(sales.stored_purchases(spark, feed), star.SALES_AS_OF, star.LIMITS)
+    now = sales.current_customers(spark, feed).select(*full.columns)
+    assert now.exceptAll(full).count() == 0 and full.exceptAll(now).count() == 0
+    synced = sales.sync_state(spark, feed).agg(F.sum("rows_synced")).first()[0]
+    assert synced == sales.stored_purchases(spark, feed).count() == registry.purchases_dedup(spark, folder).count()
+    assert tables.unfinished(spark, feed.path("purchases"), sales.PURCHASES) == []
+
+
+def test_messages_that_were_stored_but_not_counted(spark, folder, tmp_path):
+    feed = star.raw_messages(spark, folder)
+    root = str(tmp_path)
+    tables.create(spark, f"{root}/messages", MESSAGES)
+    arrived = tables.landed(batch_messages.normalize_messages(feed.filter("arrival < 500")), f"{root}/arrived", "lost.1")
+    tables.write(batch_messages.new_messages(arrived, arrived.limit(0)), f"{root}/messages", "lost.1")
+    land(feed, f"{root}/landing")
+    source = spark.readStream.schema(feed.schema).parquet(f"{root}/landing")
+    message_stream.start_ingest(source, root, f"{root}/checkpoint").awaitTermination()
+    inserted = message_stream.stored_counters(spark, root).agg(F.sum("rows_inserted")).first()[0]
+    assert inserted == message_stream.stored_messages(spark, root).count() == registry._messages(spark, folder).count()
+
+
 def test_late_beacons_count_and_replays_do_not(spark, tmp_path):
     root = str(tmp_path)
     schema = "agent string, event string, detail string, ts timestamp"

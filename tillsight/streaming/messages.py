@@ -27,14 +27,26 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuer
     tables.create(spark, f"{root}/messages", MESSAGES)
     tables.create(spark, f"{root}/counters", COUNTERS)
 
-    def append(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        name = tables.batch_name(tables.run_name(session, checkpoint), batch_id)
-        arrived = tables.landed(ops.normalize_messages(batch), f"{root}/arrived", name)
+    told: set[str] = set()
+
+    def count(session: SparkSession, arrived: DataFrame, name: str, new: bool) -> None:
         history = tables.others(session, f"{root}/messages", MESSAGES, name)
         stored = known_keys(history, arrived, ["message_id"])
-        tables.write(ops.new_messages(arrived, stored), f"{root}/messages", name)
+        if new:
+            tables.write(ops.new_messages(arrived, stored), f"{root}/messages", name)
         tables.write(ops.upload_counters(arrived, stored), f"{root}/counters", name)
+        tables.finished(session, f"{root}/messages", name)
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        name = tables.batch_name(tables.run_name(session, checkpoint), batch_id)
+        if not told:
+            # Once per start: an earlier stream may have stored messages and died before it counted them.
+            told.add(name)
+            for lost in tables.unfinished(session, f"{root}/messages", MESSAGES):
+                if lost != name:
+                    count(session, session.read.parquet(f"{root}/arrived/batch={lost}"), lost, new=False)
+        count(session, tables.landed(ops.normalize_messages(batch), f"{root}/arrived", name), name, new=True)
 
     return (
         stream.writeStream.foreachBatch(append)

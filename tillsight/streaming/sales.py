@@ -76,6 +76,12 @@ def store_batch(scanned: DataFrame, feed: SalesFeed, batch: str) -> DataFrame:
     fit = purchases.accepted(lines)
     stored = known_keys(history, fit, purchases.PURCHASE_KEY)
     tables.write(purchases.new_purchases(fit, stored), feed.path("purchases"), batch)
+    return book_batch(lines, feed, batch)
+
+
+def book_batch(lines: DataFrame, feed: SalesFeed, batch: str) -> DataFrame:
+    """The rejects and the sync state of a batch whose lines and purchases are stored."""
+    spark = lines.sparkSession
     rejects = tables.others(spark, feed.path("rejects"), REJECTS, batch)
     tables.write(purchases.new_rejects(lines, rejects), feed.path("rejects"), batch)
     new = tables.of_batch(spark, feed.path("purchases"), PURCHASES, batch)
@@ -84,6 +90,14 @@ def store_batch(scanned: DataFrame, feed: SalesFeed, batch: str) -> DataFrame:
     return new
 
 
+def finish_lost(spark: SparkSession, feed: SalesFeed, but: str) -> None:
+    """Do what a batch left undone that stored its purchases and then died with its checkpoint."""
+    for batch in tables.unfinished(spark, feed.path("purchases"), PURCHASES):
+        if batch != but:
+            lines = spark.read.parquet(f"{feed.path('lines')}/batch={batch}")
+            refresh_touched(book_batch(lines, feed, batch), feed, batch)
+
+
 def refresh_touched(new: DataFrame, feed: SalesFeed, batch: str) -> None:
     """Add the facts of new purchases and write the summaries of their phones anew.
 
@@ -104,6 +118,7 @@ def refresh_touched(new: DataFrame, feed: SalesFeed, batch: str) -> None:
     number = tables.next_version(spark, feed.path("customers"))
     rows = summary.select(*column_names(SUMMARY), F.lit(number).cast("bigint").alias("seq"))
     tables.write_version(rows, feed.path("customers"), batch)
+    tables.finished(spark, feed.path("purchases"), batch)
 
 
 def create(spark: SparkSession, feed: SalesFeed) -> None:
@@ -116,9 +131,14 @@ def create(spark: SparkSession, feed: SalesFeed) -> None:
 def start_ingest(stream: DataFrame, feed: SalesFeed, checkpoint: str) -> StreamingQuery:
     """Append the new purchases of each batch, then refresh the customers it touched."""
     create(stream.sparkSession, feed)
+    told: set[str] = set()
 
     def process(batch: DataFrame, batch_id: int) -> None:
         name = tables.batch_name(tables.run_name(batch.sparkSession, checkpoint), batch_id)
+        if not told:
+            # Once per start: an earlier stream may have died half-way.
+            finish_lost(batch.sparkSession, feed, name)
+            told.add(name)
         new = store_batch(purchases.scan_pos(batch, feed.lookups.store_rules), feed, name)
         refresh_touched(new, feed, name)
 

@@ -62,6 +62,27 @@ def others(spark: SparkSession, root: str, schema: str, batch: str) -> DataFrame
     return read(spark, root, schema).filter(F.col("batch") != batch)
 
 
+DONE = "done string"
+
+
+def finished(spark: SparkSession, root: str, batch: str) -> None:
+    """Note that everything that follows from a batch's rows of this table is written too."""
+    spark.createDataFrame([(batch,)], DONE).coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}-done/batch={batch}")
+
+
+def unfinished(spark: SparkSession, root: str, schema: str) -> list[str]:
+    """Batches whose rows are stored but from which not everything that follows was written.
+
+    A stream that died between two writes and lost its checkpoint leaves such a batch: the
+    next one finds its rows known. There is at most one for every such death.
+    """
+    spark.createDataFrame([], DONE).write.mode("ignore").parquet(f"{root.rstrip('/')}-done/batch={BEFORE_FIRST}")
+    done = spark.read.schema(DONE).parquet(f"{root.rstrip('/')}-done").select(F.col("done").alias("batch"))
+    stored = read(spark, root, schema).select("batch").distinct()
+    rows = stored.filter(F.col("batch") != BEFORE_FIRST).join(done, "batch", "left_anti")
+    return sorted(row["batch"] for row in rows.collect())
+
+
 def _log(root: str) -> str:
     return f"{root.rstrip('/')}-versions"
 
