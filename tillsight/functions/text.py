@@ -64,28 +64,74 @@ def parse_number(text: Column) -> Column:
     return F.coalesce(prefix.try_cast("double"), F.lit(0.0))
 
 
+MARKS = "[\\x{0300}-\\x{036f}]"
+# The syllables of Hangul, which decompose by arithmetic (Unicode, section 3.12).
+HANGUL_FIRST, HANGUL_LAST = 0xAC00, 0xD7A3
+LEADING, VOWEL, TRAILING = 0x1100, 0x1161, 0x11A7
+PER_LEADING, PER_VOWEL = 588, 28
+
+
 @cache
-def _accent_table() -> tuple[str, str]:
-    """Characters that decompose to one base character plus accents, and the bases."""
-    accented, bases = [], []
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose to one base character plus accents, the bases, and the other ones with what they give.
+
+    Both are made from the character database; syllables of Hangul are left to arithmetic.
+    """
+    accented, bases, longer = [], [], {}
     for point in range(0xC0, sys.maxunicode + 1):
-        if 0xD800 <= point <= 0xDFFF:
+        if 0xD800 <= point <= 0xDFFF or HANGUL_FIRST <= point <= HANGUL_LAST:
             continue
         char = chr(point)
         decomposed = unicodedata.normalize("NFD", char)
         if decomposed == char:
             continue
-        base = [c for c in decomposed if not "\u0300" <= c <= "\u036f"]
-        if len(base) == 1 and len(decomposed) > 1:
+        base = "".join(c for c in decomposed if not "\u0300" <= c <= "\u036f")
+        if len(base) == 1:
             accented.append(char)
-            bases.append(base[0])
-    return "".join(accented), "".join(bases)
+            bases.append(base)
+        elif base:
+            longer[char] = base
+    return "".join(accented), "".join(bases), longer
+
+
+def _char(point: Column) -> Column:
+    """The character of a code point below 65,536."""
+    return F.decode(F.unhex(F.lpad(F.hex(point), 4, "0")), "UTF-16BE")
+
+
+def _syllable(char: Column) -> Column:
+    """The two or three letters of a syllable of Hangul."""
+    place = F.ascii(char) - HANGUL_FIRST
+    third = place % PER_VOWEL
+    return F.concat(
+        _char(F.floor(place / PER_LEADING) + LEADING),
+        _char(F.floor(place % PER_LEADING / PER_VOWEL) + VOWEL),
+        F.when(third > 0, _char(third + TRAILING)).otherwise(F.lit("")),
+    )
+
+
+def _spelled_out(plain: Column) -> Column:
+    """Characters that decompose into several letters, one by one."""
+    _, _, longer = _decompositions()
+    known = F.create_map(*[F.lit(part) for pair in longer.items() for part in pair])
+
+    def letters(char: Column) -> Column:
+        hangul = char.between(F.lit(chr(HANGUL_FIRST)), F.lit(chr(HANGUL_LAST)))
+        return F.when(hangul, _syllable(char)).otherwise(F.coalesce(F.try_element_at(known, char), char))
+
+    return F.array_join(F.transform(F.split(plain, ""), letters), "")
 
 
 def normalize_city(raw: Column) -> Column:
-    """Upper-case city without accents; NULL for NULL and for the empty string."""
-    accented, bases = _accent_table()
-    plain = F.regexp_replace(F.translate(raw, accented, bases), "[\\x{0300}-\\x{036f}]", "")
+    """Upper-case city, canonically decomposed, without accents; NULL for NULL and for the empty string.
+
+    Most names need a table of single characters only; the others (Hangul, letters that
+    decompose into several) are spelled out character by character.
+    """
+    accented, bases, longer = _decompositions()
+    plain = F.regexp_replace(F.translate(raw, accented, bases), MARKS, "")
+    several = f"[{chr(HANGUL_FIRST)}-{chr(HANGUL_LAST)}{''.join(longer)}]"
+    plain = F.when(F.rlike(raw, F.lit(several)), _spelled_out(plain)).otherwise(plain)
     return F.when(raw != "", strip(F.upper(plain)))
 
 

@@ -125,6 +125,29 @@ def flag_cities(
     ).drop("_city", "_found")
 
 
+def match_cities(rows: DataFrame, city: str, keys: DataFrame) -> DataFrame:
+    """``state`` and ``priority`` of each row's normalised city, from any number of keys.
+
+    ``keys`` has key, rank, state and priority. An exact name wins; otherwise the key of
+    the lowest rank that the name contains. Every different city is cut into its runs of
+    letters of the lengths that keys have, and a run meets the equal key: an equi-join
+    whose matches are all true ones, so there is no test of every key on every city.
+    """
+    listed = keys.where("key <> ''").groupBy("key").agg(F.min(F.struct("rank", "state", "priority")).alias("entry"))
+    # As many numbers as keys have lengths.
+    lengths = sorted(row["n"] for row in listed.select(F.length("key").alias("n")).distinct().collect())
+    names = rows.select(F.col(city).alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    cut = F.flatten(F.transform(
+        F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("_name")),
+        lambda n: F.transform(F.sequence(F.lit(1), F.length("_name") - n + 1), lambda at: F.substring("_name", at, n)),
+    ))
+    runs = names.select("_name", F.explode(F.array_distinct(cut)).alias("key"))
+    best = F.min(F.struct((F.col("key") != F.col("_name")).alias("part"), "entry"))
+    found = runs.join(listed, "key").groupBy("_name").agg(best.alias("_best"))
+    joined = rows.join(found, F.col(city) == F.col("_name"), "left")
+    return joined.withColumns({"state": F.col("_best.entry.state"), "priority": F.col("_best.entry.priority")}).drop("_name", "_best")
+
+
 def flag_best_city(customers: DataFrame, lookups: Lookups) -> DataFrame:
     """City flags from the stored city, else from the contact's."""
     best = F.coalesce(text.non_empty(F.col("city")), F.col("respond_city"))

@@ -214,6 +214,46 @@ def active_contacts(
     )
 
 
+def active_by_day(messages: DataFrame, days: int) -> DataFrame:
+    """For every day: its messages, and the different contacts of the ``days`` days that end with it.
+
+    Contacts get dense numbers once. A day's contacts are bitmaps of 32,768 of them each,
+    exact and mergeable: a day's bitmaps are combined with those of the days before it, so
+    contacts are neither counted nor shuffled again for every window they fall into.
+    """
+    timed = messages.where("datetime IS NOT NULL").withColumn("day", F.to_date("datetime"))
+    per_day = timed.groupBy("day").agg(F.count(F.lit(1)).alias("messages"))
+    active = timed.where("contact_id <> ''").groupBy("day", "contact_id").agg(F.lit(1).alias("_one"))
+    numbers = dense_numbers(active.select("contact_id").distinct(), "contact_id")
+    numbered = active.join(numbers, "contact_id")
+    maps = numbered.groupBy("day", F.bitmap_bucket_number("number").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
+    )
+    reach = F.sequence(F.col("day"), F.date_add("day", days - 1), F.expr("INTERVAL 1 DAY"))
+    windows = maps.select(F.explode(reach).alias("day"), "bucket", "bits")
+    counted = windows.groupBy("day", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("contacts"))
+    totals = counted.groupBy("day").agg(F.sum("contacts").alias("active_contacts"))
+    return per_day.join(totals, "day", "left").withColumn("active_contacts", F.coalesce("active_contacts", F.lit(0)))
+
+
+def dense_numbers(values: DataFrame, column: str) -> DataFrame:
+    """Different values with numbers from 0 without gaps, in no particular order.
+
+    A value's number is its place in its task plus the sizes of the tasks before it, one
+    number per task; the values are written once, so both readings agree.
+    """
+    spark = values.sparkSession
+    path = scratch_path(spark, "numbers")
+    local = values.repartition(column).withColumn("_id", F.monotonically_increasing_id())
+    local.write.parquet(path)
+    stored = spark.read.schema(local.schema).parquet(path).withColumn("_part", F.shiftright("_id", 33))
+    sizes = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_offset")
+    return stored.join(offsets, "_part").select(column, place.alias("number"))
+
+
 def window_summary(
     messages: DataFrame,
     contacts: DataFrame,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import times
+from .functions.text import normalize_city
 from .operators import activity, contacts, customers, enrich, merge, messages, profiles, purchases, styles, uploads
 from .params import customer_list_size, message_page_size, window_days
 from .plans import ledger as ledger_plan
@@ -257,6 +258,22 @@ def priority_city(spark: SparkSession, folder: str) -> DataFrame:
     return enrich.flag_cities(cities, star.LOOKUPS.cities)
 
 
+@query
+def city_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """A key for every part against a city for every customer; longer keys contain shorter ones."""
+    parts = star.table(spark, folder, "part")
+    keys = parts.select(
+        F.concat(F.lit("PLAZA "), F.col("p_partkey").cast("string")).alias("key"), (-F.col("p_size")).alias("rank"),
+        F.concat(F.lit("S"), (F.col("p_partkey") % 7).cast("string")).alias("state"), (F.col("p_partkey") % 3).cast("int").alias("priority"),
+    )
+    number = F.when(F.col("c_custkey") % 10 == 0, F.lit("-")).otherwise((F.col("c_custkey") * 7).cast("string"))
+    cities = star.table(spark, folder, "customer").select(
+        "c_custkey", F.concat(F.lit("plàza "), number, F.when(F.col("c_custkey") % 4 > 0, F.lit(" norte")).otherwise(F.lit(""))).alias("raw")
+    )
+    cities = cities.withColumn("city", normalize_city(F.col("raw"))).drop("raw")
+    return enrich.match_cities(cities, "city", keys)
+
+
 @query
 def customers_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return merge.upsert_customers(star.stored_customers(spark, folder), _summary(spark, folder))
@@ -391,6 +408,11 @@ def active_contacts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def active_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    return messages.active_by_day(_messages(spark, folder), 7)
+
+
 @query
 def window_summary(spark: SparkSession, folder: str) -> DataFrame:
     return messages.window_summary(
@@ -403,6 +425,30 @@ def window_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def json_mixed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON results of five events each, some with ill-typed values, rows or bodies."""
+    row = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("ok", T.BooleanType())])
+    key = F.col("event_id")
+    flag = F.when(key % 4 == 0, F.lit("null")).when(key % 4 == 1, F.lit('"maybe"')).otherwise(F.lit("true"))
+    number = F.when(key % 6 == 0, F.lit("[1]")).otherwise(key.cast("string"))
+    one = F.when(key % 23 == 7, F.lit("17")).otherwise(
+        F.concat(F.lit('{"event_id": '), number, F.lit(', "event_type": "'), F.col("event_type"), F.lit('", "ok": '), flag, F.lit("}"))
+    )
+    events = star.table(spark, folder, "events").select((key / 5).cast("bigint").alias("page"), key.alias("at"), one.alias("one"))
+    pages = events.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("at", "one"))).alias("rows"))
+    rows = F.array_join(F.transform("rows", lambda r: r["one"]), ", ")
+    shape = F.col("page") % 5
+    body = (
+        F.when(shape == 0, F.concat(F.lit("["), rows, F.lit("]")))
+        .when(shape == 1, F.concat(F.lit('{"rows": ['), rows, F.lit("]}")))
+        .when(shape == 2, F.concat(F.lit('{"count": 3, "data": ['), rows, F.lit("]}")))
+        .when(shape == 3, F.concat(F.lit('{"recordset": ['), rows, F.lit("]")))
+        .otherwise(F.lit('{"rows": []}'))
+    )
+    return pos.mixed_rows(pages.select("page", body.alias("body")), "body", row, keep=["page"])
+
+
 @query
 def contacts_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Contacts written as a CSV export with awkward values, and read back."""

@@ -93,3 +93,36 @@ def envelope_rows(bodies: DataFrame, column: str, row: T.StructType) -> DataFram
     )
     found = F.coalesce("top", "env.rows", "env.recordset", "env.data")
     return parsed.select(F.inline(found))
+
+
+def mixed_rows(bodies: DataFrame, column: str, row: T.StructType, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of JSON results whose values may have any type, each judged for itself.
+
+    Bodies are parsed into variants, so a row that does not fit costs no other row. A body
+    is an array, or has one under the first of rows, recordset and data that is present;
+    other bodies, and text that is not JSON, give one row with a reason. ``reject_reason``
+    is null for a row whose values all fit; otherwise it names what does not, and those
+    values are null. A missing or null value fits every type. ``keep`` are columns of the
+    bodies that go along.
+    """
+    body = F.try_parse_json(column)
+    many = "array<variant>"
+    found = F.coalesce(*[F.try_variant_get("_body", path, many) for path in ("$", "$.rows", "$.recordset", "$.data")])
+    parsed = bodies.withColumn("_body", body).select(*keep, F.col("_body"), found.alias("_rows"))
+    each = parsed.select(*keep, F.col("_rows").isNull().alias("_none"), F.explode_outer("_rows").alias("_row"))
+    # An empty array has no rows; a body without any array is one reject.
+    each = each.where("_none OR _row IS NOT NULL")
+    is_object = F.schema_of_variant("_row").startswith("OBJECT")
+    typed = {f.name: F.try_variant_get("_row", f"$.{f.name}", f.dataType.simpleString()) for f in row.fields}
+
+    def misfit(name: str) -> Column:
+        raw = F.try_variant_get("_row", f"$.{name}", "variant")
+        return F.when(raw.isNotNull() & ~F.is_variant_null(raw) & typed[name].isNull(), F.lit(name))
+
+    wrong = F.array_join(F.array_compact(F.array(*[misfit(name) for name in typed])), ",")
+    reason = (
+        F.when(F.col("_none"), F.lit("no rows"))
+        .when(~is_object, F.lit("not an object"))
+        .when(wrong != "", F.concat(F.lit("type of "), wrong))
+    )
+    return each.select(*keep, *[value.alias(name) for name, value in typed.items()], reason.alias("reject_reason"))
