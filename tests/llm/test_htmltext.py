@@ -86,6 +86,31 @@ def test_inner_containers_do_not_replace_the_whole():
     assert htmltext.main_text(page(NOISE + two + AFTER)) == "\n".join(SENTENCES)
 
 
+def test_names_with_listed_words_outside_of_articles():
+    half = article(SENTENCES[:6], "", "") + article(SENTENCES[6:], "<div class='login-steps'>", "</div>")
+    assert htmltext.main_text(page(NOISE + f"<div id=post>{half}</div>" + AFTER)) == "\n".join(SENTENCES)
+    for name in ("site-footer", "main-nav-wrapper", "cookie-banner-2", "comments-area", "sidebar-right", "related-posts"):
+        noise = f"<div class='{name}'><p>Some words that are not part of the article at all, but long.</p></div>"
+        assert htmltext.main_text(page(noise + article(SENTENCES, "<div>", "</div>") + noise)) == "\n".join(SENTENCES), name
+
+
+def test_no_container_loses_nothing():
+    two = article(SENTENCES[:3], "<div>", "</div>") + article(SENTENCES[3:], "<div>", "</div>")
+    assert htmltext.main_text(page(NOISE + two + AFTER)) == "\n".join(SENTENCES)
+    bare = "<h1>Title</h1>" + article(SENTENCES, "", "") + "<p>End.</p>"
+    assert htmltext.main_text(page(NOISE + bare + AFTER)) == "\n".join(["Title", *SENTENCES, "End."])
+    links = "<div><a href=a>One thing</a> <a href=b>Another thing to read</a></div>"
+    assert htmltext.main_text(page(links + bare + links)) == "\n".join(["Title", *SENTENCES, "End."])
+
+
+def test_unclosed_elements_before_the_article():
+    for tag in ("nav", "aside", "header"):
+        got = htmltext.main_text(page(f"<{tag}><p>Other things to read</p>" + article(SENTENCES) + AFTER))
+        assert got == "\n".join(SENTENCES), tag
+    closed = "<aside>" + article(SENTENCES[:2], "<article class=x>") + "</aside>" + article(SENTENCES[2:])
+    assert htmltext.main_text(page(closed)) == "\n".join(SENTENCES[2:])
+
+
 def test_broken_markup():
     text = htmltext.main_text(page(NOISE + "<article><h1>A &am</h1><p><b>B &amp;lt; c<br><p>D</b> e<p>f") + "")
     assert text == "A &am\nB &lt; c\nD e\nf"

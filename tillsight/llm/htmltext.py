@@ -4,16 +4,19 @@ The standard library's parser streams events over the whole page. They make line
 the text between two boundaries of block elements, with the number of tags and the
 characters inside links. A line's ratio is its text outside links per tag; lines
 inside elements that are never content (by element, role, class or id) have ratio 0.
-Inside an article or main element only a whole class makes an element never content;
-one listed word of a longer class, or in an id, which may come from a title, is a doubt:
-its lines have ratio 0, yet belong to the region they lie in.
+A longer class or id counts if its other words say nothing of their own (``site-footer``,
+but not ``login-steps``); inside an article or main element only a whole class does. Any
+other listed word of a class or id, which may come from a title, is a doubt: its lines
+have ratio 0, yet belong to the region they lie in. If every article is hidden by a menu,
+header, footer or sidebar, that element was not closed, and the article ends it.
 The ratios are smoothed with a Gaussian and split into two clusters by the threshold
 that separates them best (two means in one dimension); lines above it are content.
 
 Content regions are widened to what holds them: the innermost article, main or
 content element with all content lines gives all of its lines, or an article or main
 element with much of the text, if the rest lies in no other such element; without one,
-the lines from the first to the last content line. Doubtful lines beside the article
+the lines from the first to the last content line and, on both sides of them, those that
+are plain text and not mostly links. Doubtful lines beside the article
 that holds all content are left out. In a region every line outside the
 never-content elements is text, however short. White space in a line becomes one
 space, lines are trimmed, empty ones go, and the rest is joined by line breaks.
@@ -63,6 +66,13 @@ CONTENT = frozenset(("article", "main"))
 CONTENT_WORDS = frozenset("article content entry main post story".split())
 #: Of those, what an article or main element itself may be.
 NEVER_CONTENT = frozenset("ad ads advert comment comments promo related replies reply responses sponsored teaser widget".split())
+#: Words that do not change what a listed word beside them says of an element.
+NEUTRAL = frozenset(
+    "area bar block bottom box button buttons column container fixed float floating form global group header icon icons inner item items "
+    "left link links list main mobile outer page panel post posts primary right row secondary section site slot sticky top unit wrap wrapper".split()
+)
+#: Elements that a page may forget to close before its article.
+UNCLOSED = frozenset("aside footer header menu nav".split())
 #: Classes of these prefixes tell what a page has, not what an element is.
 TELLS = re.compile(r"(?:has|with|without|no|is|js)[-_]")
 CLOSES = {
@@ -76,8 +86,10 @@ SPACE = re.compile(r"\s+")
 class Lines(HTMLParser):
     """Lines of a page, from parser events."""
 
-    def __init__(self):
+    def __init__(self, forgiving: bool = False):
         super().__init__(convert_charrefs=True)
+        self.forgiving = forgiving  # whether an article or main element closes what hides it
+        self.lost = False  # whether one was hidden by such an element
         self.stack: list[tuple[str, int, int, int, int]] = []  # element; depths of never, doubt, links; its container
         self.never = self.doubt = self.link = 0
         self.container = 0
@@ -112,6 +124,15 @@ class Lines(HTMLParser):
         _, self.never, self.doubt, self.link, self.container = self.stack[place]
         del self.stack[place:]
 
+    def _uncover(self) -> None:
+        """An article starts inside an element that hides it and may not have been closed."""
+        for place, (name, never, *_) in enumerate(self.stack):
+            if name in UNCLOSED and not never:
+                self.lost = True
+                if self.forgiving:
+                    self._leave(place)
+                return
+
     def _close_open(self, names: tuple[str, ...], stops: frozenset[str]) -> None:
         for place in range(len(self.stack) - 1, -1, -1):
             name = self.stack[place][0]
@@ -132,12 +153,16 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        words, classes, role = [], [], None
+        if tag in CONTENT and self.never:
+            self._uncover()
+        words, classes, marks, role = [], [], [], None
         for name, value in attrs:
             if value and name in ("class", "id"):
                 for one in value.lower().split():
                     if not TELLS.match(one):
-                        words += re.split(r"[^a-z0-9]+", one)
+                        parts = [w for w in re.split(r"[^a-z0-9]+", one) if w]
+                        words += parts
+                        marks.append(parts)
                         if name == "class":
                             classes.append(one)
             elif name == "role":
@@ -150,7 +175,9 @@ class Lines(HTMLParser):
         if tag == "header" and within:
             listed = listed - {"header"}
         told = not listed.isdisjoint(words)
-        certain = not listed.isdisjoint(classes) if within else told
+        # A longer name is certain outside of articles if its other words say nothing of their own.
+        plain = any(not listed.isdisjoint(m) and all(w in listed or w in NEUTRAL or w.isdigit() for w in m) for m in marks)
+        certain = not listed.isdisjoint(classes) if within else plain
         never = tag in NEVER or role in NEVER_ROLES or certain or tag == "header" and not within
         if tag in ("html", "body"):
             never = told = False
@@ -241,20 +268,37 @@ def _region(page: Lines, content: np.ndarray) -> np.ndarray:
         for container in range(chosen + 1, len(page.parents)):
             within[container] = within[page.parents[container]]
         return within[np.array(page.inside)]
-    at = np.flatnonzero(content)
-    places = np.arange(len(sizes))
-    return (places >= at[0]) & (places <= at[-1])
+    # Without a container: from the first to the last content line, and on to either side over plain text.
+    visible = np.flatnonzero(~np.array(page.hidden) & ~np.array(page.doubtful))
+    own = content[visible]
+    plain = (2 * np.array(page.links) < sizes)[visible]
+    first, last = np.flatnonzero(own)[[0, -1]]
+    while first > 0 and plain[first - 1]:
+        first -= 1
+    while last + 1 < len(own) and plain[last + 1]:
+        last += 1
+    within = np.zeros(len(sizes), dtype=bool)
+    within[visible[first : last + 1]] = True
+    return within
+
+
+def _lines(html: str, forgiving: bool = False) -> Lines:
+    page = Lines(forgiving)
+    for start in range(0, len(html), CHUNK):
+        page.feed(html[start : start + CHUNK])
+    page.close()
+    page.cut()
+    return page
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The main text of a page."""
     if not html:
         return ""
-    page = Lines()
-    for start in range(0, len(html), CHUNK):
-        page.feed(html[start : start + CHUNK])
-    page.close()
-    page.cut()
+    page = _lines(html)
+    if page.lost and not any(page.named[c] and not h for c, h in zip(page.inside, page.hidden)):
+        # Every article is hidden: what hides it was not closed.
+        page = _lines(html, forgiving=True)
     hidden = np.array(page.hidden, dtype=bool)
     if not len(hidden) or hidden.all():
         return ""
@@ -265,7 +309,9 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     smooth = smoothed(ratios, sigma)
     content = (smooth >= threshold(smooth)) & ~hidden & ~doubtful
     if not content.any():
-        content = ~hidden
+        content = ~hidden & ~doubtful if (~hidden & ~doubtful).any() else ~hidden
+        if doubtful[content].any():
+            page.doubtful = [False] * len(hidden)
     keep = _region(page, content) & ~hidden
     return "\n".join(text for text, kept in zip(page.texts, keep) if kept)
 
