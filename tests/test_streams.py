@@ -170,6 +170,35 @@ def test_messages_that_were_stored_but_not_counted(spark, folder, tmp_path):
     assert inserted == message_stream.stored_messages(spark, root).count() == registry._messages(spark, folder).count()
 
 
+def _scanned_rows(plan):
+    """Rows that the scans of a plan gave, if it has run."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _scanned_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return _scanned_rows(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if name.startswith("Scan parquet") else 0
+    children = plan.children()
+    return own + sum(_scanned_rows(children.apply(n)) for n in range(children.size()))
+
+
+def test_known_keys_read_the_history_near_the_batch_only(spark, tmp_path):
+    """Twenty batches of a thousand tickets each; what is read does not follow their number."""
+    root = str(tmp_path)
+    for n in range(20):
+        rows = spark.range(100_000 + 1000 * n, 101_000 + 1000 * n, 1, 2).select(F.col("id").cast("string").alias("ticket_id"), F.lit("p").alias("phone"))
+        tables.write(rows, root, f"run.{n:02d}")
+    history = spark.read.schema("ticket_id string, phone string, batch string").parquet(root)
+    for first, known in ((120_000, 0), (119_000, 1000), (105_500, 1000)):
+        batch = spark.range(first, first + 1000).select(F.col("id").cast("string").alias("ticket_id"), F.lit("p").alias("phone"))
+        found = keep.known_keys(history, batch, ["ticket_id", "phone"])
+        execution = found._jdf.queryExecution()
+        assert len(execution.executedPlan().executeCollectPublic()) == known
+        assert _scanned_rows(execution.executedPlan()) <= 2 * known
+    empty = history.limit(0)
+    assert keep.known_keys(history, empty, ["ticket_id", "phone"]).count() == 0
+
+
 def test_late_beacons_count_and_replays_do_not(spark, tmp_path):
     root = str(tmp_path)
     schema = "agent string, event string, detail string, ts timestamp"
