@@ -2,6 +2,13 @@
 
 ``run(spark, sf_dir)`` applies ``STAGES`` to the documents of a folder. Each stage
 reads the Parquet table that the one before it wrote.
+
+Defined results, beyond those of the operators: a row without text is a clean document, has
+no near duplicates but itself, and takes no part in the mix, whose words it lacks; the same
+holds for an empty text. Of repeated rows the join keeps one. Rows without id are kept and
+compared like others. An empty table passes all stages but the first as an empty one; the
+first trains on labelled documents, and without any it rejects none. Columns beyond those
+of ``documents`` go along unless a stage's result has their name.
 """
 
 from __future__ import annotations
