@@ -18,8 +18,8 @@ integers, one after the other, in a binary column.
 
 Defined results: a missing or empty text has no ids and decodes to no bytes;
 special tokens in a text are ordinary text; lone surrogates cannot occur in a Spark
-string. Ids that the vocabulary lacks fail the decoder. Extra columns pass through;
-columns named ``ids`` or ``decoded`` are replaced.
+string. Ids that the vocabulary lacks fail the decoder. Repeated rows are coded each. An
+empty table gives an empty table. Extra columns pass through; columns named ``ids`` or ``decoded`` are replaced.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ space, lines are trimmed, empty ones go, and the rest is joined by line breaks.
 Defined results: a missing or empty page, and one without text, gives the empty
 string; broken markup is read as the parser reads it, unclosed elements end with what
 encloses them; repeated rows give equal texts. Extra columns pass through; columns
-named ``text`` or ``n_chars`` are replaced. Everything happens row by row.
+named ``text`` or ``n_chars`` are replaced. An empty table gives an empty one. Everything happens row by row.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ capped. Components of the verified links are the groups.
 Defined results: texts without words (missing, empty, only signs) match nothing and
 are groups of their own; a row without doc_id takes part and names its group only if
 all of the group lack one, as null; repeated rows are rows of one class, linked to
-each other. Extra columns are ignored.
+each other. A very long text is one set of shingles, in a slice of its own. An empty table
+gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations

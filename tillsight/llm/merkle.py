@@ -17,7 +17,8 @@ shuffled once; what the driver sees is the list of range ends.
 
 Defined results: a missing text counts as empty; an empty text is one empty paragraph.
 Missing doc_ids come last; rows of equal doc_id follow each other by a hash of the
-text, then by the text. A single row is its own next. Extra columns are ignored.
+text, then by the text. A single row is its own next. A very long text is one array of
+nodes. An empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -27,6 +27,7 @@ hold messages whose direct original is missing.
 Defined results: a missing text has no quotes and stays missing; a text of nothing
 but quotes becomes empty; messages without conv_id or turn are kept and never linked;
 repeated rows of one (conv_id, turn) are one message, each row keeps its own text.
+A very long message is parsed in a slice of its own; an empty table gives an empty one.
 Two messages that quote each other are cut: only earlier originals of the same
 conversation, or smaller (conv_id, turn) of another one, can be parents. Extra
 columns pass through; result columns replace columns of their names.

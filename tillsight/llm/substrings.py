@@ -20,8 +20,9 @@ Defined results: a missing text stays missing, an empty one empty; texts with fe
 sentences or words than a run are left alone. Rows without doc_id come last and count as one
 document with each other, rows of equal doc_id too: among them only repeats inside a
 text are removed. Repeated rows are therefore cut alike. A text whose every sentence
-is a repeat becomes empty; the row stays. Extra columns pass through; a column named
-``removed_words`` is replaced.
+is a repeat becomes empty; the row stays. A very long text is cut into sentences like any
+other, in a slice of its own. An empty table gives an empty table. Extra columns pass
+through; a column named ``removed_words`` is replaced.
 """
 
 from __future__ import annotations

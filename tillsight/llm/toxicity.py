@@ -17,7 +17,8 @@ model (about ``2 ** bits * 48`` bytes) goes to the tasks; all texts are scored t
 
 Defined results: texts without words (missing, empty, only signs) have one empty
 window and its score; repeated rows and equal texts score the same; without rows of
-both labels every score is 0. Only the text is an input of a score. Extra columns
+both labels every score is 0. A row without id is scored and never a training row. An
+empty table gives an empty table. Only the text is an input of a score. Extra columns
 pass through, and columns named ``score`` or ``predicted`` are replaced.
 """
 

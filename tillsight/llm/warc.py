@@ -19,7 +19,10 @@ knows (file, hdfs, s3, gs). ``archived`` writes to the folder that
 
 Defined results: a missing payload of a response is empty; a revisit has no payload
 and keeps the digest and the length of the one it refers to. Missing headers are
-null. An empty frame makes an archive without records. Records that are not HTTP
+null. An empty frame makes an archive without records. Repeated rows are records of their
+own; of equal payloads, ties go to the largest id, and rows of one id and payload are
+alike. A very long payload is one record, in memory once while it is written or read.
+Records that are not HTTP
 messages (resource, conversion) have their block as payload.
 """
 
