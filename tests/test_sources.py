@@ -187,3 +187,23 @@ def test_marks_take_whole_tickets_and_pass_text_ids_on(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("A", "10"), ("A", "10"), ("A", "x"), ("B", "1")]
     marks = purchases.high_water_marks(got.filter(F.col("store_code") == "A")).first()
     assert (marks.last_ticket, marks.lines) == (10, 3)
+
+
+def test_store_rules_reach_the_source_columns(spark, tmp_path, capsys):
+    """Phone, name and movement are tested under the names that the source has."""
+    columns = "NO_REFEREN string, CustPhone string, phone string, CustCliente string, Movimiento string, Articulo string"
+    values = [
+        ("1", "5511111111", None, "Ann", "TK", "a"), ("2", "", "5522222222", " ", "tk ", "b"), ("3", None, "", "Bob", "TK", "c"),
+        ("4", " ", None, "Cid", "DV", "d"), ("5", "5533333333", "", "", None, "e"), ("6", "55", "1", None, "", "f"),
+    ]
+    path = str(tmp_path / "store")
+    spark.createDataFrame(values, columns).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    for (store, rule), own in zip(star.LOOKUPS.store_rules, ("CustCliente", "Movimiento")):
+        early = pos.source_lines(rows, store, rule)
+        early.explain("formatted")
+        pushed = capsys.readouterr().out.split("PushedFilters")[1]
+        assert "IsNotNull(CustPhone)" in pushed and "Not(EqualTo(phone,))" in pushed and f"IsNotNull({own})" in pushed
+        kept = purchases.scan_pos(early, star.LOOKUPS.store_rules).select("ticket_id", "phone_raw").collect()
+        every = purchases.scan_pos(pos.canonical_lines(rows, store), star.LOOKUPS.store_rules).select("ticket_id", "phone_raw").collect()
+        assert sorted(kept) == sorted(every) and kept and early.count() < rows.count()

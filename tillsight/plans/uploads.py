@@ -47,7 +47,8 @@ def ingest_messages(
 ) -> None:
     """Store the new messages of a CSV chunk and log its counters; the last chunk prunes.
 
-    Messages lie in one folder per day, so retention and message windows skip days.
+    Messages lie in one folder per day, so retention and message windows skip days. A day
+    (or all messages without a time) is split over tasks by size, small ones share a task.
     ``split`` reads large files in pieces; their values must have no line breaks.
     """
     batch = run_batch(run_id)
@@ -57,7 +58,7 @@ def ingest_messages(
     history = stored_messages(spark, root, but=batch)
     stored = known_keys(history, arrived, ["message_id"])
     new = messages.new_messages(arrived, stored).withColumn("day", F.to_date("datetime"))
-    new.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{root}/messages/batch={batch}")
+    new.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{root}/messages/batch={batch}")
     counters = messages.upload_counters(arrived, stored)
     row = _log_row(
         counters, run_id, as_of, kind="messages", source="csv-chunk", upload_id=upload_id,
@@ -106,7 +107,7 @@ def compact_messages(spark: SparkSession, root: str, target: str) -> None:
     """Write the kept messages as the first batch of a new table, a folder per day."""
     _create_messages(spark, target)
     kept = stored_messages(spark, root).withColumn("day", F.to_date("datetime"))
-    kept = kept.repartition("day").sortWithinPartitions("datetime")
+    kept = kept.hint("rebalance", "day").sortWithinPartitions("datetime")
     kept.write.mode("overwrite").partitionBy("day").parquet(f"{target}/messages/batch={tables.BEFORE_FIRST}")
 
 

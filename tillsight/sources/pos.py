@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..params import NAME_REQUIRED, TICKET_ONLY
 
 # Names under which a field may arrive, in order of preference.
 POS_FIELDS = {
@@ -52,6 +54,31 @@ def canonical_lines(
     )
 
 
+def source_filter(
+    rows: DataFrame, rule: str | None = None, fields: Mapping[str, Sequence[str]] = POS_FIELDS
+) -> Column:
+    """What every line that ``rules.store_filter`` keeps fulfils, on the source's own columns.
+
+    Only tests that a database or a Parquet file can answer itself: a phone, and by the
+    store's rule a name or a movement, that is there and not empty under one of its names.
+    The exact rules, which trim and compare in upper case, are applied to canonical lines.
+    """
+    needed = {NAME_REQUIRED: ["customer_name"], TICKET_ONLY: ["movement"]}.get(rule or "", [])
+    wanted = F.lit(True)
+    for name in ["phone_raw", *needed]:
+        present = [alias for alias in fields[name] if alias in rows.columns]
+        tests = [F.col(f"`{alias}`").isNotNull() & (F.col(f"`{alias}`") != "") for alias in present]
+        wanted = wanted & (reduce(lambda a, b: a | b, tests) if tests else F.lit(False))
+    return wanted
+
+
+def source_lines(
+    rows: DataFrame, store_code: str, rule: str | None = None, fields: Mapping[str, Sequence[str]] = POS_FIELDS
+) -> DataFrame:
+    """Canonical lines of one store, of which the source has left out what its rule drops anyway."""
+    return canonical_lines(rows.filter(source_filter(rows, rule, fields)), store_code, fields)
+
+
 def jdbc_options(
     url: str, table: str, ticket_column: str, low: int, high: int, partitions: int, fetch_size: int = 5_000
 ) -> dict[str, str]:
@@ -73,10 +100,12 @@ def jdbc_options(
     }
 
 
-def read_jdbc(spark: SparkSession, store_code: str, options: Mapping[str, str], since: int = 0) -> DataFrame:
-    """Lines of one store above a ticket number; the filter runs in the database."""
+def read_jdbc(
+    spark: SparkSession, store_code: str, options: Mapping[str, str], since: int = -1, rule: str | None = None
+) -> DataFrame:
+    """Lines of one store above a ticket number that its rule may keep; the filters run in the database."""
     rows = spark.read.format("jdbc").options(**options).load()
-    return canonical_lines(rows.filter(F.col("ticket_number") > since), store_code)
+    return source_lines(rows.filter(F.col("ticket_number") > since), store_code, rule)
 
 
 def envelope_rows(bodies: DataFrame, column: str, row: T.StructType) -> DataFrame:
