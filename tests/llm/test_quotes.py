@@ -26,6 +26,16 @@ def brute(rows):
         for level, lines in passages:
             if level == 1:
                 asked.setdefault((conv, turn), {}).update(quotes._forms(lines, 20))
+    # Conversations that quote others, at any level.
+    busy = set()
+    for conv, turn, _, text in rows:
+        if conv is None or turn is None or text is None:
+            continue
+        for _, lines in quotes.parsed(text)[1]:
+            for h in quotes._forms(lines, 20):
+                holders = [k for k in own if h in own[k]]
+                if not any(k[0] == conv and k[1] < turn for k in holders) and holders and min(holders)[0] != conv:
+                    busy.add(conv)
     up = {}
     for at, forms in asked.items():
         weight = {}
@@ -34,7 +44,7 @@ def brute(rows):
             first = min(same) if same and min(same) < at else None
             if first is None:
                 every = [k for k in own if h in own[k]]
-                first = min(every) if every and min(every)[0] < at[0] else None
+                first = min(every) if every and (min(every)[0] < at[0] or min(every)[0] > at[0] and min(every)[0] not in busy) else None
             if first is not None:
                 weight[first] = weight.get(first, 0) + n
         if weight:
@@ -101,7 +111,7 @@ def test_edge_cases(spark):
     assert by[3, None].parent_conv is None and by[None, 0].parent_conv is None
     assert (by[4, 1].parent_conv, by[4, 1].parent_turn) == (4, 0)
     assert (by[5, 0].parent_conv, by[5, 0].own_text) == (4, "yes")
-    assert by[0, 0].parent_conv is None and by[6, 0].parent_conv == 4
+    assert by[0, 0].parent_conv == 4 and by[6, 0].parent_conv == 4
     assert run(spark, []).count() == 0
 
 
@@ -141,3 +151,15 @@ def test_short_quotes_link_inside_a_conversation(spark):
     got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in run(spark, rows).collect()}
     none = (None, None)
     assert got == {(1, 0): none, (1, 1): none, (1, 2): (1, 1), (1, 3): (1, 2), (2, 0): none, (2, 1): none}
+
+
+def test_links_to_larger_conversations_form_no_ring(spark):
+    one, two, three = (f"The {n} message says something of its own." for n in ("first", "second", "third"))
+    rows = [
+        (3, 0, "user", f"> {one}\nAn answer to a larger conversation."), (9, 0, "user", one), (9, 1, "user", f"> {one}\nInside."),
+        # These two quote each other: only the link to the smaller one stays.
+        (20, 0, "user", two), (20, 1, "user", f"> {three}\nyes"), (21, 0, "user", three), (21, 1, "user", f"> {two}\nno"),
+    ]
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in run(spark, rows).collect()}
+    none = (None, None)
+    assert got == {(3, 0): (9, 0), (9, 0): none, (9, 1): (9, 0), (20, 0): none, (20, 1): none, (21, 0): none, (21, 1): (20, 0)}

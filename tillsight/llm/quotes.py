@@ -28,8 +28,9 @@ Defined results: a missing text has no quotes and stays missing; a text of nothi
 but quotes becomes empty; messages without conv_id or turn are kept and never linked;
 repeated rows of one (conv_id, turn) are one message, each row keeps its own text.
 A very long message is parsed in a slice of its own; an empty table gives an empty one.
-Two messages that quote each other are cut: only earlier originals of the same
-conversation, or smaller (conv_id, turn) of another one, can be parents. Extra
+Parents never form a ring: they are earlier messages of the same conversation, messages of
+one with a smaller conv_id, or of one with a larger conv_id that itself quotes no other
+conversation. Extra
 columns pass through; result columns replace columns of their names.
 """
 
@@ -146,8 +147,11 @@ def parents(told: DataFrame, linking: Linking) -> DataFrame:
     inside = same.where("first is not null").withColumn("to", F.col("conv"))
     outside = same.where("first is null").drop("first").unionByName(missed).where(F.col("chars") >= linking.min_chars).join(far, "hash")
     outside = outside.select("hash", "conv", "turn", "chars", "level", F.col("one.first").alias("first"), F.col("one.conv").alias("to"))
-    # Another conversation's message must be smaller, so that parents never form a ring.
-    outside = outside.where("to < conv")
+    outside = written(outside.where("to <> conv"), "quoted-outside")
+    # Links to smaller conversations, or back inside one, form no ring. One to a larger conversation is
+    # safe if that one has no links to others: every path from there ends inside it.
+    busy = outside.select(F.col("conv").alias("to")).distinct()
+    outside = outside.where("to < conv").unionByName(outside.where("to > conv").join(busy, "to", "left_anti").select(*outside.columns))
     weighed = inside.unionByName(outside).groupBy("conv", "turn", "level", "to", "first").agg(F.sum("chars").alias("chars"))
     order = F.struct((-F.col("level")).alias("near"), "chars", (F.col("to") == F.col("conv")).alias("own"), "to", "first")
     best = weighed.groupBy("conv", "turn").agg(F.max(order).alias("best"))
