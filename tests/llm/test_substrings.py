@@ -70,12 +70,92 @@ def test_short_sentences_do_not_match_by_chance(spark):
     assert out.where("removed_words > 0").count() == 0
 
 
-def test_every_sentence_of_a_passage_is_covered():
+def test_every_piece_is_covered_by_runs():
     import random
 
     dice = random.Random(2)
     for _ in range(300):
-        parts = [" ".join(["w"] * dice.randint(1, 9)) + f" {n}. " for n in range(dice.randint(6, 20))]
-        found = substrings.run_hashes(parts, substrings.Spans())
-        if found:
-            assert {n for start, stop, _ in found for n in range(start, stop)} == set(range(len(parts)))
+        text = "".join(" ".join(f"w{dice.randrange(50)}" for _ in range(dice.randint(1, 9))) + f" {n}. " for n in range(dice.randint(20, 40)))
+        found = substrings.pieces([text], substrings.Tokens(), substrings.Spans())
+        assert "".join(text[a:z] for a, z in zip(found.begin, found.end)) == text
+        if len(found.first):
+            assert {n for a, z in zip(found.first, found.stop) for n in range(a, z)} == set(range(len(found.text)))
+
+
+def test_runs_equal_a_plain_statement_of_the_rule():
+    import hashlib
+    import random
+
+    dice = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "a", "日", "本", "über", "x" * 70]
+    spans = substrings.Spans()
+
+    def plain(text):
+        tokens = substrings.TOKENS.findall(text)
+        assert "".join(tokens) == text
+        order = [hashlib.md5(x.strip(" \t\r\n").encode()).hexdigest()[:8] for x in tokens]
+        ends = [any(c in x for c in ".!?。！？\n") for x in tokens]
+        parts, held = [], []
+        for i, token in enumerate(tokens):
+            held.append(token)
+            inside = 3 <= i < len(tokens) - 3 and not any(ends[i - 3 : i + 3])
+            if ends[i] or i == len(tokens) - 1 or (inside and order[i] == min(order[i - 3 : i + 4])):
+                parts.append(held)
+                held = []
+        size = [sum(len("".join(x.split()).encode()) for x in part) for part in parts]
+        runs = set()
+        for a in range(len(parts)):
+            fit = [z for z in range(a + 3, len(parts) + 1) if sum(size[a:z]) >= spans.run_bytes]
+            runs |= {(a, fit[0])} if fit else set()
+        for z in range(len(parts) + 1):
+            fit = [a for a in range(0, z - 2) if sum(size[a:z]) >= spans.run_bytes]
+            runs |= {(fit[-1], z)} if fit else set()
+        told = {(a, z): " ".join(x.strip() for part in parts[a:z] for x in part if x.strip()) for a, z in runs}
+        return ["".join(part) for part in parts], told
+
+    texts = [None, ""]
+    for _ in range(200):
+        texts.append("".join(dice.choice(words) + dice.choice([" ", " ", " ", "", ". ", "\n", " \n", "。", "  "]) for _ in range(dice.randint(0, 80))))
+    found = substrings.pieces(texts, substrings.Tokens(), spans)
+    by_hash = {}
+    for n, text in enumerate(texts):
+        parts, told = plain(text or "")
+        mine = found.text == n
+        assert [(text or "")[a:z] for a, z in zip(found.begin[mine], found.end[mine])] == parts
+        low = int(mine.argmax()) if parts else 0
+        own = found.text[found.first] == n if len(found.text) else []
+        got = {(a - low, z - low): (x, y) for a, z, x, y in zip(found.first[own], found.stop[own], found.h1[own], found.h2[own])}
+        assert set(got) == set(told)
+        for at, words_of_run in told.items():
+            assert by_hash.setdefault(got[at], words_of_run) == words_of_run
+    assert len(by_hash) == len(set(by_hash.values()))
+
+
+def test_passage_in_mid_sentence_behind_leads_of_other_lengths(spark):
+    import random
+
+    dice = random.Random(4)
+    word = lambda: "".join(dice.choice("abcdefghijklmnop") for _ in range(6))
+    for _ in range(5):
+        passage = [word() for _ in range(60)]
+        rows = [(1, " ".join([word() for _ in range(3)] + passage + [word()]) + ".", None, None)]
+        rows += [(2, " ".join([word() for _ in range(7)] + passage + [word() for _ in range(9)]) + ".", None, None)]
+        got = {r.doc_id: r for r in cut(spark, rows)[1].collect()}
+        assert got[1].text == rows[0][1]
+        # Only the pieces at both ends hold other words, too.
+        assert got[2].removed_words >= 30 and all(x in got[2].text for x in rows[1][1].split()[:7])
+
+
+def test_texts_without_spaces(spark):
+    letters = "春夏秋冬山川海空雨雪風花鳥月日星木火土金水人犬猫本文字語言手足目耳口"
+    passage = "".join(letters[i % 7 : i % 7 + 12] + letters[i : i + 5] + "。" for i in range(10))
+    rows = [(i, f"始{letters[i]}。{passage}終{letters[i + 1]}。", None, None) for i in range(4)]
+    got = {r.doc_id: r.text for r in cut(spark, rows)[1].collect()}
+    assert got[0] == rows[0][1] and all(got[i] == f"始{letters[i]}。終{letters[i + 1]}。" for i in (1, 2, 3))
+
+
+def test_short_repeated_regions_go_whole(spark):
+    shared = "The first shared line has words. The second shared line has words. The third shared line has a few more words than both of them."
+    rows = [(1, shared, None, None), (2, f"Own words stay here. {shared} Own words stay there.", None, None)]
+    got = {r.doc_id: r for r in cut(spark, rows)[1].collect()}
+    assert got[2].text == "Own words stay here. Own words stay there." and got[2].removed_words == 25
