@@ -180,7 +180,7 @@ def pieces(texts: list[str | None], known: Tokens, spans: Spans) -> Pieces:
 
 
 def runs(docs: DataFrame, spans: Spans) -> DataFrame:
-    """One row for every different run of every document: hash, document, row key."""
+    """One row for every different run of every text: hash, document, row key, whether it is there twice."""
     kept = docs.select(
         id_key("doc_id").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), "text"
     )
@@ -195,18 +195,25 @@ def runs(docs: DataFrame, spans: Spans) -> DataFrame:
             h1, h2, text = found.h1[order], found.h2[order], text[order]
             new = np.ones(len(order), dtype=bool)
             new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (text[1:] != text[:-1])
-            doc, key = (batch.column(i).to_numpy(zero_copy_only=False)[text[new]] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[new], h2[new], doc, key)], names=["h1", "h2", "doc", "key"])
+            at = np.flatnonzero(new)
+            twice = np.diff(at, append=len(order)) > 1
+            doc, key = (batch.column(i).to_numpy(zero_copy_only=False)[text[at]] for i in (0, 1))
+            columns = {"h1": h1[at], "h2": h2[at], "doc": doc, "key": key, "twice": twice}
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
 
-    return kept.mapInArrow(emit, "h1 long, h2 long, doc long, key long")
+    return kept.mapInArrow(emit, "h1 long, h2 long, doc long, key long, twice boolean")
 
 
 def repeats(docs: DataFrame, spans: Spans) -> DataFrame:
-    """Per row key: the first halves of the hashes of runs that an earlier document has."""
+    """Per row key of texts to cut: the first halves of the hashes of runs that an earlier document has.
+
+    The list is empty where a run only repeats inside the text.
+    """
     found = written(runs(docs, spans), "span-runs")
     firsts = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     shared = written(firsts.where("first < last").select("h1", "h2", "first"), "span-firsts")
-    later = found.join(shared, ["h1", "h2"]).where("doc > first")
+    later = found.join(shared, ["h1", "h2"]).where("doc > first").select("key", "h1")
+    later = later.unionByName(found.where("twice").select("key", F.lit(None).cast("long").alias("h1")))
     return later.groupBy("key").agg(F.collect_set("h1").alias("later"))
 
 
@@ -244,8 +251,9 @@ def without_repeats(docs: DataFrame, spans: Spans = Spans()) -> DataFrame:
         for batch in slices(batches, batch_text, SLICE):
             known.tidy()
             texts = batch.column(place).to_pylist()
-            found = pieces(texts, known, spans)
             listed = batch.column(batch.num_columns - 1)
+            repeating = listed.is_valid().to_pylist()
+            found = pieces([text if own else None for text, own in zip(texts, repeating)], known, spans)
             values = listed.flatten().to_numpy(zero_copy_only=False)
             lengths = np.array([len(own) if own.is_valid else 0 for own in listed], dtype=np.int64)
             gone = covered(found, values, np.repeat(np.arange(len(texts)), lengths))
