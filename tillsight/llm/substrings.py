@@ -100,7 +100,7 @@ class Tokens(dict):
 
     def tidy(self) -> None:
         """Forget all, between slices, when there are many."""
-        if len(self) > 500_000 or self.held > 32 << 20:
+        if len(self) > 250_000 or self.held > 32 << 20:
             self.clear()
             self.__init__()
 
