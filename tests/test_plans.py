@@ -40,6 +40,19 @@ def test_rows_per_key_are_limited_before_the_shuffle(spark, folder, capsys, name
     assert "Partial" in plan and "WindowGroupLimit" in plan
 
 
+@pytest.mark.parametrize("name", ["customer_360", "customer_360_enriched", "customers_upsert"])
+def test_lines_joined_by_ticket_are_not_shuffled_again(spark, folder, capsys, name):
+    """Large tables: the last join deals the lines by ticket, which every purchase key holds."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        plan = plan_of(entry.queries()[name](spark, folder), capsys)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in plan and "WindowGroupLimit" in plan
+    assert not re.search(r"hashpartitioning\(ticket_id#\d+, product_code", plan)
+
+
 @pytest.mark.parametrize(
     "name", ["message_page", "recent_sessions", "log_entries", "upload_sessions"]
 )
