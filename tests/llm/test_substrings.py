@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import compare
 import duckdb
 
 from tillsight.llm import substrings
+from tillsight.llm.common import SHUFFLE_CLEANUP, written
 
 PASSAGE = " ".join(f"Planted{i} words of one passage that many texts share." for i in range(8))
 
@@ -159,3 +162,22 @@ def test_short_repeated_regions_go_whole(spark):
     rows = [(1, shared, None, None), (2, f"Own words stay here. {shared} Own words stay there.", None, None)]
     got = {r.doc_id: r for r in cut(spark, rows)[1].collect()}
     assert got[2].text == "Own words stay here. Own words stay there." and got[2].removed_words == 25
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    """What was shuffled for a written table does not stay on disk beside it."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks.getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {name for name in names if name.startswith("shuffle_")}
+
+    before = shuffles()
+    docs = spark.range(1000).selectExpr("id % 10 AS k").repartition(4)
+    table = written(docs.groupBy("k").count(), "counts")
+    deadline = time.monotonic() + 10
+    while shuffles() - before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before and table.count() == 10
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
