@@ -220,3 +220,18 @@ def test_late_beacons_count_and_replays_do_not(spark, tmp_path):
     everything = spark.read.schema(schema).parquet(f"{root}/landing")
     batch = batch_activity.daily_activity(everything, dt.datetime(2024, 1, 11), 30)
     assert {r.day: r.opens for r in batch.collect()} == days
+
+
+def test_uploads_are_cut_from_lines_joined_once(spark, folder, capsys, monkeypatch):
+    """The three uploads read the written lines; none of them joins the tables again."""
+    plans, land_one = [], registry._land
+
+    def noted(upload, landing):
+        capsys.readouterr()
+        upload.explain()
+        plans.append(capsys.readouterr().out)
+        land_one(upload, landing)
+
+    monkeypatch.setattr(registry, "_land", noted)
+    registry._sales_feed(spark, folder)
+    assert len(plans) == 3 and not any("Join" in plan for plan in plans)
