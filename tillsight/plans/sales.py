@@ -35,28 +35,54 @@ def create_tables(spark: SparkSession, feed: SalesFeed) -> None:
         tables.create(spark, feed.path(name), schema)
 
 
-def sync(lines: DataFrame, feed: SalesFeed, run_id: int, reset: bool = False) -> None:
+def sync(lines: DataFrame, feed: SalesFeed, run_id: int, reset: bool = False, by_ticket: bool = False) -> None:
     """One run; repeating it with the same number gives the same tables.
 
-    ``reset`` pulls everything again; known purchases are still stored once.
+    ``reset`` pulls everything again; known purchases are still stored once. ``by_ticket``
+    tells that the lines of a ticket lie together, so that they are not dealt by it again.
     """
     spark = lines.sparkSession
     create_tables(spark, feed)
     start: Mapping[str, int | None] = marks(spark, feed, run_id)
     if reset:
         start = dict.fromkeys(start)
+    tables.forget(spark, feed.path("bought"), run_batch(run_id))
     scanned = purchases.after_marks(purchases.scan_pos(lines, feed.lookups.store_rules), start)
-    store_batch(scanned, feed, run_batch(run_id))
+    store_batch(scanned, feed, run_batch(run_id), by_ticket)
     refresh_customers(spark, feed, run_id)
 
 
 def refresh_customers(spark: SparkSession, feed: SalesFeed, run_id: int) -> None:
     """Recompute all summaries, merge them into the last customer table, flag cities."""
-    known = tables.read(spark, feed.path("purchases"), PURCHASES).drop("batch")
-    summary = customers.customer_360(known, feed.as_of, feed.limits)
-    old = tables.newest_version(spark, feed.path("customers"), CUSTOMERS, but=run_batch(run_id))
+    batch = run_batch(run_id)
+    deal_by_phone(spark, feed, batch)
+    known, plain = bought_by_phone(spark, feed)
+    often = F.col("phone").isin(customers.frequent_phones(plain))
+    summary = customers.customer_360(known.filter(~often), feed.as_of, feed.limits, apart=plain.filter(often))
+    old = tables.newest_version(spark, feed.path("customers"), CUSTOMERS, but=batch)
     merged = enrich.flag_cities(merge.upsert_customers(old, summary), feed.lookups.cities)
-    tables.write_version(merged.select(*column_names(CUSTOMERS)), feed.path("customers"), run_batch(run_id))
+    tables.write_version(merged.select(*column_names(CUSTOMERS)), feed.path("customers"), batch)
+
+
+def deal_by_phone(spark: SparkSession, feed: SalesFeed, batch: str) -> None:
+    """Write what a run bought once more, dealt by phone, so that no later roll-up has to shuffle it."""
+    bought = tables.of_batch(spark, feed.path("purchases"), PURCHASES, batch).select(*customers.FACT_COLUMNS)
+    tables.write_by(customers.by_phone(bought, customers.frequent_phones(bought)), "phone", feed.path("bought"), batch)
+
+
+def bought_by_phone(spark: SparkSession, feed: SalesFeed) -> tuple[DataFrame, DataFrame]:
+    """All purchases, dealt by phone as far as runs did so, and the same rows as plain files."""
+    types = dict(part.split(" ", 1) for part in PURCHASES.split(", "))
+    schema = ", ".join(f"{name} {types[name]}" for name in customers.FACT_COLUMNS)
+    stored = tables.stored_batches(spark, feed.path("purchases"), PURCHASES)
+    dealt = [name for name in tables.dealt_batches(spark, "phone", feed.path("bought")) if name in stored]
+    known = tables.read_by(spark, "phone", feed.path("bought"), schema, dealt)
+    plain = tables.read(spark, feed.path("bought"), schema).filter(F.col("batch").isin(dealt))
+    if len(dealt) < len(stored):
+        # Batches of a stream, and of a run that died before it dealt its own.
+        rest = tables.read(spark, feed.path("purchases"), PURCHASES).filter(~F.col("batch").isin(dealt)).select(*known.columns)
+        known, plain = known.unionByName(rest), plain.unionByName(rest)
+    return known.drop("batch"), plain.drop("batch")
 
 
 def stored_customers(spark: SparkSession, feed: SalesFeed) -> DataFrame:
