@@ -8,7 +8,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tillsight.operators import customers, purchases
+from tillsight.operators import changes, customers, purchases
+from tillsight.plans import ledger as ledger_plan
 from tillsight.plans import sales
 from tillsight.schemas import POS_LINES, PURCHASES
 from tillsight.session import SUBSET
@@ -106,6 +107,19 @@ def test_roll_ups_and_known_keys_do_not_shuffle_lines(spark, feed, capsys):
     assert plan_of(purchases.dedup_purchases(purchases.accepted(landed)), capsys).count("Exchange") == 0
 
 
+def test_ledger_joins_and_facts_stay_where_they_lie(spark, tmp_path, partitions, capsys):
+    ledger = ledger_plan.Ledger(str(tmp_path / "ledger"), star.LOOKUPS, star.LIMITS, star.SALES_AS_OF)
+    ledger_plan.sync(lines_of(spark, tickets(0, 200) + ODD), ledger, 1, by_ticket=True)
+    facts = tables.read_by(spark, "phone", ledger.path("facts"), changes.FACTS, ["run.000000000001"])
+    assert plan_of(changes.summaries(facts, ledger.as_of, ledger.limits), capsys).count("Exchange") == 0
+    scanned = tables.read_by(spark, "ticket_id", ledger.path("scans"), POS_LINES, ["run.000000000001"])
+    assert plan_of(changes.ticket_digests(scanned), capsys).count("Exchange") == 0
+    partitions(7)
+    later = lines_of(spark, tickets(100, 300) + [(str(n), "5500000000") for n in range(50, 100)] + ODD)
+    ledger_plan.sync(later, ledger, 2)
+    same(ledger_plan.current_customers(spark, ledger), recomputed(later))
+
+
 def test_batches_dealt_otherwise_come_along(spark, tmp_path, partitions):
     root = str(tmp_path / "table")
     rows = [spark.range(10 * n, 10 * n + 10).selectExpr("CAST(id AS STRING) AS k", "id % 3 AS v") for n in range(4)]

@@ -14,10 +14,12 @@ gone.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..params import ONLINE, WALKIN, Lookups, Thresholds
 from . import customers, purchases
 
@@ -26,6 +28,8 @@ DIGESTS = "store_code string, ticket_id string, n bigint, d1 decimal(38,0), d2 d
 ADDED, CHANGED, GONE = "added", "changed", "gone"
 #: One more kind of fact beside those of ``customers``: a day on which something was bought.
 DAY = 8
+#: Tasks that share the lines of a phone that has too many for one.
+SLICES = 64
 FACTS = (
     "phone string, kind tinyint, value string, extra string, lines bigint, online_lines bigint, walkin_lines bigint, "
     "amount decimal(38,2), online_amount decimal(38,2), walkin_amount decimal(38,2)"
@@ -72,14 +76,29 @@ def signed_purchases(gone: DataFrame, come: DataFrame, lookups: Lookups, limits:
     """
 
     def bought(lines: DataFrame, sign: int) -> DataFrame:
-        fit = purchases.accepted(purchases.clean_lines(lines, lookups, limits))
+        fit = purchases.accepted(purchases.clean_lines(lines, lookups, limits, numbered=True))
         return purchases.dedup_purchases(fit).withColumn("sign", F.lit(sign))
 
     return bought(gone, -1).unionByName(bought(come, 1))
 
 
-def signed_facts(signed: DataFrame) -> DataFrame:
-    """Counts and sums per phone, kind and value, those of old lines taken off; what cancels out is left away."""
+def phones_of(lines: DataFrame) -> DataFrame:
+    """The phones of ticket lines, as their purchases have them."""
+    return lines.select(text.normalize_phone(F.col("phone_raw")).alias("phone"))
+
+
+def signed_facts(signed: DataFrame, frequent: Sequence[str] | None = None) -> DataFrame:
+    """Counts and sums per phone, kind and value, those of old lines taken off; what cancels out is left away.
+
+    If the ``frequent`` phones are known, the lines are dealt by phone before they are counted,
+    which is less than their facts. Those of a frequent phone go to many tasks by ticket, and
+    its facts come in parts, which add up like those of several batches.
+    """
+    parts: list[str] = []
+    if frequent is not None:
+        slices = F.concat_ws("#", "phone", F.pmod(F.xxhash64("ticket_id"), F.lit(SLICES)))
+        dealt = F.when(F.col("phone").isin(list(frequent)), slices).otherwise(F.col("phone"))
+        signed, parts = signed.select(*customers.FACT_COLUMNS, "sign").withColumn("dealt", dealt).repartition("dealt"), ["dealt"]
     facts = [
         f"{customers.TICKET}Y, ticket_id, CAST(NULL AS STRING), line_total, sales_channel",
         f"{customers.LABEL}Y, raw_customer_name, raw_city, NULL, NULL",
@@ -91,7 +110,7 @@ def signed_facts(signed: DataFrame) -> DataFrame:
     ]
     unfolded = (
         signed.filter("phone <> ''")
-        .selectExpr("phone", "sign", f"stack({len(facts)}, {', '.join(facts)}) AS (kind, value, extra, amount, channel)")
+        .selectExpr(*parts, "phone", "sign", f"stack({len(facts)}, {', '.join(facts)}) AS (kind, value, extra, amount, channel)")
         .filter(f"kind IN ({customers.TICKET}, {customers.LABEL}) OR value IS NOT NULL")
     )
 
@@ -107,7 +126,7 @@ def signed_facts(signed: DataFrame) -> DataFrame:
         "walkin_amount": when(WALKIN, "sign * amount"),
     }
     types = dict(part.split(" ", 1) for part in FACTS.split(", "))
-    summed = unfolded.groupBy("phone", "kind", "value", "extra").agg(*[F.expr(sql).alias(c) for c, sql in measures.items()])
+    summed = unfolded.groupBy(*parts, "phone", "kind", "value", "extra").agg(*[F.expr(sql).alias(c) for c, sql in measures.items()])
     typed = summed.select(*[F.col(name).cast(kind).alias(name) for name, kind in types.items()])
     return typed.filter(" OR ".join(f"coalesce({c}, 0) <> 0" for c in measures))
 

@@ -22,6 +22,7 @@ from ..operators import changes, customers, purchases
 from ..operators.keep import keep_last
 from ..params import Lookups, Thresholds
 from ..schemas import POS_LINES, SUMMARY, column_names
+from ..session import dealt_by_first_key
 from ..streaming import tables
 
 TICKETS = f"{changes.DIGESTS}, change string, version bigint"
@@ -49,37 +50,56 @@ def run_batch(run_id: int) -> str:
     return tables.batch_name("run", run_id)
 
 
+def _before(spark: SparkSession, root: str, key: str, schema: str, batch: str, own: bool = False) -> DataFrame:
+    """What runs before this one (and its own) wrote, as they dealt it."""
+    earlier = [name for name in tables.stored_batches(spark, root, schema) if name < batch or own and name == batch]
+    return tables.read_by(spark, key, root, schema, earlier)
+
+
 def tickets_before(spark: SparkSession, ledger: Ledger, run_id: int) -> DataFrame:
     """The newest digest of every ticket that runs before this one left in place, with its version."""
-    stored = tables.read(spark, ledger.path("tickets"), TICKETS).filter(F.col("batch") < run_batch(run_id))
+    stored = _before(spark, ledger.path("tickets"), "ticket_id", TICKETS, run_batch(run_id))
     return keep_last(stored, changes.TICKET_KEY, ["version"]).filter("n > 0").drop("batch", "change")
 
 
-def sync(lines: DataFrame, ledger: Ledger, run_id: int, scope: Column | None = None) -> None:
-    """Compare a scan with the ledger and book what differs; runs are numbered from 1 upwards."""
+def sync(lines: DataFrame, ledger: Ledger, run_id: int, scope: Column | None = None, by_ticket: bool = False) -> None:
+    """Compare a scan with the ledger and book what differs; runs are numbered from 1 upwards.
+
+    The lines lie dealt by ticket; ``by_ticket`` tells that they come so and need no shuffle for it.
+    """
+    create(lines.sparkSession, ledger)
+    with dealt_by_first_key(lines.sparkSession):
+        _sync(lines if by_ticket else lines.repartition("ticket_id"), ledger, run_id, scope)
+
+
+def _sync(lines: DataFrame, ledger: Ledger, run_id: int, scope: Column | None) -> None:
     spark = lines.sparkSession
-    create(spark, ledger)
     batch, version = run_batch(run_id), F.lit(run_id).cast("bigint")
     inside = F.lit(True) if scope is None else scope
     scanned = purchases.scan_pos(lines, ledger.lookups.store_rules).filter(inside).select(*column_names(POS_LINES))
     # The source is read once; every branch sees the same rows.
-    scanned = tables.landed(scanned, ledger.path("scans"), batch)
+    scanned = tables.landed_by(scanned, "ticket_id", ledger.path("scans"), batch)
     before = tickets_before(spark, ledger, run_id).filter(inside)
     found = changes.ticket_changes(before, changes.ticket_digests(scanned)).withColumn("version", version)
-    found = tables.landed(found, ledger.path("tickets"), batch)
+    found = tables.landed_by(found, "ticket_id", ledger.path("tickets"), batch)
 
     come = changes.of_tickets(scanned, found.filter(F.col("change") != changes.GONE))
-    come = tables.landed(come.withColumn("version", version), ledger.path("lines"), batch)
+    come = tables.landed_by(come.withColumn("version", version), "ticket_id", ledger.path("lines"), batch)
     # Only the version of a changed ticket that was current is taken off.
     old = before.join(found.filter(F.col("change") != changes.ADDED).select(*changes.TICKET_KEY), list(changes.TICKET_KEY), "left_semi")
-    stored = tables.read(spark, ledger.path("lines"), LINES).filter(F.col("batch") < batch).drop("batch")
+    stored = _before(spark, ledger.path("lines"), "ticket_id", LINES, batch).drop("batch")
     gone = stored.join(old.select(*changes.TICKET_KEY, "version"), [*changes.TICKET_KEY, "version"], "left_semi")
 
     signed = changes.signed_purchases(gone, come, ledger.lookups, ledger.limits)
-    booked = tables.landed(changes.signed_facts(signed), ledger.path("facts"), batch)
+    often = customers.frequent_phones(changes.phones_of(come).unionByName(changes.phones_of(gone)))
+    booked = tables.landed_by(changes.signed_facts(signed, often), "phone", ledger.path("facts"), batch)
     touched = booked.select("phone").distinct()
-    facts = tables.read(spark, ledger.path("facts"), changes.FACTS).filter(F.col("batch") <= batch)
-    told = changes.summaries(facts.join(touched, "phone", "left_semi"), ledger.as_of, ledger.limits)
+    facts = _before(spark, ledger.path("facts"), "phone", changes.FACTS, batch, own=True)
+    plain = tables.read(spark, ledger.path("facts"), changes.FACTS).filter(F.col("batch") <= batch)
+    # A phone with too many facts for one task is added up by many, from files as they come.
+    often = F.col("phone").isin(customers.frequent_phones(plain))
+    told = changes.summaries(facts.filter(~often).join(touched, "phone", "left_semi"), ledger.as_of, ledger.limits)
+    told = told.unionByName(changes.summaries(plain.filter(often).join(touched, "phone", "left_semi"), ledger.as_of, ledger.limits))
     rows = touched.join(told.withColumn("here", F.lit(True)), "phone", "left").withColumns(
         {"here": F.coalesce("here", F.lit(False)), "version": version}
     )
