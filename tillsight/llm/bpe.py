@@ -4,16 +4,16 @@ A text is cut by the vocabulary's pattern. The distinct words of a slice of text
 that are not known yet form one corpus: their bytes lie side by side, linked to
 their neighbours, and an inverted index leads from a pair of tokens (named by the
 rank of its merge) to its positions. Merges are applied in rank order to all their
-positions at once, and each touches only the two neighbouring pairs. The ids of the
-words are then looked up text by text. Nothing is shuffled.
+positions at once, and each touches only the two neighbouring pairs. Every different
+piece of a slice is looked up once, and Arrow puts the ids of the texts together. Nothing is shuffled.
 
 The replay gives what merging word by word gives: words are independent, and in a
 word the lowest rank goes first, the leftmost position first. A merge may create a
 pair of a lower rank than its own; the rest of that word then waits in the index
 behind that pair. A word that is itself in the vocabulary is one token.
 
-The dictionary of known words belongs to the Python worker and keeps only
-the pieces of the current slice when it holds about ``KNOWN`` bytes, so memory is bounded; that changes no result. Ids are unsigned 32-bit little-endian
+The dictionary of known words belongs to the Python worker and forgets those not
+met for longest when it holds about ``KNOWN`` bytes, so memory is bounded; that changes no result. Ids are unsigned 32-bit little-endian
 integers, one after the other, in a binary column.
 
 Defined results: a missing or empty text has no ids and decodes to no bytes;
@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +41,8 @@ from pyspark.sql import types as T
 
 from .common import prepared, slices
 
-SLICE = 2 << 20
-KNOWN = 32 << 20
+SLICE = 4 << 20
+KNOWN = 64 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -209,62 +210,112 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 @lru_cache(maxsize=1)
-def token_bytes(path: str) -> dict[int, bytes]:
-    """The bytes of every id, which is all that decoding needs."""
-    return {rank: token for token, rank in read_ranks(path).items()}
+def token_bytes(path: str) -> pa.BinaryArray:
+    """The bytes of every id, which is all that decoding needs; null where the vocabulary has no such id."""
+    tokens = {rank: token for token, rank in read_ranks(path).items()}
+    return pa.array(map(tokens.get, range(max(tokens) + 1)), pa.binary(), size=max(tokens) + 1)
 
 
-#: White space other than a space and a line break, and the mark that cuts texts below.
+#: White space other than a space and a line break, and the character that joins words below.
 RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
 DOUBLE = ("  ", " \n", "\n ", "\n\n")
+#: In pieces that only a match of the pattern gives: white space other than a space before the rest.
+MATCHED = re.compile(rb"[\0\t-\r\x1c-\x1f]|(?!\A) | \Z|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Stands between the pieces of a text in UTF-8, which has no such byte.
+MARK = b"\xff"
+
+
+def joined(values: pa.BinaryArray, starts: np.ndarray) -> pa.BinaryArray:
+    """Neighbouring values as one: row n has those from ``starts[n]`` to ``starts[n + 1]``. No value is null."""
+    if not len(values):
+        return pa.array([b""] * (len(starts) - 1), pa.binary())
+    _, offsets, data = values.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[starts + values.offset]
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(bounds), data])
 
 
 class Encoder:
     """Texts to packed ids, with a bounded dictionary of the pieces met so far.
 
     ``spaced`` says that the pattern always starts a match at a space between two
-    other characters, and always matches a line break between two others by itself.
-    Then a text is first cut there, and the pattern runs only over new pieces.
+    other characters or between a line break and another, and always matches a line
+    break by itself that stands between two others or before such a space.
+    Then a text is first cut there, and the pattern runs only over new pieces, put
+    together with line breaks between them.
+
+    The dictionary has two parts of about half its size: a piece that is met enters
+    the first, and a full first part replaces the second. So what goes is what
+    was not met for longest, and frequent pieces stay.
     """
 
     def __init__(self, path: str, pattern: str, spaced: bool = False, known: int = KNOWN):
         self.vocabulary = vocabulary(path)
         self.split = regex.compile(pattern).findall
         self.spaced = spaced
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held, self.most = 0, known
 
-    def pieces(self, text: str | None) -> list[str]:
+    def marked(self, text: str | None) -> bytes:
+        """A text with marks between its pieces."""
         if not text:
-            return []
+            return b""
         plain = self.spaced and not (text[0].isspace() or text[-1].isspace() or any(x in text for x in DOUBLE))
         if plain and not RARE.search(text):
-            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return self.split(text)
-
-    @staticmethod
-    def cost(piece: str) -> int:
-        """About the bytes that a piece and its ids take in the dictionary."""
-        return 200 + 4 * len(piece)
+            return text.encode().replace(b"\n", MARK + b"\n" + MARK).replace(b" ", MARK + b" ")
+        return MARK.join([word.encode() for word in self.split(text)])
+
+    def enter(self, pieces: list[bytes], ids: list[bytes]) -> None:
+        """Put pieces into the dictionary; one takes about 200 bytes and four times its length."""
+        self.known.update(zip(pieces, ids))
+        self.held += 200 * len(pieces) + 4 * sum(map(len, pieces))
+
+    def unknown(self, pieces: Iterable[bytes]) -> list[bytes]:
+        """The pieces that the dictionary lacks; others move to its first part."""
+        absent = [piece for piece in pieces if piece not in self.known]
+        met = [piece for piece in absent if piece in self.older]
+        if met:
+            self.enter(met, [self.older[piece] for piece in met])
+            absent = [piece for piece in absent if piece not in self.known]
+        return absent
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Enter new pieces."""
+        whole, parts = [], []
+        for piece in pieces:
+            (parts if self.spaced and piece and not MATCHED.search(piece) else whole).append(piece)
+        split = "\0".join(self.split(b"\n".join(parts).decode())).encode().split(b"\0")
+        words = self.unknown({*split, *whole} if parts else whole)
+        self.enter(words, self.vocabulary.replay(words))
+        known = self.known.__getitem__
+        start, several, ids = 0, [], []
+        stops = [*[at for at, word in enumerate(split) if word == b"\n"], len(split)]
+        if parts and len(stops) != len(parts):
+            raise ValueError("the pattern is not spaced")
+        for piece, stop in zip(parts, stops):
+            if stop - start > 1:
+                several.append(piece)
+                ids.append(b"".join(map(known, split[start:stop])))
+            start = stop + 1
+        self.enter(several, ids)
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of different pieces."""
+        self.learn(self.unknown(pieces))
+        found = [self.known[piece] for piece in pieces]
+        if 2 * self.held > self.most:
+            self.known, self.older, self.held = {}, self.known, 0
+        return found
+
+    def packed(self, texts: list[str | None]) -> pa.BinaryArray:
+        """The packed ids of texts: every different piece is looked up once, Arrow puts them together."""
+        cut = pc.split_pattern(pa.array(map(self.marked, texts), pa.large_binary(), size=len(texts)), MARK)
+        coded = cut.flatten().dictionary_encode()
+        ids = pa.array(self.ids(coded.dictionary.to_pylist()), pa.binary())
+        return joined(ids.take(coded.indices), cut.offsets.to_numpy())
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pieces(text) for text in texts]
-        used = set().union(*cut)
-        new = list(used.difference(self.known))
-        parts = [self.split(piece) for piece in new] if self.spaced else [[piece] for piece in new]
-        words = list(set().union(*parts).difference(self.known))
-        ids = self.vocabulary.replay([word.encode() for word in words])
-        self.known.update(zip(words, ids))
-        known = self.known.__getitem__
-        for piece, split in zip(new, parts):
-            if len(split) > 1:
-                self.known[piece] = b"".join(map(known, split))
-                self.held += self.cost(piece)
-        self.held += sum(map(self.cost, words))
-        if self.held > self.most:
-            self.known = {piece: known(piece) for piece in used}
-            self.held = sum(map(self.cost, used))
-        return [b"".join(map(known, pieces)) for pieces in cut]
+        return self.packed(texts).to_pylist()
 
 
 @lru_cache(maxsize=1)
@@ -273,10 +324,10 @@ def encoder(path: str, pattern: str, spaced: bool) -> Encoder:
     return Encoder(path, pattern, spaced)
 
 
-def _with(batch: pa.RecordBatch, name: str, values: list[bytes]) -> pa.RecordBatch:
+def _with(batch: pa.RecordBatch, name: str, values: pa.BinaryArray) -> pa.RecordBatch:
     names = [n for n in batch.schema.names if n.lower() != name]
     columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.binary())], names=[*names, name])
+    return pa.RecordBatch.from_arrays([*columns, values], names=[*names, name])
 
 
 def _schema(df: DataFrame, name: str) -> T.StructType:
@@ -293,14 +344,24 @@ def encode(df: DataFrame, path: str, pattern: str, spaced: bool = False, text: s
         ids_of = encoder(path, pattern, spaced)
         for batch in slices(batches, text, SLICE):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            yield _with(batch, "ids", ids_of(texts))
+            yield _with(batch, "ids", ids_of.packed(texts))
 
     return df.mapInArrow(run, _schema(df, "ids"))
 
 
-def decoded_bytes(packed: Iterable[bytes | None], token) -> list[bytes]:
+def decoded_bytes(packed: pa.Array, tokens: pa.BinaryArray) -> pa.BinaryArray:
     """The bytes that packed ids stand for."""
-    return [b"".join(map(token, _numbers(ids))) for ids in packed]
+    packed = pc.fill_null(packed.cast(pa.binary()), b"")
+    _, offsets, data = packed.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    starts = bounds - bounds[0]
+    if (starts % 4).any():
+        raise ValueError("packed ids take four bytes each")
+    numbers = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]].view("<u4").astype(np.uint32)
+    found = tokens.take(pa.array(numbers))
+    if found.null_count:
+        raise ValueError("the vocabulary lacks an id")
+    return joined(found, starts // 4)
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -308,10 +369,10 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     prepared(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = token_bytes(path).__getitem__
-        for batch in slices(batches, "ids", 4 * SLICE):
-            packed = batch.column(batch.schema.get_field_index("ids")).to_pylist()
-            yield _with(batch, "decoded", decoded_bytes(packed, token))
+        tokens = token_bytes(path)
+        for batch in slices(batches, "ids", 2 * SLICE):
+            packed = batch.column(batch.schema.get_field_index("ids"))
+            yield _with(batch, "decoded", decoded_bytes(packed, tokens))
 
     return df.mapInArrow(run, _schema(df, "decoded"))
 
@@ -322,23 +383,15 @@ def round_trip(df: DataFrame, path: str, pattern: str, spaced: bool = False, tex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(path, pattern, spaced)
-        token = ids_of.vocabulary.tokens.__getitem__
+        tokens = token_bytes(path)
         for batch in slices(batches, text, SLICE):
-            packed = ids_of(batch.column(batch.schema.get_field_index(text)).to_pylist())
-            yield _with(_with(batch, "ids", packed), "decoded", decoded_bytes(packed, token))
+            packed = ids_of.packed(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            yield _with(_with(batch, "ids", packed), "decoded", decoded_bytes(packed, tokens))
 
     both = T.StructType([*[f for f in _schema(df, "ids").fields if f.name.lower() != "decoded"], T.StructField("decoded", T.BinaryType())])
     return df.mapInArrow(run, both)
 
 
-def _numbers(ids: bytes | None) -> array:
-    numbers = array("I" if array("I").itemsize == 4 else "L")
-    numbers.frombytes(ids or b"")
-    if np.little_endian is False:
-        numbers.byteswap()
-    return numbers
-
-
 def digests(df: DataFrame, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Counts and digests of encoded and decoded documents, next to ``columns``."""
     return df.select(
