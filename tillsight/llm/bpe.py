@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from .common import prepared, slices
 
 SLICE = 4 << 20
-KNOWN = 64 << 20
+KNOWN = 32 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
